@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivelens.functions import scratch
-from archivelens.llm import binary, packing, tokens
+from archivelens.llm import binary, chat, mixing, neardup, packing, secrets, sql, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,15 +20,42 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
 def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch.new_path(spark, "token-files")
     binary.write(table(spark, sf_dir, "documents"), folder, tokens.vocabulary_path("word_bpe_49k.json"))
     return binary.read(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select(
+        "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"),
+        F.col("mix_taken").alias("taken"), F.round("mix_position", 6).alias("position"),
+    )
+
+
+def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = scratch.stored(secrets.scan_unseen(docs, None), "ledger")
+    found = secrets.findings(docs, ledger)
+    spans = F.col("secret_spans")
+    listed = secrets.listed(spans)
+    counts = [secrets.counted(spans, k).alias(f"n_{k}") for k in secrets.KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op5_token_binary)}
+    own = (op1_packing, op3_chat_perspectives, op5_token_binary, op6_mixing, op8_minhash_neardup, op9_secret_ledger)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat_perspectives": sql.CHAT, "op6_mixing": sql.MIXING, "op9_secret_ledger": sql.SECRETS}
