@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivelens.functions import scratch
-from archivelens.llm import binary, chat, mixing, neardup, packing, secrets, sql, tokens
+from archivelens.llm import ann, binary, chat, media, mixing, neardup, packing, quality, secrets, sql, tokens, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +20,19 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = scratch.stored(media.store(table(spark, sf_dir, "documents")), "media")
+    return media.describe(stored).drop("tile")
+
+
 def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op4_url_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch.new_path(spark, "token-files")
     binary.write(table(spark, sf_dir, "documents"), folder, tokens.vocabulary_path("word_bpe_49k.json"))
@@ -38,6 +47,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -52,8 +65,19 @@ def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))
 
 
+def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(spark, docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model).withColumnRenamed("quality_score", "score")
+    held_out = F.coalesce(quality.fold(F.col("doc_id")) == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_packing, op3_chat_perspectives, op5_token_binary, op6_mixing, op8_minhash_neardup, op9_secret_ledger)
+    own = (
+        op1_packing, op2_media, op3_chat_perspectives, op4_url_words, op5_token_binary, op6_mixing, op7_vantage_points,
+        op8_minhash_neardup, op9_secret_ledger, op10_quality_gam,
+    )
     return {f.__name__: f for f in own}
 
 
