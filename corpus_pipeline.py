@@ -1,23 +1,69 @@
-"""A corpus pipeline out of the operators in ``archivelens.llm``."""
+"""A corpus pipeline out of the operators in ``archivelens.llm``.
+
+Quality classifier (rejected documents go), MinHash near-dedup (one document of a group stays), secret
+scans (secrets are masked in the text), mixing to target weights (documents repeat or go), packing.
+Each stage takes the rows that the stage before it kept, as a table of documents.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from archivelens.llm import packing, tokens
+from archivelens.functions import scratch
+from archivelens.llm import mixing, neardup, packing, quality, secrets, tokens
 
+#: Tokenising and packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model, fitted on the labelled ones among them, doesn't reject."""
+    model = quality.train(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model).filter("quality_score >= 0.5").select(COLUMNS)
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least doc_id of each group of near-duplicates (similarity 0.8 or more).
+
+    Rows without a doc_id stay. Rows that share a doc_id are one document: all or none of them that
+    belong to the same group stay.
+    """
+    kept = neardup.near_duplicates(docs, percent=80).filter("kept and doc_id is not null").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null")).select(COLUMNS)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret found by the ledger scan masked in the text."""
+    ledger = scratch.stored(secrets.scan_unseen(docs, None), "ledger")
+    text = secrets.redacted(F.col("text"), F.col("secret_spans"))
+    masked = secrets.findings(docs, ledger).withColumn("text", text)
+    return masked.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: each document as often as its source's target takes it, in training order."""
+    return mixing.occurrences(mixing.mix(docs), COLUMNS).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training sequences of the byte-level vocabulary."""
     return packing.pack(docs, tokens.vocabulary_path("byte_bpe_50k.json"))
 
 
-STAGES = [("packing", pack)]
+STAGES = [("quality classifier", classify), ("near-dedup", dedup), ("secret scan", mask_secrets), ("mixing", mix), ("packing", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            path = f"{scratch.shared_dir(spark)}/stage-{k}-{uuid.uuid4().hex}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs
