@@ -24,7 +24,11 @@ SLICE = 4 << 20
 
 
 class _Words(dict):
-    """word -> its number, -1 for a word that isn't remembered; new words are noted in ``new``."""
+    """word -> its number, -1 for a word that isn't remembered; new words are noted with the owner.
+
+    Both pre-tokenizers part a run of letters from a full stop or comma after it, so such words are
+    put together from the two.
+    """
 
     def __init__(self, owner: WordTokenizer, lead: str) -> None:
         super().__init__()
@@ -34,8 +38,13 @@ class _Words(dict):
         o = self.owner
         if len(word) > LONGEST or (o.spaced and (word != word.strip() or (not word and self.lead))):
             return -1
-        self[word] = n = o.known + len(o.new)
-        o.new.append(self.lead + word)
+        if word[-1:] in (".", ",") and word[:-1].isalpha():
+            pair = self[word[:-1]], o.head[word[-1]]
+            self[word] = n = o.number()
+            o.pairs.append((n, *pair))
+        else:
+            self[word] = n = o.number()
+            (o.letters if word.isalpha() and self.lead == o.lead else o.others).append((n, self.lead + word))
         return n
 
 
@@ -47,51 +56,84 @@ class WordTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.spaced = spaced
+        self.spaced, self.lead = spaced, " " if spaced else ""
+        names = [self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size())]
+        # where words that are encoded together part: before a token with a space, after one that ends a word
+        self.parts = np.array([n.startswith("\u0120") if spaced else n.endswith("</w>") for n in names])
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.new = 0, []
-        self.head, self.tail = _Words(self, ""), _Words(self, " " if self.spaced else "")
-        self.flat, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64)
-        self.used = 0
+        self.known = 0
+        self.letters, self.others, self.pairs = [], [], []
+        self.tail = _Words(self, self.lead)
+        self.head = _Words(self, "") if self.spaced else self.tail
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.lens = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+
+    def number(self) -> int:
+        self.known += 1
+        return self.known - 1
+
+    def _keep(self, numbers: np.ndarray, ids: np.ndarray, lens: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[numbers], self.lens[numbers] = self.used + np.cumsum(lens) - lens, lens
+        self.used += len(ids)
 
-    def _learn(self) -> None:
-        if not self.new:
-            return
-        ids = [e.ids for e in self.library.encode_batch_fast(self.new, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        total, n = int(lens.sum()), self.known + len(ids)
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + 1 > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-        self.ends[self.known + 1 : n + 1] = self.used + np.cumsum(lens)
-        self.used, self.known, self.new = self.used + total, n, []
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum())), lens
+
+    def _learn(self) -> None:
+        while self.known > len(self.starts):
+            self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
+        for k in range(0, len(self.letters), 4096):  # words of letters only, parted by spaces, go in one text
+            numbers, words = zip(*self.letters[k : k + 4096], strict=True)
+            ids, _ = self._ids([" ".join(words) if not self.lead else "".join(words)])
+            at = np.flatnonzero(self.parts[ids])
+            lens = np.diff(at, append=len(ids)) if self.lead else np.diff(at, prepend=-1)
+            if len(at) != len(words) or lens.sum() != len(ids):
+                ids, lens = self._ids(list(words))
+            self._keep(np.array(numbers), ids, lens)
+        if self.others:
+            numbers, words = zip(*self.others, strict=True)
+            self._keep(np.array(numbers), *self._ids(list(words)))
+        if self.pairs:
+            pairs = np.array(self.pairs)
+            both = pairs[:, 1:].ravel()
+            self._keep(pairs[:, 0], self._gather(both)[0], self.lens[both].reshape(-1, 2).sum(1))
+        self.letters, self.others, self.pairs = [], [], []
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words by number, on end, and where each word's begin (and the end)."""
+        lens = self.lens[at]
+        bounds = np.concatenate([[0], np.cumsum(lens)])
+        return self.flat[np.arange(bounds[-1]) + np.repeat(self.starts[at] - bounds[:-1], lens)], bounds
 
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts on end, ``end_id`` after each, and the count for each text."""
         if self.known > MEMORY:
             self.forget()
-        tail, words, counts = self.tail, [], []
+        tail, words, counts = self.tail.__getitem__, [], []
         for text in texts:
             if self.spaced:
                 parts = (text or "").split(" ")
-                own = [self.head[parts[0]], *[tail[w] for w in parts[1:]]]
+                own = np.fromiter(map(tail, parts), np.int64, len(parts)) if len(parts) > 1 else np.zeros(1, np.int64)
+                own[0] = self.head[parts[0]]
             else:
-                own = [tail[w] for w in (text or "").replace("\n", " ").split(" ")]
-            words.append(np.array(own, np.int64))
+                parts = (text or "").replace("\n", " ").split(" ")
+                own = np.fromiter(map(tail, parts), np.int64, len(parts))
+            words.append(own)
             counts.append(len(own))
         self._learn()
         at = np.concatenate(words) if words else np.zeros(0, np.int64)
         odd = at < 0
-        at[odd] = 0
-        starts, lens = self.ends[at], self.ends[at + 1] - self.ends[at]
-        lens[odd] = 0
-        bounds = np.concatenate([[0], np.cumsum(lens)])
+        at[odd] = self.head[""]  # no ids
+        self._learn()
+        ids, bounds = self._gather(at)
         edges = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        ids = self.flat[np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], lens)]
         cuts = bounds[edges]
         whole = {int(i) for i in np.unique(np.searchsorted(edges, np.flatnonzero(odd), "right") - 1)}
         out, sizes, end = [], [], np.array([end_id], np.uint32)
