@@ -17,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Words that a worker remembers before it starts afresh, and the longest of them.
-MEMORY, LONGEST = 400_000, 128
+#: Words that a worker remembers before it starts afresh (some 250 MB), and the longest of them.
+MEMORY, LONGEST = 1_500_000, 128
 #: Bytes of text handled at once.
 SLICE = 4 << 20
 
