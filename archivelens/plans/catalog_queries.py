@@ -14,13 +14,13 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):  # noqa: ANN201
+def query(sql: str | None = None, queries: dict = QUERIES, found: dict[str, str] = SQL):  # noqa: ANN201
     """Register the function under its name, with SQL if there is any."""
 
     def add(f):  # noqa: ANN001, ANN202
-        QUERIES[f.__name__] = f
+        queries[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            found[f.__name__] = sql
         return f
 
     return add
