@@ -71,12 +71,14 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, sch
 
     Sources sort by code point, null last. A null text has size 0 and nothing is taken of it; null or
     repeated doc_ids are ordinary rows; equal rows are interchangeable; an empty table stays empty.
+    Columns of ``docs`` that start with mix_ are left out.
     The walk follows md5(doc_id), so reruns agree. A hot source is dealt over many tasks: its order is
     cut into ranges of md5, range totals are summed, and only within a range are rows ordered.
     """
     digits = 1
     while 16**digits * run < docs.count() and digits < 8:
         digits += 1
+    docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("mix_")])
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     own = docs.select(
         "*", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("m"), "source")).alias("mix_source"), size.alias("mix_size"),
@@ -84,21 +86,19 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, sch
     ).withColumn("mix_range", F.substring("mix_order", 1, digits))
     ranges = own.groupBy("mix_source", "mix_range").agg(F.sum("mix_size").alias("total"))
     before = Window.partitionBy("mix_source").orderBy("mix_range")
-    ranges = ranges.withColumn("range_start", F.sum("total").over(before) - F.col("total")).withColumn("source_size", F.sum("total").over(Window.partitionBy("mix_source")))
-    sources = ranges.groupBy(F.col("mix_source").alias("source_key")).agg(F.max("source_size").alias("source_size"))
-    plan = targets(_nulls_last(sources), weights, most).select("source_key", "kind", "target")
-    ranges = ranges.join(plan, F.col("mix_source") == F.substring("source_key", 2, 1 << 30)).select("mix_source", "mix_range", "range_start", "source_size", "kind", "target")
+    ranges = ranges.withColumn("mix_before", F.sum("total").over(before) - F.col("total")).withColumn("mix_source_size", F.sum("total").over(Window.partitionBy("mix_source")))
+    sources = ranges.groupBy(F.col("mix_source").alias("source_key")).agg(F.max("mix_source_size").alias("source_size"))
+    plan = targets(_nulls_last(sources), weights, most).select("source_key", F.col("kind").alias("mix_kind"), F.col("target").alias("mix_target"))
+    ranges = ranges.join(plan, F.col("mix_source") == F.substring("source_key", 2, 1 << 30)).drop("total", "source_key")
     within = Window.partitionBy("mix_source", "mix_range").orderBy("mix_order", "doc_id", "mix_size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = own.join(ranges, ["mix_source", "mix_range"]).withColumn("mix_start", F.col("range_start") + F.sum("mix_size").over(within) - F.col("mix_size"))
-    demand = F.floor(F.col("target") + 0.5).cast("long")
-    placed = placed.withColumn("mix_demand", demand)
-    passes = F.when(F.col("source_size") > 0, F.expr("mix_demand div source_size")).otherwise(0)
-    left = F.when(F.col("source_size") > 0, F.expr("mix_demand % source_size")).otherwise(0)
+    placed = own.join(ranges, ["mix_source", "mix_range"]).withColumn("mix_start", F.col("mix_before") + F.sum("mix_size").over(within) - F.col("mix_size"))
+    placed = placed.withColumn("mix_demand", F.floor(F.col("mix_target") + 0.5).cast("long"))
+    passes = F.when(F.col("mix_source_size") > 0, F.expr("mix_demand div mix_source_size")).otherwise(0)
+    left = F.when(F.col("mix_source_size") > 0, F.expr("mix_demand % mix_source_size")).otherwise(0)
     taken = passes * F.col("mix_size") + F.greatest(F.lit(0), F.least(F.col("mix_size"), left - F.col("mix_start")))
     placed = placed.withColumn("mix_taken", taken.cast("long")).withColumn("mix_share", F.when(F.col("mix_taken") > 0, F.col("mix_start") / F.col("mix_demand")))
-    placed = placed.withColumn("mix_position", F.expr(position_sql("kind", "mix_share", schedules)))
-    kept = [F.col(c) for c in docs.columns]
-    out = placed.select(*kept, "mix_size", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), "mix_taken", "mix_start", "mix_demand", F.col("kind").alias("mix_kind"), "mix_position")
+    placed = placed.withColumn("mix_position", F.expr(position_sql("mix_kind", "mix_share", schedules)))
+    out = placed.select(*docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_start", "mix_demand", "mix_kind", "mix_position")
     order = [F.col("mix_position").asc_nulls_last(), F.col("doc_id")]
     return out.repartitionByRange(*order).sortWithinPartitions(*order)
 
@@ -115,12 +115,12 @@ def occurrences(mixed: DataFrame, columns: list[str], schedules: Sequence = SCHE
     A document that the target cuts gives its first words, joined by spaces, in its last occurrence.
     Columns: ``columns`` (text among them) and mix_position; the rest of the rows isn't taken.
     """
-    start = F.col("pass") * F.col("mix_source_size") + F.col("mix_start")
+    start = F.col("mix_pass") * F.col("mix_source_size") + F.col("mix_start")
     words = F.greatest(F.lit(0), F.least(F.col("mix_size"), F.col("mix_demand") - start))
-    rows = mixed.filter("mix_taken > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.expr("cast((mix_taken - 1) div mix_size as int)"))))
-    rows = rows.withColumn("words", words).withColumn("mix_share", start / F.col("mix_demand")).withColumn("mix_position", F.expr(position_sql("mix_kind", "mix_share", schedules)))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("words").cast("int")), " ")
-    text = F.when(F.col("words") < F.col("mix_size"), cut).otherwise(F.col("text"))
+    rows = mixed.filter("mix_taken > 0").withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.expr("cast((mix_taken - 1) div mix_size as int)"))))
+    rows = rows.withColumn("mix_words", words).withColumn("mix_share", start / F.col("mix_demand")).withColumn("mix_position", F.expr(position_sql("mix_kind", "mix_share", schedules)))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("mix_words").cast("int")), " ")
+    text = F.when(F.col("mix_words") < F.col("mix_size"), cut).otherwise(F.col("text"))
     rows = rows.select(*[text.alias("text") if c == "text" else F.col(c) for c in columns], "mix_position")
     order = [F.col("mix_position"), F.col("doc_id")]
     return rows.repartitionByRange(*order).sortWithinPartitions(*order)
