@@ -83,7 +83,7 @@ def without_quotes(text: Column) -> Column:
 
     first = F.array_min(F.filter(F.sequence(F.lit(1), F.size(lines)), signed))
     kept = F.when(first.isNotNull(), F.slice(lines, F.lit(1), first - 1)).otherwise(lines)
-    return F.trim(F.array_join(kept, "\n"))
+    return F.btrim(F.array_join(kept, "\n"), F.lit(" \t\r\n"))
 
 
 def preprocess(text: Column, kind: Column, common: Sequence[str], mail: Sequence[str]) -> Column:

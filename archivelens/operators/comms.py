@@ -141,7 +141,7 @@ def read_mails(files: DataFrame) -> DataFrame:
                 try:
                     out += [{"source_file": name, **parse_mail(data), "error": None} for name, data in members(path, content)]
                 except Exception as e:  # noqa: BLE001  (any bad file becomes a row)
-                    out.append({"source_file": path, "error": f"{type(e).__name__}: {e}"})
+                    out.append(dict.fromkeys(columns) | {"source_file": path, "attachments": [], "error": f"{type(e).__name__}: {e}"})
             yield pd.DataFrame(out, columns=columns)
 
     return files.select("path", "content").mapInPandas(read, MAIL)

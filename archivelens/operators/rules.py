@@ -93,16 +93,15 @@ STATUS = (("approval", "waiting_approval"), ("review", "waiting_review"), ("fina
 def work_status(docs: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """Status and confidence of each group out of the signals its documents show.
 
-    Confidence: 45 + min(15, 3 docs) + min(25, 8 signals) + min(10, 2 completed) - min(10, 2 risks);
-    20 for a group without documents with signals.
+    Confidence: 45 + min(15, 3 docs) + min(25, 8 signals) + min(10, 2 completed) - min(10, 2 risks).
     """
     seen = found.groupBy(*keys).agg(*[F.max((F.col("label") == s).cast("int")).alias(s) for s, _ in STATUS], F.countDistinct("label").alias("signals"), F.count_if(F.col("label") == "final").alias("completed"), F.count_if(F.col("label") == "risk").alias("risks"))
-    rows = docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("docs")).join(seen, keys, "left")
+    rows = docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("docs")).join(seen, keys, "left").na.fill(0, ["signals", "completed", "risks"])
     status = F.lit("unknown")
     for signal, name in reversed(STATUS):
         status = F.when(F.col(signal) == 1, name).otherwise(status)
     score = F.lit(45) + F.least(F.lit(15), F.col("docs") * 3) + F.least(F.lit(25), F.col("signals") * 8) + F.least(F.lit(10), F.col("completed") * 2) - F.least(F.lit(10), F.col("risks") * 2)
-    return rows.select(*keys, "docs", status.alias("status"), F.coalesce(score, F.lit(20)).cast("int").alias("confidence"))
+    return rows.select(*keys, "docs", status.alias("status"), score.cast("int").alias("confidence"))
 
 
 def action_items(found: DataFrame, keys: list[str], most: int = 5) -> DataFrame:

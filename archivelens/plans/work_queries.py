@@ -234,7 +234,7 @@ SIGNALS = (("status", "approval", "contract", "name", 1, 1), ("status", "review"
 @query(f"""WITH {NAMED}, s(label, keyword) AS (VALUES {", ".join(str((r[1], r[2])) for r in SIGNALS)}), g AS (SELECT *, top || '/' || (doc_id % 8) AS grp FROM named),
 h AS (SELECT grp, max((label = 'approval')::INT) AS a, max((label = 'review')::INT) AS r, max((label = 'final')::INT) AS f, max((label = 'progress')::INT) AS p, count(DISTINCT label) AS signals, count(*) FILTER (label = 'final') AS done, count(*) FILTER (label = 'risk') AS risks FROM g, s WHERE contains(low_name, keyword) GROUP BY grp)
 SELECT d.grp, d.docs, CASE WHEN a = 1 THEN 'waiting_approval' WHEN r = 1 THEN 'waiting_review' WHEN f = 1 THEN 'completed' WHEN p = 1 THEN 'in_progress' ELSE 'unknown' END AS status,
-  coalesce(45 + least(15, docs * 3) + least(25, signals * 8) + least(10, done * 2) - least(10, risks * 2), 20)::INT AS confidence
+  (45 + least(15, docs * 3) + least(25, coalesce(signals, 0) * 8) + least(10, coalesce(done, 0) * 2) - least(10, coalesce(risks, 0) * 2))::INT AS confidence
 FROM (SELECT grp, count(*) AS docs FROM g GROUP BY grp) d LEFT JOIN h ON d.grp = h.grp""")
 def work_status(spark: SparkSession, d: str) -> DataFrame:
     docs = _named(spark, d).select("doc_id", "name", "text", F.concat_ws("/", paths.top(F.col("path")), F.col("doc_id") % 8).alias("grp"))
