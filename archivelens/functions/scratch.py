@@ -13,14 +13,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; where none is set (tests), a local one is made and set."""
+    """The session's shared folder; where none is named (tests), one is made for the application."""
     found = spark.conf.get(SETTING, None)
     if not found:
-        found = "file://" + os.path.join(tempfile.mkdtemp(prefix="archivelens-"), "shared")
-        spark.conf.set(SETTING, found)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + os.path.join(tempfile.mkdtemp(prefix="archivelens-"), "shared")
+            spark.sparkContext.setCheckpointDir(_OWN[app])
+        found = _OWN[app]
     return found.rstrip("/")
 
 

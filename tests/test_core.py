@@ -349,3 +349,17 @@ def test_registry_is_consistent():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_scratch_without_a_shared_folder(spark, monkeypatch):
+    from archivelens.functions import scratch
+
+    class Unset:
+        conf = type("conf", (), {"get": staticmethod(lambda key, default: default)})
+        sparkContext = spark.sparkContext
+
+    before = spark.sparkContext.getCheckpointDir()
+    first = scratch.shared_dir(Unset)
+    assert first.startswith("file://") and scratch.shared_dir(Unset) == first
+    if before:
+        spark.sparkContext.setCheckpointDir(before.rsplit("/", 1)[0])
