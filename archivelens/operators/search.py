@@ -7,10 +7,10 @@ through an equi-join on block numbers, and the best are kept by a ranking that S
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,33 +27,47 @@ def majority_size(chunks: DataFrame) -> DataFrame:
     return chunks.filter("embedding is not null").join(F.broadcast(best), F.size("embedding") == F.col("n"), "left_semi")  # one row
 
 
-def similarities(queries: DataFrame, chunks: DataFrame, floor: float | None = FLOOR, block: int = 64) -> DataFrame:
+def _packed(rows: DataFrame, per: int) -> tuple[DataFrame, int]:
+    """Rows (id, v) in blocks of ``per`` on average: block, dim, ids, vectors (bytes); and how many."""
+    n = max(1, -(-rows.count() // per))
+    kind = dict(rows.dtypes)["id"]
+
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("id").combine_chunks()
+        values = table.column("v").chunk(0).flatten().to_numpy(zero_copy_only=False)
+        ids = pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), table.column("id").chunk(0))
+        return pa.table({"block": [key[0].as_py()], "dim": [key[1].as_py()], "ids": ids, "vectors": [values.tobytes()]})
+
+    dealt = rows.select("id", "v", F.size("v").cast("long").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"))
+    return dealt.groupBy("block", "dim").applyInArrow(pack, f"block long, dim long, ids array<{kind}>, vectors binary"), n
+
+
+def similarities(queries: DataFrame, chunks: DataFrame, floor: float | None = FLOOR, block: int = 256, per: int = 2048) -> DataFrame:
     """query_id, chunk_id, similarity (rounded to 6 digits) of all pairs that reach ``floor``.
 
-    Queries are gathered in blocks; each block of vectors is one row that meets every chunk once, and
-    a block of chunks is compared by one matrix product. Zero vectors are similar to nothing.
+    Queries and chunks are gathered in blocks, one row each; every block of queries meets every block
+    of chunks by an equi-join on its number, and two blocks are compared by one matrix product. Zero
+    vectors are similar to nothing.
     """
-    wanted = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).filter("vector is not null")
-    n = max(1, -(-wanted.count() // block))
-    held = wanted.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n))).groupBy("block").agg(F.collect_list(F.struct("query_id", "vector")).alias("held"))
-    kind = dict(queries.dtypes)["query_id"]
-    chunk_kind = dict(chunks.dtypes)["chunk_id"]
-    rows = chunks.select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")))
-    met = rows.join(held, "block")
-
-    def compare(batches):  # noqa: ANN001, ANN202
+    kinds = dict(queries.dtypes)["query_id"], dict(chunks.dtypes)["chunk_id"]
+    asked, n = _packed(queries.filter("size(vector) > 0").select(F.col("query_id").alias("id"), F.col("vector").cast("array<double>").alias("v")), block)
+    held, _ = _packed(chunks.filter("size(embedding) > 0").select(F.col("chunk_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")), per)
+    asked = asked.select("block", "dim", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
+    met = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))).join(asked, ["block", "dim"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, part in batch.groupby("block"):
-                own = part["held"].iloc[0]
-                q = np.stack([x["vector"] for x in own])
-                c = np.stack(part["embedding"].to_list())
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                dim = row.column("dim")[0].as_py()
+                q, c = (np.frombuffer(row.column(name)[0].as_buffer()).reshape(-1, dim) for name in ("queries", "vectors"))
                 with np.errstate(divide="ignore", invalid="ignore"):
                     s = np.nan_to_num((c @ q.T) / (np.linalg.norm(c, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None, :]))
                 s = np.round(s, 6)
                 i, j = np.nonzero(s >= floor) if floor is not None else np.indices(s.shape).reshape(2, -1)
-                yield pd.DataFrame({"query_id": np.array([x["query_id"] for x in own])[j], "chunk_id": part["chunk_id"].to_numpy()[i], "similarity": s[i, j]})
+                yield pa.RecordBatch.from_arrays([row.column("query_ids").flatten().take(pa.array(j)), row.column("ids").flatten().take(pa.array(i)), pa.array(s[i, j])], ["query_id", "chunk_id", "similarity"])
 
-    return met.mapInPandas(compare, f"query_id {kind}, chunk_id {chunk_kind}, similarity double")
+    return met.select("dim", "ids", "vectors", "query_ids", "queries").mapInArrow(compare, f"query_id {kinds[0]}, chunk_id {kinds[1]}, similarity double")
 
 
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = NEAREST, floor: float | None = FLOOR) -> DataFrame:
@@ -80,17 +94,19 @@ def indexed_terms(terms: DataFrame, tokens: DataFrame) -> DataFrame:
     return terms.join(tokens.select(F.col("token").alias("term")).distinct(), "term", "left_semi")
 
 
-def term_hits(terms: DataFrame, chunks: DataFrame, target: str, name: str) -> DataFrame:
+def term_hits(terms: DataFrame, chunks: DataFrame, target: str, name: str, block: int = 500) -> DataFrame:
     """query_id, chunk_id, ``name``: how many terms of a query occur in a column (D10 containment).
 
-    Terms are few (a stated query set), so they are gathered by block and meet each chunk once.
+    Queries are dealt in blocks of a bounded size; each chunk meets every block and keeps the queries
+    that it holds a term of, so rows are only made for hits.
     """
-    held = terms.groupBy("query_id").agg(F.sort_array(F.collect_set("term")).alias("terms")).withColumn("one", F.lit(0))
-    lists = held.groupBy("one").agg(F.collect_list(F.struct("query_id", "terms")).alias("all"))
-    met = chunks.select("chunk_id", F.lower(F.col(target)).alias("target"), F.lit(0).alias("one")).join(F.broadcast(lists), "one")
-    flat = met.select("chunk_id", "target", F.explode("all").alias("q"))
-    counted = flat.select("q.query_id", "chunk_id", F.size(F.filter("q.terms", lambda t: F.contains(F.col("target"), t))).alias(name))
-    return counted.filter(F.col(name) > 0)
+    lists = terms.groupBy("query_id").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    n = max(1, -(-lists.count() // block))
+    held = lists.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("query_id", "terms")).alias("all"))
+    met = chunks.select("chunk_id", F.lower(F.col(target)).alias("target"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block")).join(held, "block")
+    found = F.transform("all", lambda q: F.struct(q["query_id"].alias("query_id"), F.size(F.filter(q["terms"], lambda t: F.contains(F.col("target"), t))).alias("hits")))
+    flat = met.select("chunk_id", F.explode(F.filter(found, lambda q: q["hits"] > 0)).alias("q"))
+    return flat.select("q.query_id", "chunk_id", F.col("q.hits").alias(name))
 
 
 def best_count(rows: DataFrame, keys: list[str], count: str) -> DataFrame:
