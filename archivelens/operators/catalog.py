@@ -188,3 +188,20 @@ def namespace_hints(files: DataFrame, most: int = 5) -> DataFrame:
 def _first(rows: DataFrame, keys: list[str], order: list, most: int, name: str = "rank") -> DataFrame:
     """The first rows of each group; Spark prunes them before the shuffle."""
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= most)
+
+
+def memo_picks(selected: DataFrame, files: DataFrame, scopes: DataFrame, most: int = 5, newest: int = 30) -> DataFrame:
+    """a memo's files: those it links itself (memo_id, path, position) first, filled up with files of
+    its scopes (memo_id, folder): of the ``newest`` latest, the best to review. Distinct by path."""
+    own = selected.join(files.select("path"), "path").select("memo_id", "path", F.lit(0).alias("source"), F.col("position").cast("long").alias("place"))
+    covered = files.select("path", "name", "size_bytes", "modified_at", "is_hidden", F.explode(paths.scopes(F.col("path"))).alias("folder")).join(scopes.select("memo_id", "folder").distinct(), "folder").drop("folder").distinct()
+    latest = _first(covered, ["memo_id"], [F.desc_nulls_last("modified_at"), F.col("path")], newest, "age")
+    order = Window.partitionBy("memo_id").orderBy(F.desc(review_score()), F.desc_nulls_last("modified_at"), "path")
+    auto = latest.withColumn("place", F.row_number().over(order).cast("long")).select("memo_id", "path", F.lit(1).alias("source"), "place")
+    both = own.unionByName(auto).groupBy("memo_id", "path").agg(F.min(F.struct("source", "place")).alias("first"))
+    return _first(both, ["memo_id"], [F.col("first.source"), F.col("first.place"), F.col("path")], most).select("memo_id", "path", F.col("first.source").alias("source"), "rank")
+
+
+def linked_items(items: DataFrame, links: DataFrame, kind: str, key: str = "source_file") -> DataFrame:
+    """Items (mails, chats) that a memo links by their source file."""
+    return items.join(links.filter(F.col("kind") == kind).select(F.col("target").alias(key)).distinct(), key, "left_semi")

@@ -247,3 +247,20 @@ def pack_context(hits: DataFrame) -> DataFrame:
     body = F.array_join(F.transform("held", lambda c, i: F.concat(F.lit("("), (i + 1).cast("string"), F.lit(") "), c["chunk_text"])), "\n")
     files = files.withColumn("block", F.concat(F.lit("[File "), F.col("file_no").cast("string"), F.lit("] "), "file_name", F.lit("\n"), body))
     return files.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_no", "block"))), lambda b: b["block"]), "\n\n").alias("context"))
+
+
+def text_hits_with_source(terms: DataFrame, source_terms: DataFrame, chunks: DataFrame) -> DataFrame:
+    """of queries with at least two terms, chunks that tie at most source terms in name and path and
+    hold at least one of the other terms in their text."""
+    two = terms.groupBy("query_id").agg(F.countDistinct("term").alias("n")).filter("n >= 2").select("query_id")
+    content = terms.join(source_terms, ["query_id", "term"], "left_anti").join(two, "query_id", "left_semi")
+    return best_token_match(source_terms, chunks).join(term_hits(content, chunks, "chunk_text", "content_hits"), ["query_id", "chunk_id"])
+
+
+def placeholder_only(rows: DataFrame, placeholder: Column, most: int = 10) -> DataFrame:
+    """Queries whose best rows (source_hits, similarity of 0.5 or more) are all placeholders, with
+    the first sources found but not readable."""
+    best = best_count(rows.filter("similarity >= 0.5").withColumn("placeholder", placeholder), ["query_id"], "source_hits")
+    flagged = best.groupBy("query_id").agg(F.bool_and("placeholder").alias("all")).filter(F.col("all")).select("query_id")
+    first = best.join(flagged, "query_id", "left_semi").select("query_id", "source_path").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("source_path"))).filter(F.col("rank") <= most)
+    return first.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("source_path")), "\n").alias("sources"))
