@@ -28,14 +28,20 @@ def union_roots(spark: SparkSession, d: str) -> DataFrame:
     return catalog.union_roots([("arc", files.filter("doc_id % 3 = 0")), ("arc", files.filter("doc_id % 3 = 1")), ("new", files.filter("doc_id % 3 = 2"))]).select("path")
 
 
-@query(f"""WITH {FILES} SELECT path, CASE WHEN doc_id % 20 <> 0 AND top <> 'src7' THEN '/mnt/' || top || '/' || substring(path, length(top) + 2) END AS absolute_path, CASE WHEN top = 'src7' THEN 'missing_file' END AS reason FROM files WHERE doc_id % 20 <> 0""")
+@query(f"""WITH {FILES} SELECT path, CASE WHEN top <> 'src7' THEN '/mnt/' || top || '/' || substring(path, length(top) + 2) END AS absolute_path, CASE WHEN top = 'src7' THEN 'missing_file' END AS reason FROM files""")
 def resolve_roots(spark: SparkSession, d: str) -> DataFrame:
-    files = A.files(spark, d).filter("doc_id % 20 <> 0")
+    files = A.files(spark, d)
     roots = files.select(paths.top(F.col("path")).alias("namespace")).distinct().filter("namespace <> 'src7'").withColumn("root", F.concat(F.lit("/mnt/"), "namespace"))
     return catalog.resolve_roots(files, roots).select("path", "absolute_path", "reason")
 
 
-@query(f"""WITH {FILES}, {MEMO_LINKS}, own AS (SELECT doc_id % 23 AS memo_id, path, doc_id AS position FROM files WHERE doc_id % 40 = 0),
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    """Explicit file links of memos out of suppliers."""
+    files = A.files(spark, d).select((F.col("doc_id")).alias("doc"), "path")
+    return A.table(spark, d, "supplier").join(files, F.col("doc") == F.col("s_suppkey") * 3).select((F.col("s_suppkey") % 23).alias("memo_id"), "path", "s_suppkey")
+
+
+@query(f"""WITH {FILES}, {MEMO_LINKS}, own AS (SELECT s_suppkey % 23 AS memo_id, path, s_suppkey AS position FROM supplier JOIN files ON doc_id = s_suppkey * 3),
 covered AS (SELECT DISTINCT memo_id, path, ext, size_bytes, modified_at, is_hidden FROM files JOIN memo_links ON target = top OR target = parent),
 latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY memo_id ORDER BY modified_at DESC, path) AS age FROM covered) WHERE age <= 30),
 auto AS (SELECT memo_id, path, 1 AS source, row_number() OVER (PARTITION BY memo_id ORDER BY CASE WHEN ext IN ('.docx', '.xlsx', '.pdf', '.txt', '.md', '.csv') THEN 40 ELSE 0 END + CASE WHEN size_bytes >= 1024 THEN 10 ELSE 0 END
@@ -44,22 +50,22 @@ firsts AS (SELECT memo_id, path, min(row(source, place)) AS f FROM (SELECT memo_
 SELECT memo_id, path, f[1]::INT AS source, rank FROM (SELECT *, row_number() OVER (PARTITION BY memo_id ORDER BY f, path)::INT AS rank FROM firsts) WHERE rank <= 5""")
 def memo_picks(spark: SparkSession, d: str) -> DataFrame:
     files, links = A.files(spark, d), A.memo_links(spark, d)
-    own = files.filter("doc_id % 40 = 0").select((F.col("doc_id") % 23).alias("memo_id"), "path", F.col("doc_id").alias("position"))
+    own = _links(spark, d).select("memo_id", "path", F.col("s_suppkey").alias("position"))
     return catalog.memo_picks(own, files, links.select("memo_id", F.col("target").alias("folder")))
 
 
-@query("""WITH links AS (SELECT DISTINCT 's' || s_suppkey AS target FROM supplier WHERE s_suppkey % 4 = 0) SELECT event_id, 's' || (user_id % 90) AS source_file FROM events WHERE 's' || (user_id % 90) IN (SELECT target FROM links)""")
+@query("""WITH links AS (SELECT DISTINCT 's' || s_suppkey AS target FROM supplier WHERE CASE WHEN s_suppkey % 4 = 0 THEN 'mail' ELSE 'chat' END = 'mail') SELECT event_id, 's' || (user_id % 90) AS source_file FROM events WHERE 's' || (user_id % 90) IN (SELECT target FROM links)""")
 def linked_items(spark: SparkSession, d: str) -> DataFrame:
     items = A.table(spark, d, "events").select("event_id", F.concat(F.lit("s"), F.col("user_id") % 90).alias("source_file"))
-    links = A.table(spark, d, "supplier").filter("s_suppkey % 4 = 0").select(F.lit("mail").alias("kind"), F.concat(F.lit("s"), "s_suppkey").alias("target"))
+    links = A.table(spark, d, "supplier").select(F.when(F.col("s_suppkey") % 4 == 0, "mail").otherwise("chat").alias("kind"), F.concat(F.lit("s"), "s_suppkey").alias("target"))
     return catalog.linked_items(items, links, "mail").select("event_id", "source_file")
 
 
-@query(f"""WITH {FILES} SELECT path, pos::INT AS position, memo_id FROM (SELECT doc_id % 5 AS memo_id, unnest(list(path ORDER BY path)) AS path, generate_subscripts(list(path ORDER BY path), 1) - 1 AS pos FROM files WHERE doc_id % 30 = 0 GROUP BY doc_id % 5)""")
+@query(f"""WITH {FILES}, own AS (SELECT s_suppkey % 23 AS memo_id, path FROM supplier JOIN files ON doc_id = s_suppkey * 3)
+SELECT memo_id, path, row_number() OVER (PARTITION BY memo_id ORDER BY path)::INT - 1 AS position FROM own""")
 def selected_files(spark: SparkSession, d: str) -> DataFrame:
-    files = A.files(spark, d)
-    links = files.filter("doc_id % 30 = 0").groupBy((F.col("doc_id") % 5).alias("memo_id")).agg(F.array_sort(F.collect_list("path")).alias("targets"))
-    return catalog.selected_files(links, files).select("path", "position", "memo_id")
+    links = _links(spark, d).groupBy("memo_id").agg(F.array_sort(F.collect_list("path")).alias("targets"))
+    return catalog.selected_files(links, A.files(spark, d).select("path")).select("memo_id", "path", "position")
 
 
 def _mails(spark: SparkSession, d: str) -> DataFrame:

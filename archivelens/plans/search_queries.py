@@ -33,11 +33,11 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {VECTORS}, s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id,
   round(list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e))), 6) AS similarity
-  FROM v q, v c WHERE q.vec_id % 25 = 0)
+  FROM v q, v c WHERE q.vec_id % 20 = 0)
 SELECT query_id, chunk_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id)::INT AS rank FROM s WHERE similarity >= 0.1) WHERE rank <= 12""")
 def vector_topk_batch(spark: SparkSession, d: str) -> DataFrame:
     chunks = A.chunks(spark, d)
-    queries = chunks.filter("chunk_id % 25 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    queries = chunks.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
     return search.vector_topk(queries, chunks, floor=0.1)
 
 
@@ -97,14 +97,14 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
-    rows = A.chunks(spark, d).filter("chunk_id % 40 = 0")
-    words = F.element_at(F.array(*map(F.lit, ("fr entionsh src", "password stand de", "es license", "thing reou en"))), (F.col("chunk_id") / 40 % 4 + 1).cast("int"))
+    rows = A.chunks(spark, d).filter("chunk_id % 20 = 0")
+    words = F.element_at(F.array(*map(F.lit, ("fr entionsh src", "password stand de", "es license", "thing reou en"))), (F.col("chunk_id") / 20 % 4 + 1).cast("int"))
     return rows.select(F.col("chunk_id").alias("query_id"), words.alias("text"), F.col("embedding").alias("vector"))
 
 
 CHUNKS = f"""{FILES}, chunks AS (SELECT f.doc_id AS chunk_id, f.name AS file_name, f.path AS source_path, f.modified_at, f.text AS chunk_text, e.embedding::DOUBLE[] AS e
   FROM files f JOIN embeddings e ON e.vec_id = f.doc_id),
-questions AS (SELECT vec_id AS query_id, list_value('fr entionsh src', 'password stand de', 'es license', 'thing reou en')[(vec_id // 40 % 4 + 1)::INT] AS text, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 40 = 0),
+questions AS (SELECT vec_id AS query_id, list_value('fr entionsh src', 'password stand de', 'es license', 'thing reou en')[(vec_id // 20 % 4 + 1)::INT] AS text, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 20 = 0),
 terms AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda t: length(t) >= 2)) AS term FROM questions),
 tokens AS (SELECT DISTINCT chunk_id, unnest(list_filter(regexp_split_to_array(lower(file_name || ' ' || source_path), '[\\s_\\-./]+'), lambda t: length(t) >= 2 AND t NOT IN ('docx', 'xlsx', 'pdf', 'txt', 'md', 'csv', 'eml') AND NOT regexp_matches(t, '^[0-9]+$'))) AS term FROM chunks),
 source_terms AS (SELECT * FROM terms WHERE term IN (SELECT term FROM tokens)),

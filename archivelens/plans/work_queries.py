@@ -273,11 +273,11 @@ def workflow(spark: SparkSession, d: str) -> DataFrame:
     return rules.workflow(_hits(spark, d), ["top"])
 
 
-@query("""WITH c AS (SELECT event_type AS unit_type, 'unit ' || (user_id % 12) AS name, (event_id % 60)::INT AS confidence, event_id AS ord FROM events WHERE event_id % 37 = 0),
+@query("""WITH c AS (SELECT event_type AS unit_type, 'unit ' || (user_id % 12) AS name, (event_id % 60)::INT AS confidence, event_id AS ord FROM events),
 i AS (SELECT *, row_number() OVER (PARTITION BY unit_type, name ORDER BY ord) AS i, count(*) OVER (PARTITION BY unit_type, name) AS n FROM c)
 SELECT unit_type, name, least(100, max(confidence + 3 * CASE WHEN i = 1 THEN n - 1 ELSE n - i + 1 END))::INT AS confidence, count(*) AS sources FROM i GROUP BY ALL""")
 def unit_resolver(spark: SparkSession, d: str) -> DataFrame:
-    rows = A.table(spark, d, "events").filter("event_id % 37 = 0")
+    rows = A.table(spark, d, "events")
     return cluster.resolve_units(rows.select(F.col("event_type").alias("unit_type"), F.concat(F.lit("unit "), F.col("user_id") % 12).alias("name"), (F.col("event_id") % 60).cast("int").alias("confidence"), F.col("event_id").alias("ord")))
 
 
@@ -292,12 +292,12 @@ def quality_audit(spark: SparkSession, d: str) -> DataFrame:
     return audit.structural_audit(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
-@query(f"""WITH {FILES}, r AS (SELECT top, max((doc_id % 7 = 0)::INT) AS representative, max((doc_id % 11 = 1)::INT) AS support, max((doc_id % 2 = 0)::INT) AS reference FROM files WHERE doc_id % 9 = 0 GROUP BY top),
+@query(f"""WITH {FILES}, r AS (SELECT top, max((doc_id % 7 = 0)::INT) AS representative, max((doc_id % 11 = 1)::INT) AS support, max((doc_id % 2 = 0)::INT) AS reference FROM files GROUP BY top),
 s AS (SELECT *, representative * 70 + support * 20 + reference * 10 AS t FROM r),
 p AS (SELECT top, representative, support, reference, CASE WHEN t > 0 THEN round_even(representative * 70 * 100.0 / t, 0) ELSE 0 END::INT AS a, CASE WHEN t > 0 THEN round_even(support * 20 * 100.0 / t, 0) ELSE 0 END::INT AS b, CASE WHEN t > 0 THEN round_even(reference * 10 * 100.0 / t, 0) ELSE 0 END::INT AS c FROM s)
 SELECT top, CASE WHEN a > 0 THEN a + 100 - a - b - c ELSE a END::INT AS representative, CASE WHEN a = 0 AND b > 0 THEN b + 100 - a - b - c ELSE b END::INT AS support, CASE WHEN a = 0 AND b = 0 AND c > 0 THEN 100 ELSE c END::INT AS reference FROM p""")
 def basis_ratio(spark: SparkSession, d: str) -> DataFrame:
-    files = A.files(spark, d).filter("doc_id % 9 = 0").withColumn("top", paths.top(F.col("path")))
+    files = A.files(spark, d).withColumn("top", paths.top(F.col("path")))
     roles = F.array_compact(F.array(F.when(F.col("doc_id") % 7 == 0, "representative"), F.when(F.col("doc_id") % 11 == 1, "support"), F.when(F.col("doc_id") % 2 == 0, "reference"), F.lit("none")))
     return audit.basis_ratio(files.select("top", F.explode(roles).alias("role")), ["top"])
 
