@@ -214,7 +214,7 @@ def outline(texts: DataFrame, key: str = "doc_id") -> DataFrame:
     """Key, line_no, level, label and parent of outline lines: numbered lines are parents, bullets,
     sub-numbers and indented lines their children. The parent is carried forward over a text's lines."""
     lines = texts.select(key, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.trim("line") != "")
-    rows = lines.withColumn("level", outline_level(F.col("line"))).withColumn("label", F.trim(F.regexp_replace("line", r"^\s*(?:[0-9]+(?:\.[0-9]+)*[.)]?|[-*•])\s*", "")))
+    rows = lines.withColumn("level", outline_level(F.col("line"))).withColumn("label", F.trim(F.regexp_replace("line", r"^\s*(?:(?:[0-9]+(?:\.[0-9]+)*[.)]?|[-*•])\s*)?", "")))
     order = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     above = F.last(F.when(F.col("level") == 1, F.col("label")), ignorenulls=True).over(order)
     return rows.select(key, "line_no", "level", "label", F.when(F.col("level") == 2, above).alias("parent"))

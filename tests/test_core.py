@@ -363,3 +363,39 @@ def test_scratch_without_a_shared_folder(spark, monkeypatch):
     assert first.startswith("file://") and scratch.shared_dir(Unset) == first
     if before:
         spark.sparkContext.setCheckpointDir(before.rsplit("/", 1)[0])
+
+
+def test_outline_and_placeholders(spark):
+    rows = text.outline(spark.createDataFrame([(1, "1. Plan\n - first\n1.1 second\n\n2) Build\n\tthird\nalone")], "doc_id int, text string")).orderBy("line_no").collect()
+    assert [(r["level"], r["label"], r["parent"]) for r in rows] == [(1, "Plan", None), (2, "first", "Plan"), (2, "second", "Plan"), (1, "Build", None), (2, "third", "Build"), (1, "alone", None)]
+    hits = spark.createDataFrame([(1, "a", 2, 0.6, True), (1, "b", 1, 0.9, False), (2, "c", 1, 0.7, True), (2, "d", 1, 0.7, False)], "query_id int, source_path string, source_hits int, similarity double, p boolean")
+    assert [(r["query_id"], r["sources"]) for r in search.placeholder_only(hits, F.col("p")).collect()] == [(1, "a")]
+
+
+def test_text_hits_need_a_source_term(spark):
+    chunks = spark.createDataFrame([(1, "budget.docx", "x/budget.docx", "the roof leaks"), (2, "other.docx", "x/other.docx", "the roof leaks")], "chunk_id int, file_name string, source_path string, chunk_text string")
+    terms = spark.createDataFrame([(1, "budget"), (1, "roof"), (2, "budget")], "query_id int, term string")
+    own = search.indexed_terms(terms, search.index(chunks))
+    assert [(r["query_id"], r["chunk_id"], r["content_hits"]) for r in search.text_hits_with_source(terms, own, chunks).collect()] == [(1, 1, 1)]
+
+
+def test_results_do_not_depend_on_partitions(spark):
+    rows = files(spark, [(f"p{i % 3}/doc_{i % 40}_v{i % 5}.md", i, i % 50) for i in range(120)]).withColumn("doc_id", F.monotonically_increasing_id()).dropDuplicates(["path"])
+    for f in (lambda d: dedup.versions(d), lambda d: dedup.families(d), lambda d: catalog.recent_files(d), lambda d: catalog.review_candidates(d)):
+        columns = [c for c in f(rows).columns if c != "doc_id"]
+        assert {tuple(map(str, r)) for r in f(rows).select(columns).collect()} == {tuple(map(str, r)) for r in f(rows.repartition(7)).select(columns).collect()}
+
+
+def test_date_ranking_reads_a_number(spark):
+    chunks = spark.createDataFrame([(f"p{i}", day(i)) for i in range(9)], "source_path string, modified_at timestamp")
+    asked = spark.createDataFrame([(1, "latest 2"), (2, "latest")], "query_id int, text string")
+    got = [(r["query_id"], r["source_path"]) for r in search.date_ranking(F.col("text"), chunks, asked).orderBy("query_id", "rank").collect()]
+    assert got == [(1, "p0"), (1, "p1"), *[(2, f"p{i}") for i in range(5)]]
+
+
+def test_similar_names_and_clusters(spark):
+    rows = files(spark, [("a/budget plan 1.docx", 1, 1), ("a/budget plan 2.docx", 1, 2), ("a/zebra.md", 1, 3), ("b/budget plan 3.docx", 1, 1)])
+    kept = {r["path"] for r in dedup.similar_names(rows, paths.parent(F.col("path"))).filter("kept").collect()}
+    assert kept == {"a/budget plan 1.docx", "a/zebra.md", "b/budget plan 3.docx"}
+    own = files(spark, [("p/design_v1.docx", 1, 1), ("p/design_v2.docx", 1, 2), ("p/other.md", 1, 300)]).withColumn("doc_id", F.when(F.col("path").contains("v1"), 1).when(F.col("path").contains("v2"), 2).otherwise(3))
+    assert {(r["doc_id"], r["cluster"]) for r in cluster.work_clusters(own).collect()} == {(1, 1), (2, 1), (3, 3)}
