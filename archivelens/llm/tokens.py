@@ -202,5 +202,6 @@ def tokenize(docs: DataFrame, path: str, spaced: bool, end_id: int) -> DataFrame
             for part in slices(batch, "text"):
                 ids, counts = own.encode(part.column("text").to_pylist(), end_id)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), binary_column(ids.astype("<u2"), counts)], ["doc_id", "n_tokens", "ids"])
+        own.forget()  # an idle worker keeps no words
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(encode, "doc_id long, n_tokens long, ids binary")
