@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from archivelens.functions import scratch
+
 #: A word; weights and schedules go round the sources in order; no source is repeated more often.
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, MOST = (5, 2, 1), 3
@@ -84,7 +86,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, sch
         "*", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("m"), "source")).alias("mix_source"), size.alias("mix_size"),
         F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit("-")).alias("mix_order"),
     ).withColumn("mix_range", F.substring("mix_order", 1, digits))
-    ranges = own.groupBy("mix_source", "mix_range").agg(F.sum("mix_size").alias("total"))
+    ranges = scratch.stored(own.groupBy("mix_source", "mix_range").agg(F.sum("mix_size").alias("total")), "ranges")
     before = Window.partitionBy("mix_source").orderBy("mix_range")
     ranges = ranges.withColumn("mix_before", F.sum("total").over(before) - F.col("total")).withColumn("mix_source_size", F.sum("total").over(Window.partitionBy("mix_source")))
     sources = ranges.groupBy(F.col("mix_source").alias("source_key")).agg(F.max("mix_source_size").alias("source_size"))
