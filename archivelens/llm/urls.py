@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from archivelens.functions import scratch
+
 #: (verdict, host, path); the longest rule that fits wins.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: Words that mark a url as unwanted when the model is taught.
@@ -99,16 +101,18 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, unwan
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     hosts = rows.select("host").distinct()
     labels = hosts.select("host", F.posexplode(F.split("host", "[^a-z0-9]+")).alias("place", "label"))
-    words = segment(labels.select("label").filter("label <> ''").distinct(), word_counts(pages, unwanted))
+    counts = scratch.stored(word_counts(pages, unwanted), "words")  # the html is read once
+    words = segment(labels.select("label").filter("label <> ''").distinct(), counts)
     split = labels.join(words, "label").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("place", "words"))).alias("all"))
     split = split.select("host", F.flatten(F.transform("all", lambda x: x["words"])).alias("host_words"))
-    rows = rows.join(split, "host", "left").withColumn("host_words", F.coalesce("host_words", F.array().cast("array<string>")))
+    rows = rows.join(scratch.stored(split, "hosts"), "host", "left").withColumn("host_words", F.coalesce("host_words", F.array().cast("array<string>")))
     # digits count as one token whatever their value
     steps = F.filter(F.split(F.regexp_replace(F.lower("path"), "[0-9]+", "0"), "[^\\p{L}\\p{N}]+"), lambda t: t != "")
     rows = rows.withColumn("steps", steps)
     marked = F.arrays_overlap(F.concat("host_words", "steps"), F.array(*map(F.lit, unwanted)))
     features = F.concat(F.transform("host_words", lambda t: F.concat(F.lit("host "), t)), F.transform("steps", lambda t: F.concat(F.lit("path "), t)))
     rows = rows.withColumn("marked", F.coalesce(marked, F.lit(False))).withColumn("buckets", F.transform(features, lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS))))
+    rows = scratch.stored(rows.drop("steps"), "urls")
     weights, prior = naive_bayes(rows)
 
     @F.pandas_udf("double")
