@@ -118,18 +118,19 @@ def decode(payload: bytes, bits: np.ndarray, count: int, table: np.ndarray) -> n
 
 
 def count_ids(ids: DataFrame, vocabulary: int) -> np.ndarray:
-    """How often each id occurs in all documents; at most ``vocabulary`` rows reach the driver."""
+    """How often each id occurs in all documents, out of the tasks' own counts (column ``tally``, the
+    only one read); at most ``vocabulary`` rows reach the driver."""
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for x in batch.column("ids"):
-                total += np.bincount(np.frombuffer(x.as_buffer(), "<u2"), minlength=vocabulary)
+            for x in batch.column("tally"):
+                total += np.frombuffer(x.as_buffer(), np.int64)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
 
     counts = np.zeros(vocabulary, np.int64)
-    for row in ids.select("ids").mapInArrow(tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for row in ids.select("tally").filter("tally is not null").mapInArrow(add, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[row["id"]] = row["n"]
     return counts
 
@@ -141,7 +142,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END, vocabulary
     other by checksum and ids; extra columns are ignored; an empty table gives no blocks.
     """
     spark = docs.sparkSession
-    ids = scratch.stored(tokens.tokenize(docs, path, spaced=False, end_id=end_id), "ids")
+    ids = scratch.stored(tokens.tokenize(docs, path, spaced=False, end_id=end_id, tally=vocabulary), "ids")
     lengths = code_lengths(count_ids(ids, vocabulary))
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{folder}/code")
     sent = spark.sparkContext.broadcast(lengths)  # a byte for each id of the vocabulary
@@ -178,7 +179,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END, vocabulary
             yield flush()
 
     n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = ids.withColumn("sum", F.crc32("ids")).repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "sum").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "sum", "ids")
+    ordered = ids.filter("n_tokens is not null").select("doc_id", "ids").withColumn("sum", F.crc32("ids")).repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "sum").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "sum", "ids")
     ordered.select("doc_id", "ids").mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
 
 

@@ -17,17 +17,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Words that a worker remembers before it starts afresh (some 250 MB), and the longest of them.
-MEMORY, LONGEST = 1_500_000, 128
+#: Words that a worker remembers before it starts afresh (some 250 MB), that an idle one keeps (some
+#: 100 MB), and the longest of them.
+MEMORY, IDLE, LONGEST = 1_500_000, 600_000, 128
+#: Marks that may follow a word.
+MARKS = ".,;:!?*#$%&|)\"]}"
 #: Bytes of text handled at once.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 class _Words(dict):
     """word -> its number, -1 for a word that isn't remembered; new words are noted with the owner.
 
-    Both pre-tokenizers part a run of letters from a full stop or comma after it, so such words are
-    put together from the two.
+    Both pre-tokenizers part a run of letters from the marks after it, so such words are put together
+    from the two.
     """
 
     def __init__(self, owner: WordTokenizer, lead: str) -> None:
@@ -38,8 +41,9 @@ class _Words(dict):
         o = self.owner
         if len(word) > LONGEST or (o.spaced and (word != word.strip() or (not word and self.lead))):
             return -1
-        if word[-1:] in (".", ",") and word[:-1].isalpha():
-            pair = self[word[:-1]], o.head[word[-1]]
+        bare = word.rstrip(MARKS)
+        if bare != word and bare.isalpha():
+            pair = self[bare], o.head[word[len(bare) :]]
             self[word] = n = o.number()
             o.pairs.append((n, *pair))
         else:
@@ -123,7 +127,7 @@ class WordTokenizer:
                 own = np.fromiter(map(tail, parts), np.int64, len(parts)) if len(parts) > 1 else np.zeros(1, np.int64)
                 own[0] = self.head[parts[0]]
             else:
-                parts = (text or "").replace("\n", " ").split(" ")
+                parts = _folded(text or "").replace("\n", " ").split(" ")
                 own = np.fromiter(map(tail, parts), np.int64, len(parts))
             words.append(own)
             counts.append(len(own))
@@ -144,6 +148,16 @@ class WordTokenizer:
         return (np.concatenate(out) if out else np.zeros(0, np.uint32)), np.array(sizes, np.int64)
 
 
+def _folded(text: str) -> str:
+    """The text in lower case if that can't change its ids: the vocabulary of word ends normalises and
+    lower-cases anyway, and for Latin-1 characters the two don't depend on order or context."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 _LOADED: dict[tuple[str, bool], WordTokenizer] = {}
 
 
@@ -185,23 +199,37 @@ def binary_column(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
 
 
-def tokenize(docs: DataFrame, path: str, spaced: bool, end_id: int) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, spaced: bool, end_id: int, tally: int = 0) -> DataFrame:
     """doc_id, n_tokens, ids: the ids of each whole text with ``end_id`` after them.
 
     ``ids`` is the bytes of little-endian unsigned 16-bit integers, since both vocabularies have
     fewer than 65,536 ids. A null text counts as empty and gives the end id alone; a null doc_id is
     kept; other columns are left out; equal rows give equal rows; an empty table an empty one.
+
+    With ``tally`` (the vocabulary's size) there is a column ``tally`` as well: one more row for each
+    task, null in the other columns, has how often each id occurred in it (64-bit integers).
     """
+    names = ["doc_id", "n_tokens", "ids", *(["tally"] if tally else [])]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         own = tokenizer(path, spaced)
+        seen = np.zeros(tally, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, counts = own.encode(part.column("text").to_pylist(), end_id)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), binary_column(ids.astype("<u2"), counts)], ["doc_id", "n_tokens", "ids"])
-        own.forget()  # an idle worker keeps no words
-
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(encode, "doc_id long, n_tokens long, ids binary")
+                row = [part.column("doc_id"), pa.array(counts), binary_column(ids.astype("<u2"), counts)]
+                if tally:
+                    seen += np.bincount(ids, minlength=tally)
+                    row.append(pa.nulls(len(counts), pa.binary()))
+                yield pa.RecordBatch.from_arrays(row, names)
+        if seen.any():
+            nothing = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*nothing, pa.array([seen.tobytes()], pa.binary())], names)
+        if own.known > IDLE:
+            own.forget()
+
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    return rows.mapInArrow(encode, "doc_id long, n_tokens long, ids binary" + ", tally binary" * bool(tally))
