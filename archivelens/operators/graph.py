@@ -2,7 +2,9 @@
 
 Each step relates neighbours to the least node around: a large star moves a node's larger neighbours
 to its least one, a small star its smaller ones and itself. The edge table never grows by more than
-a constant factor, and the number of rounds grows with the logarithm of the longest path.
+a constant factor, and the number of rounds grows with the logarithm of the longest path. Least
+neighbours are combined before the shuffle and stored, so the join that follows is a plain one whose hot
+nodes (the centre of a large component) Spark splits over tasks.
 """
 
 from __future__ import annotations
@@ -15,13 +17,13 @@ from archivelens.functions import scratch
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("a", "least"))
+    least = scratch.stored(both.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("a", "least")), "least")
     return both.filter("b > a").join(least, "a").filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("least"))
+    least = scratch.stored(down.groupBy("a").agg(F.min("b").alias("least")), "least")
     moved = down.join(least, "a").filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
     return moved.unionByName(least.select("a", F.col("least").alias("b"))).distinct()
 
