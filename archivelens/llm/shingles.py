@@ -19,12 +19,18 @@ _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _PLACE = _SEED.integers(1, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    if n > 1:
-        out[1:] = base
-        np.multiply.accumulate(out, out=out)
-    return out
+    """The first ``n`` powers, kept by the worker and made anew only for a longer text."""
+    held = _POWERS.get(int(base))
+    if held is None or len(held) < n:
+        held = np.full(max(n, 1 << 20), base, np.uint64)
+        held[0] = 1
+        np.multiply.accumulate(held, out=held)
+        _POWERS[int(base)] = held
+    return held[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
