@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archivelens.functions import scratch
@@ -223,7 +223,8 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], ["a", "b"])
 
     keys = classes.select("print", "n_shingles", F.explode("bands").alias("key"))
-    full = keys.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("members > 1")
+    shared = scratch.stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "buckets")
+    full = keys.join(shared, "key")
     full = _blocks(full, F.col("print"), "members", BUCKET).join(classes.select("print", "low"), "print")
     rows = full.select("key", "p", "q", "print", "n_shingles", "low").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
     return rows.mapInArrow(compare, "a binary, b binary").distinct()
@@ -256,7 +257,7 @@ def verified(docs: DataFrame, classes: DataFrame, units: DataFrame, percent: int
                 rows = [part.column(c) for c in ("unit", "p", "q", "print")] + [tokens.binary_column(flat, sizes)]
                 yield pa.RecordBatch.from_arrays(rows, ["unit", "p", "q", "print", "set"]).filter(same)
 
-    members = units.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("component")))
+    members = units.join(scratch.stored(units.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "units"), "component")
     members = _blocks(members, F.col("node"), "members", UNIT).select(F.col("component").alias("unit"), "p", "q", F.col("node").alias("print"))
     named = members.join(classes.select("print", F.col("first_id").alias("doc_id")), "print")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -279,13 +280,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     rows = scratch.stored(describe(docs, percent), "sketches")
     sound = rows.filter("print is not null and doc_id is not null")
     classes = sound.groupBy("print").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("low").alias("low"))
+    classes = scratch.stored(classes, "classes")
     units = graph.connected_components(candidates(classes, percent))
     groups = graph.connected_components(verified(docs, classes, units, percent))
-    first = sound.groupBy("print").agg(F.min("doc_id").alias("first_id"))
-    placed = first.join(groups, first["print"] == groups["node"], "left").select("print", "first_id", F.coalesce("component", "print").alias("component"))
-    least = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    # a class of one text in a group of its own needs no join: its component_id is its own doc_id
-    named = placed.join(least, "component").select(F.col("print"), "component_id")
+    first = classes.select("print", "first_id")
+    linked_classes = groups.join(first, groups["node"] == first["print"]).select("print", "first_id", "component")
+    least = scratch.stored(linked_classes.groupBy("component").agg(F.min("first_id").alias("component_id")), "least")
+    ids = linked_classes.join(least, "component").select("print", "component_id")
+    # a class without links is a group of its own
+    named = scratch.stored(first.join(ids, "print", "left").select("print", F.coalesce("component_id", "first_id").alias("component_id")), "names")
     out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("print")).alias("print")).join(named, "print", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
