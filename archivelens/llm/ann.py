@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors of a shard and queries of a block on average, vectors of a leaf, neighbours, relaxation.
-SHARD, BLOCK, LEAF, NEAREST, FACTOR = 8192, 2048, 64, 20, 2.0
+SHARD, BLOCK, LEAF, NEAREST, FACTOR = 8192, 2048, 256, 20, 4.0
 
 
 class Tree:
