@@ -66,19 +66,19 @@ def place(counts: np.ndarray, room: int) -> tuple[np.ndarray, ...]:
     )
 
 
-def pack(docs: DataFrame, path: str, length: int = LENGTH, group: int = GROUP, end_id: int = END, seed: int = 7) -> DataFrame:
+def pack(docs: DataFrame, path: str, length: int = LENGTH, group: int = GROUP, end_id: int = END, seed: int = 7, idle: int = tokens.IDLE) -> DataFrame:
     """Pack all documents (doc_id, text) into sequences of at most ``length`` tokens.
 
     One row a piece: doc_id, start (ids of its document before it), length, doc_tokens (of its
     document, the end id included), sequence_id, offset (in the sequence, gapless from 0), tokens
     (its ids as bytes of little-endian unsigned 32-bit integers). Each id lies in one piece.
 
-    Documents are dealt to groups of ``group`` on average by a hash of doc_id with ``seed``, so a
+    ``idle`` is the number of words that a worker may keep between tasks. Documents are dealt to groups of ``group`` on average by a hash of doc_id with ``seed``, so a
     rerun packs alike. A null text is empty and packs its end id; null doc_ids form rows of their
     own; repeated rows are packed each; extra columns are ignored; an empty table gives no rows.
     """
     groups = max(1, -(-docs.count() // group))
-    ids = tokens.tokenize(docs, path, spaced=True, end_id=end_id)
+    ids = tokens.tokenize(docs, path, spaced=True, end_id=end_id, idle=idle)
 
     def fill(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("n_tokens", "ascending"), ("ids", "ascending")]).combine_chunks()

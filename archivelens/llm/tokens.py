@@ -199,7 +199,7 @@ def binary_column(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
 
 
-def tokenize(docs: DataFrame, path: str, spaced: bool, end_id: int, tally: int = 0) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, spaced: bool, end_id: int, tally: int = 0, idle: int = IDLE) -> DataFrame:
     """doc_id, n_tokens, ids: the ids of each whole text with ``end_id`` after them.
 
     ``ids`` is the bytes of little-endian unsigned 16-bit integers, since both vocabularies have
@@ -207,7 +207,8 @@ def tokenize(docs: DataFrame, path: str, spaced: bool, end_id: int, tally: int =
     kept; other columns are left out; equal rows give equal rows; an empty table an empty one.
 
     With ``tally`` (the vocabulary's size) there is a column ``tally`` as well: one more row for each
-    task, null in the other columns, has how often each id occurred in it (64-bit integers).
+    task, null in the other columns, has how often each id occurred in it (64-bit integers). A worker
+    keeps its words for the next task if they are at most ``idle``.
     """
     names = ["doc_id", "n_tokens", "ids", *(["tally"] if tally else [])]
 
@@ -228,7 +229,7 @@ def tokenize(docs: DataFrame, path: str, spaced: bool, end_id: int, tally: int =
         if seen.any():
             nothing = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*nothing, pa.array([seen.tobytes()], pa.binary())], names)
-        if own.known > IDLE:
+        if own.known > idle:
             own.forget()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))

@@ -50,8 +50,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences of the byte-level vocabulary."""
-    return packing.pack(docs, tokens.vocabulary_path("byte_bpe_50k.json"))
+    """Training sequences of the byte-level vocabulary; workers keep no words for the stages after."""
+    return packing.pack(docs, tokens.vocabulary_path("byte_bpe_50k.json"), idle=0)
 
 
 STAGES = [("quality classifier", classify), ("near-dedup", dedup), ("secret scan", mask_secrets), ("mixing", mix), ("packing", pack)]
