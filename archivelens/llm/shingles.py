@@ -85,7 +85,7 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if not len(words):
         return words, counts
     whole = np.zeros(len(words), np.uint64)
-    for k in range(WORDS):
+    for k in range(min(WORDS, len(words))):
         whole[: len(words) - k] += words[k:] * _PLACE[k]
     out, sizes = [], np.zeros(len(counts), np.int64)
     for i, (a, b) in enumerate(zip((ends - counts).tolist(), ends.tolist(), strict=True)):

@@ -6,12 +6,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from archivelens.functions import scratch
-from archivelens.llm import binary, media, mixing, neardup, packing, quality, secrets, tokens
+from archivelens.llm import binary, media, mixing, neardup, packing, quality, secrets, shingles, tokens
 from tests.llm.fixtures import documents, no_documents
 
 BYTE, WORD = (tokens.vocabulary_path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -184,6 +185,19 @@ def test_near_duplicates_equal_brute_force(spark, percent, monkeypatch):
         assert all(r["kept"] == (r["doc_id"] is None or r["doc_id"] == r["component_id"]) for r in rows)
 
 
+def test_shingles_of_few_words(spark):
+    words = "one two three four five".split()
+    for n in range(6):
+        own, sizes = shingles.shingle_sets(pa.array([" ".join(words[:n])]))
+        assert sizes.tolist() == [int(n > 0)] and len(own) == sizes[0]
+        assert own.tolist() == shingles.shingle_sets(pa.array([" ".join(words[:n]), " ".join(words * 2)]))[0][: sizes[0]].tolist()
+    long = " ".join(f"w{i}" for i in range(160_000))  # above a slice, so the short texts stand alone
+    rows = [(1, "one two three"), (2, long), (3, "one two"), (4, "ONE two three")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = neardup.near_duplicates(docs, 85).collect()
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == {(1, 1, 1), (2, 159_996, 2), (3, 1, 3), (4, 1, 1)}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(no_documents(spark)).count() == 0
     assert neardup.near_duplicates(documents(spark).filter("text is null")).count() == 2
