@@ -6,10 +6,14 @@ only for new ones. Texts are cut at single spaces, where both pre-tokenizers cut
 * ``spaced`` (byte-level): a space belongs to the word after it. A cut before a space is a token
   boundary unless white space stands on both sides of it; such texts are encoded whole.
 * ``dropped`` (word ends): white space separates words and yields no ids.
+
+The literal of an added token (``<|endoftext|>``) is that token, as in the library; texts that may hold
+one are encoded whole.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from itertools import chain
 
@@ -59,7 +63,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        #: What texts with an added token in them have in common; words never hold one.
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.mark = os.path.commonprefix(added) if added else None
         self.spaced, self.lead = spaced, " " if spaced else ""
         names = [self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size())]
         # where words that are encoded together part: before a token with a space, after one that ends a word
@@ -122,7 +128,9 @@ class WordTokenizer:
             self.forget()
         tail, words, counts = self.tail.__getitem__, [], []
         for text in texts:
-            if self.spaced:
+            if self.mark is not None and self.mark in (text or ""):  # may hold an added token: encoded whole
+                own = np.full(1, -1)
+            elif self.spaced:
                 parts = (text or "").split(" ")
                 own = np.fromiter(map(tail, parts), np.int64, len(parts)) if len(parts) > 1 else np.zeros(1, np.int64)
                 own[0] = self.head[parts[0]]
@@ -213,8 +221,6 @@ def tokenize(docs: DataFrame, path: str, spaced: bool, end_id: int, tally: int =
     names = ["doc_id", "n_tokens", "ids", *(["tally"] if tally else [])]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         own = tokenizer(path, spaced)
         seen = np.zeros(tally, np.int64)

@@ -30,3 +30,16 @@ def test_forgetting_changes_nothing(monkeypatch):
     for _ in range(3):
         ids, _ = own.encode(texts, 1)
         assert ids.tolist() == [x for t in texts for x in [*own.library.encode(t, add_special_tokens=False).ids, 1]]
+
+
+@pytest.mark.parametrize(("name", "spaced"), FILES)
+def test_added_tokens_equal_a_fresh_library(name, spaced):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokens.vocabulary_path(name))
+    own = tokens.WordTokenizer(tokens.vocabulary_path(name), spaced)
+    texts = ["foo <|endoftext|> bar", "<|endoftext|>", "a<|startoftext|>b", "a <|ENDOFTEXT|> b", "x <|endoftext |> <|", "plain words.", "é<|endoftext|>\n\n<|endoftext|> é"]
+    ids, counts = own.encode(texts, 7)
+    wanted = [[*fresh.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+    assert counts.tolist() == list(map(len, wanted)) and ids.tolist() == sum(wanted, [])
+    assert fresh.token_to_id("<|endoftext|>") in wanted[0]
