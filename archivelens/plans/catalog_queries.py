@@ -236,10 +236,7 @@ def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def near_dup_removed(spark: SparkSession, d: str) -> DataFrame:
-    files = A.files(spark, d, text=True)
-    classes = dedup.word_classes(files).groupBy("print").agg(F.min("doc_id").alias("id"))
-    docs = classes.join(files.select(F.col("doc_id").alias("id"), "modified_at"), "id").select("id", "modified_at")
-    return dedup.remove_similar(docs, dedup.jaccard_pairs(files)).select("id")
+    return dedup.near_dup_removed(A.files(spark, d, text=True))
 
 
 @query()

@@ -100,6 +100,25 @@ def test_jaccard_pairs_equal_brute_force(spark):
     assert {(r["a"], r["b"], r["both"]) for r in dedup.jaccard_pairs(docs).collect()} == wanted
 
 
+def test_near_dup_query_equals_the_walk(spark, tmp_path):
+    from archivelens.plans import catalog_queries
+
+    random = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in random.integers(0, 12, random.integers(6, 20))) for _ in range(60)]
+    texts += [texts[i] for i in random.integers(0, 60, 30)] + ["", "", "!!! ???", "a b", None, None]
+    rows = [(i, t, "en", "src1", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    kept: list[int] = []
+    for i in sorted(range(len(texts)), key=lambda i: (i * 37 % 400, i)):  # newest first
+        own = {w for w in (texts[i] or "").split() if len(w) > 1 and w[0] == "w"}
+        others = [{w for w in (texts[j] or "").split() if len(w) > 1 and w[0] == "w"} for j in kept]
+        if not any(own and 100 * len(own & s) >= 80 * len(own | s) for s in others):
+            kept.append(i)
+    got = [r["id"] for r in catalog_queries.near_dup_removed(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(kept)
+    assert {90, 91, 92, 93, 94, 95} <= set(got)
+
+
 def test_components(spark):
     random = np.random.default_rng(7)
     edges = [(int(a), int(b)) for a, b in random.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, None), (6, 6)]
