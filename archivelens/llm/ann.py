@@ -17,15 +17,28 @@ from pyspark.sql import functions as F
 
 #: Vectors of a shard and queries of a block on average, vectors of a leaf, neighbours, relaxation.
 SHARD, BLOCK, LEAF, NEAREST, FACTOR = 8192, 2048, 256, 20, 4.0
+#: Pairs whose products are taken at once.
+PAIRS = 1 << 16
 
 
 class Tree:
-    """A vantage-point tree over the rows of ``points``, searched for a block of queries at a time."""
+    """A vantage-point tree over the distinct rows of ``values``, searched for a block of queries at a time.
 
-    def __init__(self, points: np.ndarray, leaf: int = LEAF, seed: int = 3) -> None:
-        self.points, self.leaf = points, leaf
+    ``ids`` are the rows' ids in ascending order; copies of a vector stand in the tree once.
+    """
+
+    def __init__(self, values: np.ndarray, ids: np.ndarray, leaf: int = LEAF, seed: int = 3) -> None:
+        values = np.ascontiguousarray(values)
+        _, first, copy, self.counts = np.unique(values.view(f"V{values.itemsize * values.shape[1]}").ravel(), return_index=True, return_inverse=True, return_counts=True)
+        self.members, self.starts = np.argsort(copy.ravel(), kind="stable"), np.cumsum(self.counts) - self.counts
+        self.values, self.ids, self.leaf = values[first], ids, leaf
+        lengths = (self.values**2).sum(1)
+        self.lengths, self.longest = np.sqrt(lengths), lengths.max()
+        self.points = np.column_stack([self.values, np.sqrt(np.maximum(self.longest - lengths, 0))])
+        #: Bound of the relative error of a sum of products.
+        self.error = 4 * (values.shape[1] + 4) * np.finfo(np.float64).eps
         self.random = np.random.default_rng(seed)
-        self.root = self._build(np.arange(len(points)))
+        self.root = self._build(np.arange(len(self.points)))
 
     def _build(self, rows: np.ndarray) -> tuple:
         if len(rows) <= self.leaf:
@@ -37,35 +50,62 @@ class Tree:
         radius = far[order[half]]
         return point, radius, self._build(rows[order[:half]]), self._build(rows[order[half:]])
 
-    def search(self, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` nearest rows of each query, nearest first, and their squared distances (row -1:
-        none). ``own`` is the query's id, which ``ids`` of a row must not equal."""
-        best = np.full((len(queries), k), np.inf)
-        rows = np.full((len(queries), k), -1)
-        lengths, sizes = (self.points**2).sum(1), (queries**2).sum(1)
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
+        """The ``k`` rows of largest inner product with each query, ties by row, and their products (row
+        -1: none). ``own`` is the query's id, which the id of a row must not equal.
+
+        Products of matrices only say which rows can enter the list, with room for their rounding; the
+        list is ordered by each pair's own product.
+        """
+        none = len(self.members)
+        best, rows = np.full((len(queries), k), -np.inf), np.full((len(queries), k), none)
+        sizes, raised = (queries**2).sum(1), np.column_stack([queries, np.zeros(len(queries))])
+        norms = np.sqrt(sizes)
+        # of so many copies or vectors, k at least have another id
+        most = k + np.searchsorted(self.ids, own, "right") - np.searchsorted(self.ids, own, "left")
+
+        def enter(held: np.ndarray, some: np.ndarray) -> None:
+            near = queries[some] @ self.values[held].T
+            slack = self.error * norms[some, None] * self.lengths[held]
+            floor, enough = best[some, -1], int(most[some].max())
+            if len(held) > enough and np.isinf(floor).any():
+                floor = np.maximum(floor, np.partition(near - slack, len(held) - enough, 1)[:, len(held) - enough])
+            at, place = np.nonzero(near + slack >= floor[:, None])
+            if not len(at):
+                return
+            held_at = held[place]
+            score = np.concatenate([np.einsum("ij,ij->i", queries[some[at[i : i + PAIRS]]], self.values[held_at[i : i + PAIRS]]) for i in range(0, len(at), PAIRS)])
+            copies = np.minimum(self.counts[held_at], most[some[at]])
+            nth = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+            at, score, member = np.repeat(at, copies), np.repeat(score, copies), self.members[np.repeat(self.starts[held_at], copies) + nth]
+            other = self.ids[member] != own[some[at]]
+            at, score, member = at[other], score[other], member[other]
+            met = np.unique(at)
+            at = np.concatenate([np.repeat(met, k), at])
+            score, member = np.concatenate([best[some[met]].ravel(), score]), np.concatenate([rows[some[met]].ravel(), member])
+            order = np.lexsort((member, -score, at))
+            at = at[order]
+            order = order[np.arange(len(at)) - np.searchsorted(at, at) < k]
+            best[some[met]], rows[some[met]] = score[order].reshape(-1, k), member[order].reshape(-1, k)
 
         def visit(node: tuple, some: np.ndarray) -> None:
             if not len(some):
                 return
             if len(node) == 1:
-                (held,) = node
-                d = sizes[some, None] + lengths[held] - 2 * queries[some] @ self.points[held].T
-                d[own[some, None] == ids[held]] = np.inf
-                both, names = np.concatenate([best[some], d], 1), np.concatenate([rows[some], np.broadcast_to(held, d.shape)], 1)
-                keep = np.argpartition(both, k - 1, 1)[:, :k] if both.shape[1] > k else np.arange(both.shape[1])[None, :].repeat(len(some), 0)
-                best[some], rows[some] = np.take_along_axis(both, keep, 1), np.take_along_axis(names, keep, 1)
+                enter(node[0], some)
                 return
             point, radius, inner, outer = node
-            gap = np.sqrt(np.maximum(((queries[some] - point) ** 2).sum(1), 0)) - radius
-            inside = gap < 0
+            far = np.sqrt(np.maximum(((raised[some] - point) ** 2).sum(1), 0))
+            gap, inside = far - radius, far < radius
             for first, second, mine in ((inner, outer, inside), (outer, inner, ~inside)):
-                visit(first, some[mine])
-                limit = np.sqrt(np.maximum(best[some[mine]].max(1), 0))
-                visit(second, some[mine][np.abs(gap[mine]) * factor <= limit])
+                asked = some[mine]
+                visit(first, asked)
+                whole = sizes[asked] + self.longest
+                limit = np.sqrt(np.maximum(whole - 2 * best[asked, -1], 0) + self.error * whole) + self.error * (far[mine] + radius)
+                visit(second, asked[np.abs(gap[mine]) * factor <= limit])
 
         visit(self.root, np.arange(len(queries)))
-        order = np.argsort(best, 1, kind="stable")
-        return np.take_along_axis(rows, order, 1), np.take_along_axis(best, order, 1)
+        return np.where(rows == none, -1, rows), best
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -117,15 +157,9 @@ def nearest(vectors: DataFrame, queries: Column | None = None, k: int = NEAREST,
             for row in batch.to_pylist():
                 ids, own_ids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["query_ids"], "<i8")
                 points, wanted = (np.frombuffer(row[c]).reshape(-1, row["dim"]) for c in ("vectors", "queries"))
-                lengths = (points**2).sum(1)
-                level = np.sqrt(np.maximum(lengths.max() - lengths, 0))
-                tree = Tree(np.column_stack([points, level]))
-                found, _ = tree.search(np.column_stack([wanted, np.zeros(len(wanted))]), own_ids, ids, k, factor)
+                found, products = Tree(points, ids).search(wanted, own_ids, k, factor)
                 at, place = np.nonzero(found >= 0)
-                rows = found[at, place]
-                same = own_ids[at] == ids[rows]
-                at, rows = at[~same], rows[~same]
-                scores = np.einsum("ij,ij->i", wanted[at], points[rows])
+                rows, scores = found[at, place], products[at, place]
                 yield pa.RecordBatch.from_arrays([pa.array(own_ids[at]), pa.array(ids[rows]), pa.array(scores)], ["query_id", "vec_id", "score"])
 
     hits = met.select("dim", "ids", "vectors", "query_ids", "queries").mapInArrow(search, "query_id long, vec_id long, score double")

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from archivelens.llm import ann, chat, urls
 from tests.llm.fixtures import documents, no_documents
@@ -146,6 +147,30 @@ def test_default_factor_finds_nine_of_ten(spark):
     assert np.mean([len(found[q] & {i for i, _ in w}) / 20 for q, w in wanted.items()]) >= 0.9
 
 
+@pytest.mark.parametrize("factor", [1.0, 4.0])
+def test_copies_are_ranked_by_id(spark, factor):
+    random = np.random.default_rng(2)
+    centres = random.normal(size=(3, 8)) * 3
+    rows = [(i, (centres[i % 3] if i < 900 else random.normal(size=8) / 9).astype(np.float32).tolist()) for i in random.permutation(1200).tolist()]
+    rows += [(20, rows[0][1])] * 30  # one id with many copies of another vector
+    wanted, got = brute(rows, 20), defaultdict(list)
+    asked = F.col("vec_id").isin([i for i in range(0, 900, 20) if i != 20])
+    for r in ann.nearest(vectors(spark, [(i, v, 0, 0, "b", "d") for i, v in rows]), asked, factor=factor, shard=700).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert len(got) == 44
+    for q, found in got.items():
+        assert found == [i for i, _ in wanted[q]]
+
+
+def test_one_long_vector_costs_no_digits(spark):
+    random = np.random.default_rng(3)
+    rows = [(i, random.normal(size=6).astype(np.float32).tolist()) for i in range(900)] + [(901, [1e8] + [0.0] * 5)]
+    wanted, got = brute(rows, 20), defaultdict(list)
+    for r in ann.nearest(vectors(spark, [(i, v, 0, 0, "b", "d") for i, v in rows]), factor=1.0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert got == {q: [i for i, _ in found] for q, found in wanted.items()}
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as pipeline
 
