@@ -418,3 +418,25 @@ def test_similar_names_and_clusters(spark):
     assert kept == {"a/budget plan 1.docx", "a/zebra.md", "b/budget plan 3.docx"}
     own = files(spark, [("p/design_v1.docx", 1, 1), ("p/design_v2.docx", 1, 2), ("p/other.md", 1, 300)]).withColumn("doc_id", F.when(F.col("path").contains("v1"), 1).when(F.col("path").contains("v2"), 2).otherwise(3))
     assert {(r["doc_id"], r["cluster"]) for r in cluster.work_clusters(own).collect()} == {(1, 1), (2, 1), (3, 3)}
+
+
+def test_clusters_equal_all_pairs(spark, monkeypatch):
+    random = np.random.default_rng(6)
+    words = [f"t{c}" for c in "abcdefghijklmn"]
+    rows = [(f"f{random.integers(0, 5)}/" + "_".join(random.choice(words, random.integers(1, 5), False)) + f"_v{random.integers(1, 4)}.md", int(random.integers(0, 200))) for _ in range(70)]
+    rows += [(f"g/{n}.md", d) for n, d in (("123", 3), ("124", 3), ("doc_4_v2", 9), ("doc_5_v1", 90), ("doc_7_v2", 180))]
+    own = spark.createDataFrame([(i, p, day(d)) for i, (p, d) in enumerate(rows)], "doc_id long, path string, modified_at timestamp")
+    facts = {r["doc_id"]: r for r in cluster.profiles(own).collect()}
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = facts[i], facts[j]
+            x, y, days = set(a["tokens"]), set(b["tokens"]), abs((a["day"] - b["day"]).days)
+            score = (round(25 * len(x & y) / len(x | y)) if x | y else 0) + 22 * (a["family"] == b["family"]) + min(18, 6 * len(x & y)) + 10 * (a["folder"] == b["folder"])
+            if score + (10 if days <= 7 else 6 if days <= 30 else 0) >= 45:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if v == old else v for v in label]
+    for block in (512, 3):
+        monkeypatch.setattr(cluster, "BLOCK", block, raising=False)
+        assert {r["doc_id"]: r["cluster"] for r in cluster.work_clusters(own).collect()} == dict(enumerate(label))
+    assert 10 < len(set(label)) < 65
