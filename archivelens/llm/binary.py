@@ -185,7 +185,11 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END, vocabulary
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, ids (bytes of
-    little-endian unsigned 32-bit integers), decoded from the files in ``folder``."""
+    little-endian unsigned 32-bit integers), decoded from the files in ``folder``.
+
+    One row for each document written, so null and repeated doc_ids come back as they went; a folder
+    without blocks gives no rows.
+    """
     blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
     lengths = np.frombuffer(spark.read.parquet(f"{folder}/code").head()["lengths"], np.uint8)
     sent = spark.sparkContext.broadcast(lengths)
@@ -196,12 +200,14 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         table = None
         for batch in batches:
             table = lookup(sent.value) if table is None else table
-            for row in batch.select(["file_start", "before", "n_ids", "doc_ids", "counts", "bits", "payload"]).to_pylist():
-                flat = decode(row["payload"], np.frombuffer(row["bits"], "<u4"), row["n_ids"], table).astype("<u4")
-                counts = np.array(row["counts"], np.int64)
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                file_start, before, n_ids, payload, bits = (row.column(c)[0].as_py() for c in ("file_start", "before", "n_ids", "payload", "bits"))
+                flat = decode(payload, np.frombuffer(bits, "<u4"), n_ids, table).astype("<u4")
+                counts = row.column("counts").flatten().to_numpy()
                 ends = np.cumsum(counts)
                 sums = [zlib.crc32(flat[a:b]) for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["file_start"] + row["before"] + ends - counts), pa.array(counts), pa.array(sums, pa.int64()), tokens.binary_column(flat, counts)], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                yield pa.RecordBatch.from_arrays([row.column("doc_ids").flatten(), pa.array(file_start + before + ends - counts), pa.array(counts), pa.array(sums, pa.int64()), tokens.binary_column(flat, counts)], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
     placed = blocks.join(files, "file_no").select("file_start", "before", "n_ids", "doc_ids", "counts", "bits", "payload")
     return placed.mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")

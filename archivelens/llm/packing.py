@@ -73,9 +73,11 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, group: int = GROUP, e
     document, the end id included), sequence_id, offset (in the sequence, gapless from 0), tokens
     (its ids as bytes of little-endian unsigned 32-bit integers). Each id lies in one piece.
 
-    ``idle`` is the number of words that a worker may keep between tasks. Documents are dealt to groups of ``group`` on average by a hash of doc_id with ``seed``, so a
-    rerun packs alike. A null text is empty and packs its end id; null doc_ids form rows of their
-    own; repeated rows are packed each; extra columns are ignored; an empty table gives no rows.
+    Documents are dealt to groups of ``group`` on average by a hash of doc_id, ids and the row's place
+    in its task with ``seed``, so no id, text or repeated row makes a group large, and a rerun over
+    the same files packs alike. ``idle`` is the number of words that a worker may keep between tasks.
+    A null text is empty and packs its end id; null doc_ids form rows of their own; repeated rows are
+    packed each; extra columns are ignored; an empty table gives no rows.
     """
     groups = max(1, -(-docs.count() // group))
     ids = tokens.tokenize(docs, path, spaced=True, end_id=end_id, idle=idle)
@@ -92,5 +94,5 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, group: int = GROUP, e
             "sequence_id": (key[0].as_py() << 32) + place_in, "offset": offset, "tokens": tokens.binary_column(found, size),
         })
 
-    dealt = ids.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(groups)))
+    dealt = ids.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "ids", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("part").applyInArrow(fill, SCHEMA)

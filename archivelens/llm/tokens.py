@@ -1,7 +1,7 @@
 """Tokenising whole texts with public vocabularies, in Arrow batches on the executors.
 
 Words repeat, so each worker keeps the ids of the words it has met and asks the tokenizers library
-only for new ones. Texts are cut at single spaces, where both pre-tokenizers cut as well:
+only for new ones; it forgets those first that it hasn't met for long. Texts are cut at single spaces, where both pre-tokenizers cut as well:
 
 * ``spaced`` (byte-level): a space belongs to the word after it. A cut before a space is a token
   boundary unless white space stands on both sides of it; such texts are encoded whole.
@@ -14,20 +14,28 @@ one are encoded whole.
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-#: Words that a worker remembers before it starts afresh (some 250 MB), that an idle one keeps (some
-#: 100 MB), and the longest of them.
-MEMORY, IDLE, LONGEST = 1_500_000, 600_000, 128
+#: Words that a worker remembers (some 250 MB), that an idle one keeps (some 170 MB), and the longest
+#: of them.
+MEMORY, IDLE, LONGEST = 1_500_000, 1_000_000, 128
 #: Marks that may follow a word.
 MARKS = ".,;:!?*#$%&|)\"]}"
-#: Bytes of text handled at once.
-SLICE = 1 << 20
+#: Bytes of text handled at once, here and by operators that need more room for each byte.
+TEXTS, SLICE = 1 << 22, 1 << 20
+
+
+def _letters(word: str, spaced: bool) -> bool:
+    """Whether the word is letters only as the pre-tokenizer sees it, after normalising: a few letters
+    come apart into a letter and a mark (\u0130 in lower case, \u0958 in composed form)."""
+    return word.isalpha() and (spaced or word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
 
 
 class _Words(dict):
@@ -45,8 +53,13 @@ class _Words(dict):
         o = self.owner
         if len(word) > LONGEST or (o.spaced and (word != word.strip() or (not word and self.lead))):
             return -1
+        before = o.past and o.past[bool(self.lead)].get(word, -1)
+        if before is not None and before >= 0:
+            self[word] = n = o.number()
+            o.carried.append((n, before))
+            return n
         bare = word.rstrip(MARKS)
-        if bare != word and bare.isalpha():
+        if bare != word and _letters(bare, o.spaced):
             pair = self[bare], o.head[word[len(bare) :]]
             self[word] = n = o.number()
             o.pairs.append((n, *pair))
@@ -56,6 +69,12 @@ class _Words(dict):
         return n
 
 
+def _runs(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run, on end."""
+    ends = np.cumsum(lens)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lens, lens)
+
+
 class WordTokenizer:
     """ids of texts, equal to ``encode_batch(texts, add_special_tokens=False)``."""
 
@@ -70,10 +89,13 @@ class WordTokenizer:
         names = [self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size())]
         # where words that are encoded together part: before a token with a space, after one that ends a word
         self.parts = np.array([n.startswith("\u0120") if spaced else n.endswith("</w>") for n in names])
-        self.forget()
+        self.forget(True)
 
-    def forget(self) -> None:
-        self.known = 0
+    def forget(self, all_words: bool = False) -> None:
+        """Start a new generation of words; those of the one before are still at hand, older ones go."""
+        self.past = None if all_words else (self.head, self.tail, self.flat, self.starts, self.lens)
+        self.earlier = 0 if all_words else self.known
+        self.known, self.carried = 0, []
         self.letters, self.others, self.pairs = [], [], []
         self.tail = _Words(self, self.lead)
         self.head = _Words(self, "") if self.spaced else self.tail
@@ -96,9 +118,21 @@ class WordTokenizer:
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum())), lens
 
+    def rest(self, idle: int) -> None:
+        """Keep ``idle`` words at most, newer ones first."""
+        if self.known + self.earlier > idle:
+            self.past, self.earlier = None, 0
+        if self.known > idle:
+            self.forget(True)
+
     def _learn(self) -> None:
         while self.known > len(self.starts):
             self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
+        if self.carried:
+            numbers, before = np.array(self.carried).T
+            flat, starts, lens = self.past[2:]
+            self._keep(numbers, flat[_runs(starts[before], lens[before])], lens[before])
+            self.carried = []
         for k in range(0, len(self.letters), 4096):  # words of letters only, parted by spaces, go in one text
             numbers, words = zip(*self.letters[k : k + 4096], strict=True)
             ids, _ = self._ids([" ".join(words) if not self.lead else "".join(words)])
@@ -119,51 +153,69 @@ class WordTokenizer:
     def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words by number, on end, and where each word's begin (and the end)."""
         lens = self.lens[at]
-        bounds = np.concatenate([[0], np.cumsum(lens)])
-        return self.flat[np.arange(bounds[-1]) + np.repeat(self.starts[at] - bounds[:-1], lens)], bounds
+        return self.flat[_runs(self.starts[at], lens)], np.concatenate([[0], np.cumsum(lens)])
 
-    def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts on end, ``end_id`` after each, and the count for each text."""
-        if self.known > MEMORY:
+    def encode(self, texts: pa.Array | list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts on end, ``end_id`` after each, and the count for each text.
+
+        Arrow cuts the texts into words and numbers the distinct ones, so each of these is looked up
+        once for the batch.
+        """
+        if self.known > MEMORY // 2:
             self.forget()
-        tail, words, counts = self.tail.__getitem__, [], []
-        for text in texts:
-            if self.mark is not None and self.mark in (text or ""):  # may hold an added token: encoded whole
-                own = np.full(1, -1)
-            elif self.spaced:
-                parts = (text or "").split(" ")
-                own = np.fromiter(map(tail, parts), np.int64, len(parts)) if len(parts) > 1 else np.zeros(1, np.int64)
-                own[0] = self.head[parts[0]]
-            else:
-                parts = _folded(text or "").replace("\n", " ").split(" ")
-                own = np.fromiter(map(tail, parts), np.int64, len(parts))
-            words.append(own)
-            counts.append(len(own))
+        texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
+        n = len(texts)
+        whole = np.zeros(n, bool)
+        if self.mark is not None:  # may hold an added token: encoded whole
+            whole = pc.match_substring(texts, self.mark).to_numpy(zero_copy_only=False)
+        parted = texts if self.spaced else pc.replace_substring(_folded(texts), "\n", " ")
+        parted = pc.split_pattern(pc.if_else(pa.array(whole), "", parted), " ")
+        edges = parted.offsets.to_numpy().astype(np.int64)
+        coded = parted.values.slice(int(edges[0]) if n else 0, int(edges[-1] - edges[0]) if n else 0).dictionary_encode()
+        edges -= edges[0] if n else 0
+        place, names = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if self.spaced:
+            first = np.zeros(len(place), bool)
+            first[edges[:-1]] = True
+            at = np.zeros(len(place), np.int64)
+            for some, words in ((first, self.head), (~first, self.tail)):
+                met, own = np.unique(place[some], return_inverse=True)
+                at[some] = np.fromiter((words[names[i]] for i in met.tolist()), np.int64, len(met))[own]
+        else:
+            at = np.fromiter(map(self.tail.__getitem__, names), np.int64, len(names))[place]
         self._learn()
-        at = np.concatenate(words) if words else np.zeros(0, np.int64)
         odd = at < 0
         at[odd] = self.head[""]  # no ids
         self._learn()
         ids, bounds = self._gather(at)
-        edges = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         cuts = bounds[edges]
-        whole = {int(i) for i in np.unique(np.searchsorted(edges, np.flatnonzero(odd), "right") - 1)}
-        out, sizes, end = [], [], np.array([end_id], np.uint32)
-        for i in range(len(texts)):
-            own = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.uint32) if i in whole else ids[cuts[i] : cuts[i + 1]]
-            out += [own, end]
-            sizes.append(len(own) + 1)
-        return (np.concatenate(out) if out else np.zeros(0, np.uint32)), np.array(sizes, np.int64)
-
-
-def _folded(text: str) -> str:
-    """The text in lower case if that can't change its ids: the vocabulary of word ends normalises and
-    lower-cases anyway, and for Latin-1 characters the two don't depend on order or context."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return text
-    return text.lower()
+        whole[np.searchsorted(edges, np.flatnonzero(odd), "right") - 1] = True
+        sizes, kept, encoded = np.diff(cuts), np.ones(len(ids), bool), {}
+        for i in np.flatnonzero(whole).tolist():
+            encoded[i] = np.array(self.library.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+            kept[cuts[i] : cuts[i + 1]] = False
+            sizes[i] = len(encoded[i])
+        sizes += 1
+        ends = np.cumsum(sizes)
+        out, free = np.full(int(ends[-1]) if n else 0, end_id, np.uint32), np.ones(int(ends[-1]) if n else 0, bool)
+        free[ends - 1] = False
+        for i, own in encoded.items():
+            out[ends[i] - sizes[i] : ends[i] - 1] = own
+            free[ends[i] - sizes[i] : ends[i] - 1] = False
+        out[free] = ids[kept]
+        return out, sizes
+
+
+def _folded(texts: pa.Array) -> pa.Array:
+    """The texts in lower case where that can't change their ids: the vocabulary of word ends normalises
+    and lower-cases anyway, and for Latin-1 characters the two don't depend on order or context."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if not len(texts) or offsets[-1] == offsets[0]:
+        return texts
+    beyond = np.flatnonzero(np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] > 0xC3)
+    keep = np.zeros(len(texts), bool)
+    keep[np.searchsorted(offsets - offsets[0], beyond, "right") - 1] = True
+    return pc.if_else(pa.array(keep), texts, pc.utf8_lower(texts))
 
 
 _LOADED: dict[tuple[str, bool], WordTokenizer] = {}
@@ -196,8 +248,6 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE) -> Iterator[pa
 
 
 def _sizes(column: pa.Array) -> np.ndarray:
-    import pyarrow.compute as pc
-
     return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
@@ -225,8 +275,8 @@ def tokenize(docs: DataFrame, path: str, spaced: bool, end_id: int, tally: int =
         own = tokenizer(path, spaced)
         seen = np.zeros(tally, np.int64)
         for batch in batches:
-            for part in slices(batch, "text"):
-                ids, counts = own.encode(part.column("text").to_pylist(), end_id)
+            for part in slices(batch, "text", TEXTS):
+                ids, counts = own.encode(part.column("text"), end_id)
                 row = [part.column("doc_id"), pa.array(counts), binary_column(ids.astype("<u2"), counts)]
                 if tally:
                     seen += np.bincount(ids, minlength=tally)
@@ -235,8 +285,7 @@ def tokenize(docs: DataFrame, path: str, spaced: bool, end_id: int, tally: int =
         if seen.any():
             nothing = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*nothing, pa.array([seen.tobytes()], pa.binary())], names)
-        if own.known > idle:
-            own.forget()
+        own.rest(idle)
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return rows.mapInArrow(encode, "doc_id long, n_tokens long, ids binary" + ", tally binary" * bool(tally))

@@ -20,7 +20,6 @@ BYTE, WORD = (tokens.vocabulary_path(f) for f in ("byte_bpe_50k.json", "word_bpe
 
 def encoded(path, rows, end):
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     return [(r["doc_id"], np.array([*own.encode(r["text"] or "", add_special_tokens=False).ids, end], "<u4")) for r in rows]
 
 
@@ -49,6 +48,12 @@ def test_packing_places_every_id_once(spark):
     assert packing.pack(no_documents(spark), BYTE).count() == 0
 
 
+def test_a_hot_id_is_dealt_over_groups(spark):
+    same = [(7, "one text for all")] * 3000 + [(None, None)] * 1000 + [(8, f"text {i}") for i in range(2000)]
+    rows = packing.pack(spark.createDataFrame(same, "doc_id long, text string"), BYTE, group=100).groupBy((F.col("sequence_id") / (1 << 32)).cast("long").alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert sum(r["n"] for r in rows) == 6000 and len(rows) == 60 and max(r["n"] for r in rows) < 200
+
+
 def test_first_fit_equals_a_scan():
     sizes = np.sort(np.random.default_rng(0).integers(1, 100, 300))[::-1]
     bins, offsets = packing.first_fit(sizes, 100)

@@ -43,3 +43,16 @@ def test_added_tokens_equal_a_fresh_library(name, spaced):
     wanted = [[*fresh.encode(t, add_special_tokens=False).ids, 7] for t in texts]
     assert counts.tolist() == list(map(len, wanted)) and ids.tolist() == sum(wanted, [])
     assert fresh.token_to_id("<|endoftext|>") in wanted[0]
+
+
+def test_words_of_an_earlier_generation_are_kept(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMORY", 60)
+    for name, spaced in FILES:
+        own = tokens.WordTokenizer(tokens.vocabulary_path(name), spaced)
+        for k in range(12):
+            texts = [f"common words stay. {'ab' * k} é{k}, {k}", None, f"İ{k}. common"]
+            ids, _ = own.encode(texts, 1)
+            assert ids.tolist() == [x for t in texts for x in [*own.library.encode(t or "", add_special_tokens=False).ids, 1]]
+            assert own.past is None or own.known <= 60
+        own.rest(0)
+        assert own.known == 0 and own.past is None
