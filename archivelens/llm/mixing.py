@@ -74,17 +74,18 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, sch
     Sources sort by code point, null last. A null text has size 0 and nothing is taken of it; null or
     repeated doc_ids are ordinary rows; equal rows are interchangeable; an empty table stays empty.
     Columns of ``docs`` that start with mix_ are left out.
-    The walk follows md5(doc_id), so reruns agree. A hot source is dealt over many tasks: its order is
-    cut into ranges of md5, range totals are summed, and only within a range are rows ordered.
+    The walk follows md5 of doc_id and text, so reruns agree, and rows without an id, or under one id,
+    are spread like any others. A hot source is dealt over many tasks: its order is cut into ranges of
+    md5, range totals are summed, and only within a range are rows ordered.
     """
-    digits = 1
-    while 16**digits * run < docs.count() and digits < 8:
+    digits, rows = 1, docs.count()
+    while 16**digits * run < rows and digits < 8:
         digits += 1
     docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("mix_")])
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     own = docs.select(
         "*", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("m"), "source")).alias("mix_source"), size.alias("mix_size"),
-        F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit("-")).alias("mix_order"),
+        F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary")).alias("mix_order"),
     ).withColumn("mix_range", F.substring("mix_order", 1, digits))
     ranges = scratch.stored(own.groupBy("mix_source", "mix_range").agg(F.sum("mix_size").alias("total")), "ranges")
     before = Window.partitionBy("mix_source").orderBy("mix_range")
@@ -115,7 +116,9 @@ def occurrences(mixed: DataFrame, columns: list[str], schedules: Sequence = SCHE
     """The mix itself out of ``mix``'s rows: each document as often as it is taken, by position.
 
     A document that the target cuts gives its first words, joined by spaces, in its last occurrence.
-    Columns: ``columns`` (text among them) and mix_position; the rest of the rows isn't taken.
+    Columns: ``columns`` (text among them) and mix_position; the rest of the rows isn't taken. Null and
+    empty texts are never taken; null or repeated doc_ids are ordinary rows, equal rows each occur;
+    columns that aren't asked for are left out; an empty table gives no rows.
     """
     start = F.col("mix_pass") * F.col("mix_source_size") + F.col("mix_start")
     words = F.greatest(F.lit(0), F.least(F.col("mix_size"), F.col("mix_demand") - start))

@@ -8,7 +8,10 @@ joined back to all of them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The kinds in order, with pattern, the group whose length counts, and that length.
@@ -20,34 +23,41 @@ RULES = (
 )
 KINDS = tuple(r[0] for r in RULES)
 VERSION = "1"
-SPAN = "struct<start: int, kind: int, end: int>"
+#: A span in code points, end exclusive; clear: the end of what earlier spans of the text cover.
+SPAN = "struct<start: int, kind: int, end: int, clear: int>"
 LEDGER = f"blob string, rule_version string, spans array<{SPAN}>"
 MARK = "[REDACTED]"
+#: Characters of a piece that a long text is cut into to be masked.
+PIECE = 1024
 
 
-def _found(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
-    """Spans of one rule. Places come from the lengths of the matches and of the text between them."""
+def _lengths(text: Column, kind: int, pattern: str, group: int) -> Column:
+    """kind, gap, match, counted of each match of one rule: the lengths of the text before it (since the
+    match before), of the whole match and of what the rule counts."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     counted = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    between = F.split(text, pattern, -1)
-    nothing = F.lit(None).cast(f"array<{SPAN}>")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-
-    def step(state: Column, one: Column) -> Column:
-        begin = state["at"] + F.length(one["gap"])
-        end = begin + F.length(one["match"])
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.length(one["counted"]) >= least, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
+    zipped = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)).alias("gap"), whole.alias("match"), counted.alias("counted"))
+    found = F.transform(zipped, lambda m: F.struct(F.lit(kind).alias("kind"), F.length(m["gap"]).alias("gap"), F.length(m["match"]).alias("match"), F.length(m["counted"]).alias("counted")))
+    none = F.array().cast("array<struct<kind: int, gap: int, match: int, counted: int>>")
+    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(none)
 
-    zipped = F.arrays_zip(F.slice(between, F.lit(1), F.size(whole)).alias("gap"), whole.alias("match"), counted.alias("counted"))
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(zipped, start, step)["out"]).otherwise(nothing)
 
+def spans(blobs: DataFrame) -> DataFrame:
+    """blob, spans (by start, then kind) for rows (blob, text), one a blob.
 
-def spans(text: Column) -> Column:
-    """All spans of a text, by start and then kind; code points, end exclusive."""
-    found = [_found(text, k, pattern, group, least) for k, (_, pattern, group, least) in enumerate(RULES)]
-    none = F.array().cast(f"array<{SPAN}>")
-    return F.array_sort(F.concat(*[F.coalesce(f, none) for f in found]))
+    Only lengths leave the text. Places are running sums over a blob's matches by windows, so the work
+    grows with the text and the number of matches, however many one text has.
+    """
+    matches = F.concat(*[_lengths(F.col("text"), k, pattern, group) for k, (_, pattern, group, _) in enumerate(RULES)])
+    rows = blobs.select("blob", F.posexplode_outer(matches).alias("n", "m")).select("blob", "n", "m.*")
+    upto = Window.partitionBy("blob", "kind").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("match")).over(upto).cast("int")).withColumn("start", F.col("end") - F.col("match"))
+    least = F.element_at(F.array(*[F.lit(r[3]) for r in RULES]), F.col("kind") + 1)
+    rows = rows.withColumn("kept", F.coalesce(F.col("counted") >= least, F.lit(False)))
+    earlier = Window.partitionBy("blob").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("clear", F.coalesce(F.max(F.when(F.col("kept"), F.col("end"))).over(earlier), F.lit(0)))
+    held = F.collect_list(F.when(F.col("kept"), F.struct("start", "kind", "end", "clear")))
+    return rows.groupBy("blob").agg(F.array_sort(held).alias("spans"))
 
 
 def blob(text: Column) -> Column:
@@ -64,7 +74,21 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None, rule_version: str
     unseen = contents.groupBy("blob").agg(F.first("text").alias("text"))
     if ledger is not None:
         unseen = unseen.join(ledger.filter(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    return unseen.select("blob", F.lit(rule_version).alias("rule_version"), spans(F.col("text")).alias("spans"))
+    return spans(unseen).select("blob", F.lit(rule_version).alias("rule_version"), F.col("spans").cast(f"array<{SPAN}>").alias("spans"))
+
+
+def append_unseen(versions: DataFrame, folder: str, rule_version: str = VERSION) -> DataFrame:
+    """Scan what the ledger in ``folder`` lacks of ``versions``, append it there and return the ledger.
+
+    A folder that isn't there yet is an empty ledger. A delivery that is repeated adds nothing.
+    """
+    spark = versions.sparkSession
+    try:
+        ledger = spark.read.schema(LEDGER).parquet(folder)
+    except AnalysisException:  # the first delivery
+        ledger = None
+    scan_unseen(versions, ledger, rule_version).write.mode("append").parquet(folder)
+    return spark.read.schema(LEDGER).parquet(folder)
 
 
 def findings(versions: DataFrame, ledger: DataFrame, rule_version: str = VERSION) -> DataFrame:
@@ -90,13 +114,28 @@ def counted(found: Column, kind: str) -> Column:
 
 
 def redacted(text: Column, found: Column) -> Column:
-    """The text with each run of overlapping spans replaced by a mark; nulls stay null."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with each run of overlapping spans replaced by a mark; nulls stay null, and a text
+    without spans stays as it is.
+
+    ``found`` are spans of the ledger. The text is cut into pieces once, so that what lies between
+    two spans is read off near by and not searched from the text's beginning.
+    """
+
+    def let(value: Column, body: Callable[[Column], Column]) -> Column:
+        return F.get(F.transform(F.array(value), body), 0)  # the value is computed once
+
+    def masked(pieces: Column) -> Column:
+        def cut(a: Column, b: Column) -> Column:
+            """The characters from place a up to b."""
+            i, j = (F.floor(x / PIECE).cast("int") for x in (a, b))
+            first, last = F.get(pieces, i), F.coalesce(F.get(pieces, j), F.lit(""))
+            within = F.substring(first, a - i * PIECE + 1, b - a)
+            across = F.concat(F.substring(first, a - i * PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(pieces, i + 2, j - i - 1), ""), F.substring(last, F.lit(1), b - j * PIECE))
+            return F.when(a >= b, "").when(i == j, within).otherwise(across)
 
-    def step(state: Column, span: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, span["start"] - state["at"])
-        out = F.when(span["start"] >= state["at"], F.concat(state["out"], gap, F.lit(MARK))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), out.alias("out"))
+        apart = F.filter(found, lambda s: s["start"] >= s["clear"])
+        gaps = F.transform(apart, lambda s: cut(s["clear"], s["start"]))
+        end = F.array_max(F.transform(found, lambda s: s["end"]))
+        return F.array_join(F.concat(gaps, F.array(let(end, lambda e: cut(e, F.length(text))))), MARK)
 
-    rest = lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text)))
-    return F.when(F.size(found) > 0, F.aggregate(found, start, step, rest)).otherwise(text)
+    return F.when(F.size(found) > 0, let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), masked)).otherwise(text)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from archivelens.llm import mixing, secrets
-
 CHAT = """
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
@@ -24,13 +22,13 @@ SELECT conv_id, perspective, turn, position, segment, start, length,
 FROM placed
 """
 
-MIXING = f"""
+MIXING = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{mixing.WORD}')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '-') || ':' || md5(coalesce(text, ''))) AS walk, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS kind FROM sized GROUP BY source
 ), weighed AS (
-  SELECT *, list_value({", ".join(map(str, mixing.WEIGHTS))})[(kind % {len(mixing.WEIGHTS)} + 1)::INT] AS weight, source_size * {mixing.MOST} AS full_size FROM sources
+  SELECT *, list_value(5, 2, 1)[(kind % 3 + 1)::INT] AS weight, source_size * 3 AS full_size FROM sources
 ), levels AS (
   SELECT *, full_size::DOUBLE / weight AS reach,
     (sum(source_size) OVER () - sum(full_size) OVER below + full_size)::DOUBLE / sum(weight) OVER above AS level
@@ -43,20 +41,30 @@ WITH sized AS (
   FROM levels
 ), placed AS (
   SELECT d.*, t.source_size, t.kind, t.target, floor(t.target + 0.5)::BIGINT AS demand,
-    (sum(d.size) OVER (PARTITION BY d.source ORDER BY coalesce(md5(d.doc_id::VARCHAR), '-'), d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size)::BIGINT AS start
+    (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.walk, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size)::BIGINT AS start
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
 ), taken AS (
   SELECT *, CASE WHEN source_size = 0 THEN 0
     ELSE (demand // source_size) * size + greatest(0, least(size, demand % source_size - start)) END::BIGINT AS taken
   FROM placed
 ), shared AS (SELECT *, CASE WHEN taken > 0 THEN start::DOUBLE / demand END AS share FROM taken)
-SELECT doc_id, size, source_size, target, taken, round({mixing.position_sql("kind", "share")}, 6) AS position FROM shared
+-- the times by which weights of 0.5 + t, 1 and 1.5 - t have demanded a share of the whole
+SELECT doc_id, size, source_size, target, taken,
+  round(CASE kind % 3 WHEN 0 THEN sqrt(0.25::DOUBLE + 2 * share) - 0.5 WHEN 1 THEN share ELSE 1.5 - sqrt(2.25::DOUBLE - 2 * share) END, 6) AS position
+FROM shared
 """
 
 
+#: Kind, pattern, the group whose length counts, and its least length, as the contract states them.
+_KINDS = (
+    ("assign", r"(?i:(password|passwd|secret|token|api_?key))[\"\x27]?\x20*[:=]\x20*[\"\x27]?([A-Za-z0-9+/_.=-]+)", 2, 12),
+    ("access", r"AKIA[A-Z0-9]+", 0, 18),
+    ("hex", r"[0-9a-f]+", 0, 16),
+)
+
+
 def _spans(kind: int) -> str:
-    _, pattern, group, least = secrets.RULES[kind]
-    pattern = pattern.replace("'", "''")
+    _, pattern, group, least = _KINDS[kind]
     return f"""
   SELECT doc_id, {kind} AS kind, unnest(list_transform(range(1, len(m) + 1), lambda i: struct_pack(
     start := list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0),
@@ -65,17 +73,18 @@ def _spans(kind: int) -> str:
     string_split_regex(text, '{pattern}') AS gaps FROM documents WHERE regexp_matches(text, '{pattern}'))"""
 
 
+_NAMES = [k for k, *_ in _KINDS]
 SECRETS = f"""
-WITH found AS ({" UNION ALL ".join(_spans(k) for k in range(len(secrets.RULES)))}),
+WITH found AS ({" UNION ALL ".join(_spans(k) for k in range(len(_KINDS)))}),
 kept AS (
-  SELECT doc_id, kind, s.start::BIGINT AS start, (s.start + s.size)::BIGINT AS stop, list_value({", ".join(f"'{k}'" for k in secrets.KINDS)})[kind + 1] AS name
+  SELECT doc_id, kind, s.start::BIGINT AS start, (s.start + s.size)::BIGINT AS stop, list_value({", ".join(f"'{k}'" for k in _NAMES)})[kind + 1] AS name
   FROM found WHERE s.counted >= least
 ), listed AS (
-  SELECT doc_id, {", ".join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(secrets.KINDS))},
+  SELECT doc_id, {", ".join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(_NAMES))},
     string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans
   FROM kept GROUP BY doc_id
 )
-SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in secrets.KINDS)},
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in _NAMES)},
   sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents d LEFT JOIN listed l ON d.doc_id = l.doc_id
 """

@@ -256,6 +256,26 @@ def test_secrets_equal_regular_expressions(spark):
     assert ledger.count() == len({r["text"] or "" for r in rows})
 
 
+def test_many_matches_in_one_text(spark):
+    import time
+
+    text = "".join(f"é key token=abcdefghijkl{i:05d}\n" for i in range(32_000))
+    docs = spark.createDataFrame([(1, text), (2, "short token=abcdefghijkl0")], "doc_id long, text string")
+    began = time.monotonic()
+    ledger = scratch.stored(secrets.scan_unseen(docs, None), "ledger")
+    row = secrets.findings(docs, ledger).filter("doc_id = 1").select(F.size("secret_spans").alias("n"), secrets.redacted(F.col("text"), F.col("secret_spans")).alias("masked")).head()
+    assert row["n"] == 32_000 and row["masked"] == f"é key {secrets.MARK}\n" * 32_000
+    assert time.monotonic() - began < 30
+
+
+def test_deliveries_fill_one_ledger(spark):
+    docs, folder = documents(spark), scratch.new_path(spark, "ledger")
+    for part in ("doc_id < 8", "doc_id < 8", "doc_id is null or doc_id >= 8", "true"):
+        ledger = secrets.append_unseen(docs.filter(part), folder)
+    whole = secrets.scan_unseen(docs, None).collect()
+    assert sorted(map(str, ledger.collect())) == sorted(map(str, whole))
+
+
 def test_only_unseen_blobs_are_scanned(spark):
     docs = documents(spark)
     first = scratch.stored(secrets.scan_unseen(docs.filter("doc_id < 8"), None), "ledger")
