@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-CHAT = """
+CHAT = r"""
 WITH turns AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+    regexp_replace(regexp_replace(coalesce(role, 'unknown'), '<(\\*)\|', '<\\\1|', 'g'), '\|(\\*)>', '|\\\1>', 'g') AS shown,
+    regexp_replace(regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g'), '\|(\\*)>', '|\\\1>', 'g') AS body FROM conversations
 ), people AS (SELECT DISTINCT conv_id, role AS perspective FROM turns),
 rendered AS (
-  SELECT t.conv_id, p.perspective, t.turn, t.role, t.text, t.role = p.perspective AS mine,
-    CASE WHEN t.role = p.perspective THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || t.role || '|>' || chr(10) END AS frame
+  SELECT t.conv_id, p.perspective, t.turn, t.role, t.text, t.body, t.role = p.perspective AS mine,
+    CASE WHEN t.role = p.perspective THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || t.shown || '|>' || chr(10) END AS frame
   FROM turns t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
-), whole AS (SELECT *, frame || text || '<|end|>' || chr(10) AS segment FROM rendered),
+), whole AS (SELECT *, frame || body || '<|end|>' || chr(10) AS segment FROM rendered),
 placed AS (
   SELECT *, length(segment)::BIGINT AS length,
     (sum(length(segment)) OVER w - length(segment))::BIGINT AS start, row_number() OVER w - 1 AS position
-  FROM whole WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn ASC NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)
+  FROM whole WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn ASC NULLS FIRST, md5(role || ':' || text) ROWS UNBOUNDED PRECEDING)
 )
 SELECT conv_id, perspective, turn, position, segment, start, length,
   start + CASE WHEN mine THEN length(frame) ELSE 0 END AS mask_start,
