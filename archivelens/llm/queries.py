@@ -22,7 +22,8 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = scratch.stored(media.store(table(spark, sf_dir, "documents")), "media")
-    return media.describe(stored).drop("tile")
+    tiles = scratch.stored(media.describe(stored), "tiles")
+    return media.hashed(tiles).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:

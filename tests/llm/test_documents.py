@@ -122,8 +122,22 @@ def test_media_round_trip(spark):
     assert Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in rows) == wanted
     tile = np.load(__import__("io").BytesIO(rows[0]["tile"]))
     assert tile.shape == media.TILE and tile.dtype == np.uint8
-    assert media.describe(media.store(no_documents(spark))).count() == 0
-    assert media.describe(spark.createDataFrame([(1, 2, None)], "doc_id long, n_bytes long, media binary")).head()["feature"] is None
+    assert media.hashed(media.describe(media.store(no_documents(spark)))).count() == 0
+    assert Counter(r["media"][:2] for r in media.store(docs).collect())[b"BM"] == 2
+    bad = [None, b"", b"P", b"P5\n64", b"P5 4 4 255\nab", b"P5 0 0 255\n", b"BM", b"BM" + bytes(60), b"P9 1 1 1 1", b"P2 2 2 255\n1 x 2 3", media.encode_bmp(np.zeros((4, 4), np.uint8))[:-3], b"\xff\xd8jpeg"]
+    rows = media.hashed(media.describe(spark.createDataFrame([(i, 2, x) for i, x in enumerate(bad)], "doc_id long, n_bytes long, media binary"))).collect()
+    assert all(r["feature"] is None and r["payload_sha256"] is None for r in rows)
+    assert [r["error"] is None for r in rows] == [x is None for x in bad] and all(r["media_bytes"] == len(bad[r["doc_id"]]) for r in rows[1:])
+    assert media.hashed(spark.createDataFrame([(None,), (bytearray(b"no"),)], "tile binary")).filter("feature is null").count() == 2
+
+
+def test_features_are_those_of_the_stored_tiles(spark):
+    for r in media.hashed(media.describe(media.store(documents(spark)))).collect():
+        tile = np.load(__import__("io").BytesIO(r["tile"])).astype(float)
+        fine = np.repeat(np.repeat(tile, 8, 0), 9, 1)  # 256 x 288: whole cells of 32 x 32
+        cells = [[fine[32 * y : 32 * y + 32, 32 * x : 32 * x + 32].mean() for x in range(9)] for y in range(8)]
+        bits = "".join("1" if row[x] + 1e-9 < row[x + 1] else "0" for row in cells for x in range(8))
+        assert r["feature"] == f"{int(bits, 2):016x}"
 
 
 def test_images_are_decoded():
@@ -138,6 +152,9 @@ def test_images_are_decoded():
     rows = b"".join(colour[y, :, ::-1].tobytes().ljust(12, b"\0") for y in (1, 0))
     head = b"BM" + (54 + len(rows)).to_bytes(4, "little") + bytes(4) + (54).to_bytes(4, "little") + (40).to_bytes(4, "little") + (3).to_bytes(4, "little") + (2).to_bytes(4, "little") + (1).to_bytes(2, "little") + (24).to_bytes(2, "little") + bytes(24)
     assert (media.decode(head + rows) == colour).all()
+    for shape in ((3, 4), (2, 5), (1, 1)):
+        samples = np.random.default_rng(1).integers(0, 256, shape).astype(np.uint8)
+        assert (media.decode(media.encode_bmp(samples)) == samples).all()
     with pytest.raises(ValueError):
         media.decode(b"GIF89a")
 
