@@ -1,16 +1,20 @@
 """URL filters by host word segmentation (operator 4).
 
-Host names run words together. The most likely split under a unigram model of the pages' own words
-is found by the Viterbi algorithm, and a multinomial naive Bayes model over host words and path
-tokens, taught by a list of unwanted words, judges each url. Explicit rules come first.
+Host names run words together. The most likely split under a unigram model of the pages' own words is
+found by the Viterbi algorithm, and a multinomial naive Bayes model over host words and path tokens
+judges each url. Explicit rules come first. The model is taught by what is known of the pages: the
+verdicts of the rules, and for the other pages whether the text they show is junk. A page is judged by
+a model that has seen no page of its own host.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,11 +22,11 @@ from archivelens.functions import scratch
 
 #: (verdict, host, path); the longest rule that fits wins.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/"))
-#: Words that mark a url as unwanted when the model is taught.
-UNWANTED = ("ads", "adult", "bet", "bets", "casino", "cheap", "gambling", "lottery", "pills", "poker", "porn", "spam", "track", "tracker", "viagra", "xxx")
-#: Longest word of the unigram model; count that an unwanted word has at least; hash buckets of naive
-#: Bayes (a fixed size, so the model can be sent to every task).
-LONGEST, SEEDED, BUCKETS = 24, 1000, 1 << 16
+#: Longest label that a host name can have (longer ones stay whole); hash buckets of naive Bayes (a fixed
+#: size, so the model can be sent to every task); added to each count; folds of hosts.
+LABEL, BUCKETS, SMOOTH, FOLDS = 63, 1 << 16, 0.5, 2
+#: Marks that prose hardly has, and the share of them from which a page's text is junk.
+MARKS, JUNK = "*#%$&@^~|", 0.05
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -43,12 +47,18 @@ def rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RUL
     return name, verdict
 
 
-def word_counts(pages: DataFrame, unwanted: Sequence[str] = UNWANTED) -> DataFrame:
-    """word, n: the unigram model, counted over the whole html of all pages."""
-    words = pages.select(F.explode(F.regexp_extract_all(F.lower("html"), F.lit(rf"[a-z]{{2,{LONGEST}}}"), F.lit(0))).alias("word"))
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    seeds = pages.sparkSession.createDataFrame([(w, SEEDED) for w in unwanted], "word string, n long")
-    return counts.unionByName(seeds).groupBy("word").agg(F.max("n").alias("n"))
+def word_counts(pages: DataFrame) -> DataFrame:
+    """word, n: the unigram model: words of a-z counted over the whole html of all pages."""
+    runs = F.regexp_extract_all(F.lower("html"), F.lit(r"\p{L}+"), F.lit(0))
+    words = pages.select(F.explode(F.filter(runs, lambda w: F.regexp_like(w, F.lit(rf"^[a-z]{{2,{LABEL}}}$")))).alias("word"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def junk(html: Column) -> Column:
+    """Whether the text that a page shows is junk: ``JUNK`` or more of its characters are ``MARKS``."""
+    shown = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " "), r"(?s)<[^>]*>|&[a-zA-Z0-9#]+;", " ")
+    left = F.length(F.translate(shown, MARKS, ""))
+    return F.coalesce(F.length(shown) - left >= F.greatest(F.length(shown) * JUNK, F.lit(1.0)), F.lit(False))
 
 
 def viterbi(label: str, found: list[tuple[int, int, float]], total: float) -> list[str]:
@@ -58,7 +68,7 @@ def viterbi(label: str, found: list[tuple[int, int, float]], total: float) -> li
     known: dict[tuple[int, int], float] = {(s, s + k): float(np.log(n / total)) for s, k, n in found}
     for end in range(1, len(label) + 1):
         options = []
-        for start in range(max(0, end - LONGEST), end):
+        for start in range(end):
             cost = known.get((start, end), 1.0 - float(np.log(total)) - (end - start) * 2.302585)
             options.append((best[start][0] + cost, -start))
         score, start = max(options)
@@ -72,70 +82,78 @@ def viterbi(label: str, found: list[tuple[int, int, float]], total: float) -> li
 
 
 def segment(labels: DataFrame, counts: DataFrame) -> DataFrame:
-    """label, words for each distinct ``label``. Only a label's substrings meet the word counts, by an
+    """label, words for each distinct ``label``; a label of more than ``LABEL`` characters is one word. Only a label's substrings meet the word counts, by an
     ordinary join, so neither the model nor the labels need to fit one task."""
     total = float(counts.agg(F.sum("n")).head()[0] or 1)
-    starts = labels.select("label", F.explode(F.sequence(F.lit(1), F.greatest(F.length("label"), F.lit(1)))).alias("start"))
-    longest = F.least(F.lit(LONGEST), F.length("label") - F.col("start") + 1)
+    short = labels.filter(F.length("label") <= LABEL)
+    starts = short.select("label", F.explode(F.sequence(F.lit(1), F.greatest(F.length("label"), F.lit(1)))).alias("start"))
+    longest = F.length("label") - F.col("start") + 1
     pieces = starts.filter(longest >= 2).select("label", "start", F.explode(F.sequence(F.lit(2), longest)).alias("size"))
     pieces = pieces.withColumn("word", F.expr("substring(label, start, size)")).join(counts, "word")
     known = pieces.groupBy("label").agg(F.collect_list(F.struct("start", "size", "n")).alias("known"))
 
     @F.pandas_udf("array<string>")
     def split(label: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([viterbi(x, [(w["start"] - 1, w["size"], w["n"]) for w in ([] if k is None else k)], total) for x, k in zip(label, found, strict=True)])
+        return pd.Series([[x] if len(x) > LABEL else viterbi(x, [(w["start"] - 1, w["size"], w["n"]) for w in ([] if k is None else k)], total) for x, k in zip(label, found, strict=True)])
 
     return labels.join(known, "label", "left").select("label", split("label", "known").alias("words"))
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, unwanted: Sequence[str] = UNWANTED) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, odds and host_words for each row of ``pages`` (page_id,
     url, html).
 
-    odds is the model's log odds for block; it decides where no rule fits (block above 0). A null url
-    or one without "://" has an empty host and path. A null html teaches no words; null or repeated
+    odds is the model's log odds for block; it decides where no rule fits (block above 0). Words that
+    the rules name aren't features, since they would only repeat the rules. A null url or one without
+    "://" has an empty host and path. A null html teaches no words and isn't junk; null or repeated
     page_ids are ordinary rows, as equal rows are; extra columns are ignored; an empty table gives no
-    rows. Without any unwanted word in the urls the model allows everything.
+    rows. Where nothing teaches block, everything without a rule is allowed.
     """
     host, path = parts(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
+    name, verdict = rule(F.col("host"), F.col("path"), rules)
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"), junk(F.col("html")).alias("junk"))
     hosts = rows.select("host").distinct()
     labels = hosts.select("host", F.posexplode(F.split("host", "[^a-z0-9]+")).alias("place", "label"))
-    counts = scratch.stored(word_counts(pages, unwanted), "words")  # the html is read once
+    counts = scratch.stored(word_counts(pages), "words")  # the html is read once for them
     words = segment(labels.select("label").filter("label <> ''").distinct(), counts)
     split = labels.join(words, "label").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("place", "words"))).alias("all"))
     split = split.select("host", F.flatten(F.transform("all", lambda x: x["words"])).alias("host_words"))
     rows = rows.join(scratch.stored(split, "hosts"), "host", "left").withColumn("host_words", F.coalesce("host_words", F.array().cast("array<string>")))
     # digits count as one token whatever their value
     steps = F.filter(F.split(F.regexp_replace(F.lower("path"), "[0-9]+", "0"), "[^\\p{L}\\p{N}]+"), lambda t: t != "")
-    rows = rows.withColumn("steps", steps)
-    marked = F.arrays_overlap(F.concat("host_words", "steps"), F.array(*map(F.lit, unwanted)))
-    features = F.concat(F.transform("host_words", lambda t: F.concat(F.lit("host "), t)), F.transform("steps", lambda t: F.concat(F.lit("path "), t)))
-    rows = rows.withColumn("marked", F.coalesce(marked, F.lit(False))).withColumn("buckets", F.transform(features, lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS))))
-    rows = scratch.stored(rows.drop("steps"), "urls")
-    weights, prior = naive_bayes(rows)
+    named = sorted({t for _, own, start in rules for t in re.split("[^a-z0-9]+", (own + start).lower()) if t})
+    free = lambda tokens: F.filter(tokens, lambda t: ~t.isin(named))
+    features = F.concat(F.transform(free("host_words"), lambda t: F.concat(F.lit("host "), t)), F.transform(free(steps), lambda t: F.concat(F.lit("path "), t)))
+    rows = rows.withColumn("rule", name).withColumn("known", verdict)
+    rows = rows.withColumn("unwanted", F.coalesce(F.col("known") == "block", F.col("junk")))
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64(F.lit(3), "host"), F.lit(FOLDS)).cast("int"))
+    rows = scratch.stored(rows.withColumn("buckets", F.transform(features, lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS)))), "urls")
+    weights, priors = naive_bayes(rows)
 
     @F.pandas_udf("double")
-    def odds(buckets: pd.Series) -> pd.Series:
+    def odds(fold: pd.Series, buckets: pd.Series) -> pd.Series:
         own = weights.value
-        return pd.Series([prior + float(own[np.asarray(b, np.int64)].sum()) for b in buckets])
+        return pd.Series([priors[k] + float(own[k, np.asarray(b, np.int64)].sum()) for k, b in zip(fold, buckets, strict=True)])
 
-    name, verdict = rule(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("odds", odds("buckets"))
-    verdict = F.coalesce(verdict, F.when(F.col("odds") > 0, "block").otherwise("allow"))
-    return rows.select("page_id", "host", "path", name.alias("rule"), verdict.alias("verdict"), "odds", "host_words")
+    rows = rows.withColumn("odds", odds("fold", "buckets"))
+    verdict = F.coalesce("known", F.when(F.col("odds") > 0, "block").otherwise("allow"))
+    return rows.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "odds", "host_words")
 
 
-def naive_bayes(rows: DataFrame):  # noqa: ANN201
-    """Log-odds of each hash bucket as a broadcast array of fixed size, and the prior log odds.
+def naive_bayes(rows: DataFrame) -> tuple[Broadcast, list[float]]:
+    """For each fold, the log odds of each hash bucket (0 where no page has it) and the prior log odds, out
+    of the rows (fold, unwanted, buckets) of the other folds; a broadcast array of fixed size.
 
-    Counts are summed over all rows on the executors; at most two rows a bucket reach the driver.
+    Counts are summed over all rows on the executors; a few rows a bucket reach the driver at most.
     """
-    counts = np.zeros((2, BUCKETS))
-    for r in rows.select(F.col("marked").cast("int").alias("k"), F.explode("buckets").alias("b")).groupBy("k", "b").agg(F.count(F.lit(1)).alias("n")).collect():
-        counts[r["k"], r["b"]] = r["n"]
-    sizes = {r["marked"]: r["n"] for r in rows.groupBy("marked").agg(F.count(F.lit(1)).alias("n")).collect()}
-    spread = counts + 1 / BUCKETS
-    logs = np.log(spread / spread.sum(1, keepdims=True))
-    prior = float(np.log(sizes.get(True, 0) + 1e-9) - np.log(sizes.get(False, 0) + 1e-9))
-    return rows.sparkSession.sparkContext.broadcast(logs[1] - logs[0] if sizes.get(True) else np.zeros(BUCKETS)), prior
+    counts, sizes = np.zeros((FOLDS, 2, BUCKETS)), np.zeros((FOLDS, 2))
+    kind = F.col("unwanted").cast("int").alias("k")
+    for r in rows.select("fold", kind, F.explode("buckets").alias("b")).groupBy("fold", "k", "b").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[r["fold"], r["k"], r["b"]] = r["n"]
+    for r in rows.groupBy("fold", kind).agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes[r["fold"], r["k"]] = r["n"]
+    counts, sizes = counts.sum(0) - counts, sizes.sum(0) - sizes
+    seen = counts.sum(1) > 0
+    logs = np.log((counts + SMOOTH) / (counts.sum(2, keepdims=True) + SMOOTH * np.maximum(seen.sum(1), 1)[:, None, None]))
+    priors = np.log((sizes[:, 1] + SMOOTH) / (sizes[:, 0] + SMOOTH))
+    return rows.sparkSession.sparkContext.broadcast(np.where(seen, logs[:, 1] - logs[:, 0], 0.0)), priors.tolist()

@@ -80,13 +80,22 @@ URLS = [
     ("no scheme/en/1", "", "", None, None), (None, "", "", None, None), ("http://notexample.com/en/7", "notexample.com", "/en/7", "com/en/", "block"),
     ("http://h.org?q=://z/es/", "h.org", "", None, None), ("x://éÀA.org/es/ü", "éÀa.org", "/es/ü", "org/es/", "block"), ("://", "", "", None, None),
     ("http://cheappillsshop.info/buy", "cheappillsshop.info", "/buy", None, "block"), ("http://weathernews.info/sun", "weathernews.info", "/sun", None, "allow"),
+    ("http://donaudampfschifffahrtsgesellschaft.info/sun", "donaudampfschifffahrtsgesellschaft.info", "/sun", None, "allow"), (f"http://{'y' * 5000}.info/", f"{'y' * 5000}.info", "/", None, None),
 ]
 
 
+def urls_table(spark):
+    html = "<p>weather news shop sun cheap pills buy donaudampfschifffahrtsgesellschaft " * 30
+    junk = "<style>p{a:#%$&}</style><p>cheap *** ### pills %%% buy $$$</p>"
+    rows = [(i, u[0], None if i % 5 == 4 else html) for i, u in enumerate(URLS)]
+    rows += [(100 + 40 * k + i, f"http://{name}{tail}.info/sun/{i}", html) for k, name in enumerate(("weathernews", "newsweather")) for tail in ("", "sun", "shop") for i in range(13)]
+    rows += [(1000 + 40 * k + i, f"http://{name}{tail}.info/buy/{i}", junk) for k, name in enumerate(("cheappills", "pillsbuy")) for tail in ("", "cheap", "x", "y", "z") for i in range(7)]
+    rows += [(None, "http://cheappills.info/x", "")] * 2
+    return [(*r, "h", "r", "l", "w", "o") for r in rows]
+
+
 def test_urls_are_judged(spark):
-    html = "<p>weather news shop sun " * 30
-    rows = [(i, u[0], None if i % 5 == 4 else html, "h", "r", "l", "w", "o") for i, u in enumerate(URLS)]
-    rows += [(100 + i, f"http://weathernews.info/sun/{i}", html, "h", "r", "l", "w", "o") for i in range(40)] + [(None, "http://cheappills.info/x", "", "h", "r", "l", "w", "o")] * 2
+    rows = urls_table(spark)
     got = urls.judge(pages(spark, rows)).collect()
     assert len(got) == len(rows)
     by_id = {r["page_id"]: r for r in got if r["page_id"] is not None}
@@ -95,8 +104,36 @@ def test_urls_are_judged(spark):
         assert verdict is None or by_id[i]["verdict"] == verdict
     assert by_id[10]["host_words"][:3] == ["cheap", "pills", "shop"]
     assert by_id[11]["host_words"][:2] == ["weather", "news"]
+    assert by_id[12]["host_words"] == ["donaudampfschifffahrtsgesellschaft", "info"] and by_id[13]["host_words"] == ["y" * 5000, "info"]
+    # no list names these words and page 10 shows no junk: it is the words of other hosts that block it
+    assert by_id[10]["odds"] > 0 > by_id[11]["odds"]
     assert urls.judge(pages(spark, [])).count() == 0
-    assert {r["verdict"] for r in urls.judge(pages(spark, rows[11:30])).collect()} <= {"allow", "block"}
+    assert {r["verdict"] for r in urls.judge(pages(spark, rows[11:12] * 5)).collect()} == {"allow"}
+
+
+def test_naive_bayes_equals_counting(spark):
+    rows = urls_table(spark)
+    got = urls.judge(pages(spark, rows)).collect()
+    html = {r[0]: r[2] or "" for r in rows}
+    named = {"com", "en", "example", "7", "net", "de", "8", "org", "es"}
+    items = []
+    folds = {r["host"]: r["k"] for r in spark.createDataFrame([(r["host"],) for r in got], "host string").select("host", F.pmod(F.xxhash64(F.lit(3), "host"), F.lit(urls.FOLDS)).alias("k")).collect()}
+    for r in got:
+        tokens = [f"host {w}" for w in r["host_words"] if w not in named] + [f"path {t}" for t in re.split(r"[\W_]+", re.sub("[0-9]+", "0", r["path"].lower())) if t and t not in named]
+        blocked = r["verdict"] == "block" if r["rule"] else "***" in html[r["page_id"]]
+        items.append((folds[r["host"]], blocked, tokens, r["odds"]))
+    for fold in range(urls.FOLDS):
+        counts, sizes = {True: Counter(), False: Counter()}, Counter()
+        for k, blocked, tokens, _ in items:
+            if k != fold:
+                counts[blocked].update(tokens)
+                sizes[blocked] += 1
+        vocabulary = len(counts[True] | counts[False])
+        log = lambda t, c: math.log((counts[c][t] + 0.5) / (counts[c].total() + 0.5 * vocabulary))  # noqa: B023, E731
+        for k, _, tokens, odds in items:
+            if k == fold:
+                wanted = math.log((sizes[True] + 0.5) / (sizes[False] + 0.5)) + sum(log(t, True) - log(t, False) for t in tokens if counts[True][t] + counts[False][t])
+                assert odds == pytest.approx(wanted)
 
 
 def test_longest_rule_wins(spark):
