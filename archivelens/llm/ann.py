@@ -8,15 +8,19 @@ enter the query's list; factor 1 is exact search, larger factors search less.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from archivelens.functions import scratch
+
 #: Vectors of a shard and queries of a block on average, vectors of a leaf, neighbours, relaxation.
-SHARD, BLOCK, LEAF, NEAREST, FACTOR = 8192, 2048, 256, 20, 4.0
+SHARD, BLOCK, LEAF, NEAREST, FACTOR = 8192, 512, 256, 20, 4.0
+#: Blocks of queries that one task asks a shard's tree at most, on average.
+LANE = 64
 #: Pairs whose products are taken at once.
 PAIRS = 1 << 16
 
@@ -37,18 +41,32 @@ class Tree:
         self.points = np.column_stack([self.values, np.sqrt(np.maximum(self.longest - lengths, 0))])
         #: Bound of the relative error of a sum of products.
         self.error = 4 * (values.shape[1] + 4) * np.finfo(np.float64).eps
-        self.random = np.random.default_rng(seed)
-        self.root = self._build(np.arange(len(self.points)))
-
-    def _build(self, rows: np.ndarray) -> tuple:
-        if len(rows) <= self.leaf:
-            return (rows,)
-        point = self.points[self.random.choice(rows)]
-        far = np.sqrt(np.maximum(((self.points[rows] - point) ** 2).sum(1), 0))
-        order = np.argsort(far, kind="stable")
-        half = len(rows) // 2
-        radius = far[order[half]]
-        return point, radius, self._build(rows[order[:half]]), self._build(rows[order[half:]])
+        #: The distinct vectors so that each subtree's are on end, and by inner node, in the order in which
+        #: they are met from the root down, the vantage point and the radius that halves its subtree.
+        self.order = np.arange(len(self.points))
+        self.inner: list[tuple[int, float]] = []
+        random = np.random.default_rng(seed)
+        todo = [(0, len(self.order))]
+        while todo:
+            a, b = todo.pop()
+            if b - a <= leaf:
+                continue
+            rows = self.order[a:b]
+            chosen = int(random.choice(rows))
+            far = np.sqrt(np.maximum(((self.points[rows] - self.points[chosen]) ** 2).sum(1), 0))
+            nearer = np.argsort(far, kind="stable")
+            self.order[a:b] = rows[nearer]
+            self.inner.append((chosen, float(far[nearer[(b - a) // 2]])))
+            half = a + (b - a) // 2
+            todo += [(half, b), (a, half)]
+
+    def dump(self) -> bytes:
+        """The tree as bytes that ``load`` takes."""
+        return pickle.dumps(self, protocol=5)
+
+    @staticmethod
+    def load(data: bytes) -> Tree:
+        return pickle.loads(data)  # noqa: S301  (written by this job's own tasks)
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` rows of largest inner product with each query, ties by row, and their products (row
@@ -88,13 +106,19 @@ class Tree:
             order = order[np.arange(len(at)) - np.searchsorted(at, at) < k]
             best[some[met]], rows[some[met]] = score[order].reshape(-1, k), member[order].reshape(-1, k)
 
-        def visit(node: tuple, some: np.ndarray) -> None:
+        # where the inner nodes of a subtree begin: after its root come all of the nearer half's
+        def nodes(n: int) -> int:
+            return 0 if n <= self.leaf else 1 + nodes(n // 2) + nodes(n - n // 2)
+
+        def visit(place: tuple[int, int, int], some: np.ndarray) -> None:
+            a, b, at = place
             if not len(some):
                 return
-            if len(node) == 1:
-                enter(node[0], some)
+            if b - a <= self.leaf:
+                enter(self.order[a:b], some)
                 return
-            point, radius, inner, outer = node
+            (chosen, radius), half = self.inner[at], a + (b - a) // 2
+            point, inner, outer = self.points[chosen], (a, half, at + 1), (half, b, at + 1 + nodes(half - a))
             far = np.sqrt(np.maximum(((raised[some] - point) ** 2).sum(1), 0))
             gap, inside = far - radius, far < radius
             for first, second, mine in ((inner, outer, inside), (outer, inner, ~inside)):
@@ -104,7 +128,7 @@ class Tree:
                 limit = np.sqrt(np.maximum(whole - 2 * best[asked, -1], 0) + self.error * whole) + self.error * (far[mine] + radius)
                 visit(second, asked[np.abs(gap[mine]) * factor <= limit])
 
-        visit(self.root, np.arange(len(queries)))
+        visit((0, len(self.order), 0), np.arange(len(queries)))
         return np.where(rows == none, -1, rows), best
 
 
@@ -128,41 +152,51 @@ def nearest(vectors: DataFrame, queries: Column | None = None, k: int = NEAREST,
     rows are separate candidates, and repeated queries are asked once (different vectors under one
     query id share its list). Extra columns are ignored; an empty table gives no rows.
 
-    Every block of queries meets every shard once: rows of ``shard`` vectors and of ``block`` queries
-    are joined by number, so neither side is sent whole to a task.
+    Every block of queries meets every shard once. A shard's tree is planted once and stored; blocks are
+    dealt to lanes of ``LANE`` blocks on average, and a task asks one tree for one lane, a block at a
+    time. So neither side is sent whole to a task, and there are tasks for every pair of shard and lane.
     """
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter("vec_id is not null").filter(sound(F.col("v")))
     own = own.withColumn("dim", F.size("v").cast("long"))
     asked = (F.col("vec_id") % 20 == 0) if queries is None else queries
-    n = own.count()
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-own.filter(asked).count() // block))
+    sizes = own.agg(F.count(F.lit(1)).alias("n"), F.count_if(asked).alias("asked")).head()
+    shards, blocks = max(1, -(-sizes["n"] // shard)), max(1, -(-sizes["asked"] // block))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    lanes = min(blocks, max(-(-blocks // LANE), -(-2 * cores // shards)))
 
-    def plant(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    def gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         table = table.sort_by("vec_id").combine_chunks()
-        values = _vectors(table.column("v").chunk(0))
-        return pa.table({"shard": [key[1].as_py()], "dim": [key[0].as_py()], "ids": [table.column("vec_id").to_numpy().astype("<i8").tobytes()], "vectors": [values.tobytes()]})
+        return table.column("vec_id").to_numpy(), _vectors(table.column("v").chunk(0))
+
+    def plant(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        ids, values = gathered(table)
+        return pa.table({"dim": [key[0].as_py()], "shard": [key[1].as_py()], "tree": pa.array([Tree(values, ids).dump()], pa.binary())})
 
     def gather(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        out = plant(key, table)
-        return pa.table({"block": out.column("shard"), "dim": out.column("dim"), "query_ids": out.column("ids"), "queries": out.column("vectors")})
+        ids, values = gathered(table)
+        return pa.table({"dim": [key[0].as_py()], "block": [key[1].as_py()], "query_ids": [ids.astype("<i8").tobytes()], "queries": [values.tobytes()]})
+
+    def search(trees: pa.Table, asked: pa.Table) -> pa.Table:
+        out = []
+        if trees.num_rows:
+            tree = Tree.load(trees.column("tree")[0].as_py())
+            for q, v, dim in zip(asked.column("query_ids"), asked.column("queries"), asked.column("dim").to_pylist(), strict=True):
+                own_ids, wanted = np.frombuffer(q.as_buffer(), "<i8"), np.frombuffer(v.as_buffer()).reshape(-1, dim)
+                found, products = tree.search(wanted, own_ids, k, factor)
+                at, place = np.nonzero(found >= 0)
+                out.append(pa.table({"query_id": own_ids[at], "vec_id": tree.ids[found[at, place]], "score": products[at, place]}))
+        return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
+    every = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")).alias(name)
     salted = F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards))
-    planted = own.withColumn("shard", salted).groupBy("dim", "shard").applyInArrow(plant, "shard long, dim long, ids binary, vectors binary")
+    planted = scratch.stored(own.withColumn("shard", salted).groupBy("dim", "shard").applyInArrow(plant, "dim long, shard long, tree binary"), "trees")
     first = own.filter(asked).withColumn("block", F.pmod(F.xxhash64(F.lit(11), "vec_id"), F.lit(blocks))).dropDuplicates(["vec_id", "v"])
-    gathered = first.groupBy("dim", "block").applyInArrow(gather, "block long, dim long, query_ids binary, queries binary")
-    met = planted.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(gathered, ["dim", "block"])
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, own_ids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["query_ids"], "<i8")
-                points, wanted = (np.frombuffer(row[c]).reshape(-1, row["dim"]) for c in ("vectors", "queries"))
-                found, products = Tree(points, ids).search(wanted, own_ids, k, factor)
-                at, place = np.nonzero(found >= 0)
-                rows, scores = found[at, place], products[at, place]
-                yield pa.RecordBatch.from_arrays([pa.array(own_ids[at]), pa.array(ids[rows]), pa.array(scores)], ["query_id", "vec_id", "score"])
-
-    hits = met.select("dim", "ids", "vectors", "query_ids", "queries").mapInArrow(search, "query_id long, vec_id long, score double")
+    blocked = scratch.stored(first.groupBy("dim", "block").applyInArrow(gather, "dim long, block long, query_ids binary, queries binary"), "queries")
+    key = ["dim", "shard", "lane"]
+    parts = min(2 * shards * lanes, max(8 * cores, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    trees = planted.select("*", every("lane", lanes)).repartition(parts, *key).groupBy(*key)
+    lined = blocked.withColumn("lane", F.col("block") % lanes).select("*", every("shard", shards)).repartition(parts, *key).groupBy(*key)
+    hits = trees.cogroup(lined).applyInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -70,6 +70,7 @@ def measure(texts: pa.Array) -> np.ndarray:
             lines = text.split(b"\n")
             out[i, 14] = 1 - len(set(lines)) / len(lines)
             out[i, 15] = np.log1p(max(map(len, text.split())) if b > a else 0)
+    out[sizes == 0] = 0
     return out
 
 
@@ -191,7 +192,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     """Fit on texts of ``docs`` with a label in ``labels`` (doc_id, quality) outside the held-out fold.
 
     At most ``sample`` labelled ids, those of least md5, are used; repeated labels of an id count as
-    its lowest, and null labels or ids not at all. Only features of that bounded sample reach the driver.
+    its lowest, null labels or ids not at all, and of the texts under one id the one with the least
+    features. Only one row of features for each id of that bounded sample reaches the driver.
     """
     known = labels.filter("quality is not null and doc_id is not null").filter(fold(F.col("doc_id")) != 1)
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
@@ -204,7 +206,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), tokens.binary_column(found.ravel(), np.full(len(found), found.shape[1]))], ["doc_id", "quality", "x"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = rows.select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(look, "doc_id long, quality int, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
+    got = rows.select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(look, "doc_id long, quality int, x binary")
+    got = got.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toArrow().sort_by("doc_id")
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float64).reshape(-1, len(FEATURES))
     return fit(x, got.column("quality").to_numpy().astype(np.float64))
 

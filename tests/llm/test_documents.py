@@ -1,6 +1,7 @@
 """Operators on documents, against plain Python over awkward rows and empty tables."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -391,3 +392,78 @@ def test_quality_of_awkward_rows(spark):
     some = quality.train(spark, docs, spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int"))
     assert all(0 <= r["quality_score"] <= 1 for r in quality.score(docs, some).collect())
     assert quality.score(no_documents(spark), some).count() == 0
+
+
+def plain_tree(g, h, leaves=quality.LEAVES):
+    """Greedy splits by trying every cut of every leaf."""
+    gain = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + quality.PRIOR)
+    cuts = [0, len(g)]
+    for _ in range(leaves - 1):
+        tried = [(gain(a, m) + gain(m, b) - gain(a, b), m) for a, b in zip(cuts, cuts[1:], strict=False) for m in range(a + 1, b)]
+        if not tried or max(tried)[0] <= 1e-9:
+            break
+        cuts = sorted([*cuts, max(tried)[1]])
+    return np.concatenate([np.full(b - a, g[a:b].sum() / (h[a:b].sum() + quality.PRIOR)) for a, b in zip(cuts, cuts[1:], strict=False)])
+
+
+def test_trees_equal_trying_every_cut():
+    random = np.random.default_rng(8)
+    for n in (1, 2, 3, 9, 30):
+        g, h = random.normal(size=n) * 20, random.uniform(0.1, 9, n)
+        assert np.allclose(quality._tree(g, h), plain_tree(g, h))
+    for shape in ((2, 2), (3, 5), (6, 4)):
+        g, h = random.normal(size=shape) * 20, random.uniform(0.1, 9, shape)
+        worth = lambda part, weight: part.sum() ** 2 / (weight.sum() + quality.PRIOR)
+        best = (-np.inf, None)
+        for i in range(1, shape[0]):
+            for j in range(1, shape[1]):
+                cells = [(slice(0, i), slice(0, j)), (slice(0, i), slice(j, None)), (slice(i, None), slice(0, j)), (slice(i, None), slice(j, None))]
+                best = max(best, (sum(worth(g[c], h[c]) for c in cells), cells), key=lambda t: t[0])
+        values = np.zeros(shape)
+        for c in best[1]:
+            values[c] = g[c].sum() / (h[c].sum() + quality.PRIOR)
+        gain, got = quality._quadrants(g, h)
+        assert np.allclose(got, values) and gain == pytest.approx(best[0] - worth(g, h))
+
+
+def test_scores_are_sums_of_table_entries():
+    random = np.random.default_rng(9)
+    x = random.normal(size=(400, 4)).round(1)
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
+    model = quality.fit(x, y)
+    for row, got in zip(x, model.score(x), strict=True):
+        total = model.start + sum(t[sum(v >= e for e in edges)] for v, edges, t in zip(row, model.edges, model.tables, strict=True))
+        total += sum(t[sum(row[a] >= e for e in model.pair_edges[a]), sum(row[b] >= e for e in model.pair_edges[b])] for (a, b), t in zip(model.pairs, model.pair_tables, strict=True))
+        assert got == pytest.approx(1 / (1 + math.exp(-total)))
+    assert ((model.score(x) >= 0.5) == y).mean() > 0.95  # no single feature tells: the pair does
+
+
+def test_features_equal_counting():
+    texts = ["One two, TWO!! 42 |a|\nOne two\n\nOne two", "é é é", "", None, "   ", "x" * 300, "a b a b a b"]
+    got = quality.measure(pa.array(texts))
+    for text, row in zip(texts, got, strict=True):
+        data = (text or "").encode()
+        words, lines = re.findall(rb"[^\x20\x09-\x0D]+", data), data.split(b"\n")
+        if not data:
+            assert not row.any()
+            continue
+        low = [bytes(w).lower() for w in words]
+        seen = max(1, sum(c not in b" \t\n\r" for c in data))
+        named = dict(zip(quality.FEATURES, row, strict=True))
+        assert named["bytes"] == pytest.approx(math.log1p(len(data))) and named["words"] == pytest.approx(math.log1p(len(words)))
+        assert named["upper"] == pytest.approx(sum(65 <= c <= 90 for c in data) / seen) and named["digits"] == pytest.approx(sum(48 <= c <= 57 for c in data) / seen)
+        assert named["other"] == pytest.approx(sum(c >= 128 for c in data) / seen) and named["bars"] == pytest.approx(data.count(b"|") / seen)
+        assert named["repeated_lines"] == pytest.approx(1 - len(set(lines)) / len(lines))
+        if words:
+            assert named["repeated_words"] == pytest.approx(math.log1p(len(words)) - math.log(len(set(low))))
+            assert named["top_word"] == pytest.approx(max(Counter(low).values()) / len(low))
+            assert named["next_equal"] == pytest.approx(sum(a == b for a, b in zip(low, low[1:], strict=False)) / max(1, len(low) - 1))
+
+
+def test_a_labelled_id_with_many_rows_counts_once(spark):
+    rows = [(i, f"good words {i} and more") for i in range(40)] + [(2, f"COPY {i}!!!") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    one, two = (quality.train(spark, d, labels) for d in (docs, docs.repartition(5)))
+    x = quality.measure(pa.array([t for _, t in rows]))
+    assert np.allclose(one.score(x), two.score(x))
