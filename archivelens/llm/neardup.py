@@ -5,10 +5,13 @@
    compared a batch of hashes at a time, and a pair is dropped once the posterior probability that
    its similarity reaches the threshold is below ``MISS``. A bucket reports a spanning forest of the
    pairs that remain, never all of them.
-3. Components of those forests are units: every link lies inside one. A unit's full sets meet in one
-   task, where its remaining pairs are verified exactly; units above ``UNIT`` classes meet in pairs
-   of blocks.
-4. Components of the verified links are the groups of near-duplicates.
+3. Full sets of the classes in those forests are made once. The forests' own pairs are verified first,
+   each class against its root; links found make parts. A large group of near copies falls together
+   here, at a cost that grows with its size.
+4. Components of the forests are units: every link lies inside one. In units of more than one part, sets
+   of different parts meet, and their remaining pairs are verified exactly; units above ``UNIT`` classes
+   meet in pairs of blocks, but for two blocks of one part.
+5. Components of the verified links are the groups of near-duplicates.
 """
 
 from __future__ import annotations
@@ -95,21 +98,27 @@ def forest(signatures: np.ndarray, sizes: np.ndarray, bounds: list[tuple[int, in
     return label
 
 
-def linked(sets: list[np.ndarray], signatures: np.ndarray, bounds: list[tuple[int, int]], percent: int) -> np.ndarray:
-    """Component (least row) of each row under exact links. A pair that is joined already is skipped."""
-    sizes, label = np.array([len(s) for s in sets]), np.arange(len(sets))
+def similar(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of ``percent`` or more."""
+    small, large = (one, other) if len(one) < len(other) else (other, one)
+    place = np.searchsorted(large, small)
+    place[place == len(large)] = 0
+    both = int((large[place] == small).sum())
+    return 100 * both >= percent * (len(small) + len(large) - both)
+
+
+def linked(sets: list[np.ndarray], signatures: np.ndarray, bounds: list[tuple[int, int]], percent: int, parts: np.ndarray) -> np.ndarray:
+    """Component (least row) of each row under exact links, where rows of one part (the least row of each
+    is given) are linked before. A pair that is joined already is skipped."""
+    sizes, label = np.array([len(s) for s in sets]), parts.copy()
     for i in range(1, len(sets)):
         at, agreed = alike(signatures[i], signatures, bounds, np.flatnonzero(_comparable(sizes[:i], sizes[i], percent)))
         for j in at[np.argsort(-agreed, kind="stable")].tolist():
             if label[j] == label[i]:
                 continue
-            small, large = (sets[i], sets[j]) if sizes[i] < sizes[j] else (sets[j], sets[i])
-            place = np.searchsorted(large, small)
-            place[place == len(large)] = 0
-            both = int((large[place] == small).sum())
-            if 100 * both >= percent * (len(small) + len(large) - both):
+            if similar(sets[i], sets[j], percent):
                 a, b = sorted((label[i], label[j]))
-                label[: i + 1][label[: i + 1] == b] = a
+                label[label == b] = a
     return label
 
 
@@ -194,8 +203,9 @@ def _bytes_matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_buffer() for x in column), np.uint8).reshape(-1, width)
 
 
-def _edges(names: list, label: np.ndarray, base: int, out: tuple[list, list]) -> None:
-    for i in np.flatnonzero(label != np.arange(len(label))).tolist():
+def _edges(names: list, label: np.ndarray, base: int, out: tuple[list, list], known: np.ndarray | None = None) -> None:
+    """Note an edge from each row to the least of its component, unless it is known."""
+    for i in np.flatnonzero(label != (np.arange(len(label)) if known is None else known)).tolist():
         out[0].append(names[base + i])
         out[1].append(names[base + int(label[i])])
 
@@ -230,21 +240,8 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(compare, "a binary, b binary").distinct()
 
 
-def verified(docs: DataFrame, classes: DataFrame, units: DataFrame, percent: int) -> DataFrame:
-    """a, b: forests of exact links inside the units (node, component)."""
-    width = bands_for(percent) * ROWS
-    bounds = prune_bounds(width, percent)
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, cuts in _runs(batches, ["unit", "p", "q"], ["print", "set"]):
-            names, out = table.column("print").to_pylist(), ([], [])
-            raw = table.column("set").combine_chunks()
-            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in raw]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if b - a > 1:
-                    signatures = np.stack([signature(s, width) for s in sets[a:b]])
-                    _edges(names, linked(sets[a:b], signatures, bounds, percent), a, out)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], ["a", "b"])
+def full_sets(docs: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """print, set (64-bit hashes) of the classes in ``edges``, once each."""
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,17 +251,84 @@ def verified(docs: DataFrame, classes: DataFrame, units: DataFrame, percent: int
                 own = [shingles.fingerprint(flat[a:b]) if b > a else None for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
                 # a doc_id may name other texts too
                 same = pa.array([x == y for x, y in zip(own, part.column("print").to_pylist(), strict=True)])
-                rows = [part.column(c) for c in ("unit", "p", "q", "print")] + [tokens.binary_column(flat, sizes)]
-                yield pa.RecordBatch.from_arrays(rows, ["unit", "p", "q", "print", "set"]).filter(same)
+                yield pa.RecordBatch.from_arrays([part.column("print"), tokens.binary_column(flat, sizes)], ["print", "set"]).filter(same)
 
-    members = units.join(scratch.stored(units.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "units"), "component")
-    members = _blocks(members, F.col("node"), "members", UNIT).select(F.col("component").alias("unit"), "p", "q", F.col("node").alias("print"))
-    named = members.join(classes.select("print", F.col("first_id").alias("doc_id")), "print")
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("print")).distinct()
+    named = nodes.join(classes.select("print", F.col("first_id").alias("doc_id")), "print")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(named, "doc_id").select("unit", "p", "q", "print", "text")
-    sets = rows.mapInArrow(shingle, "unit binary, p int, q int, print binary, set binary")
-    sets = sets.repartition("unit", "p", "q").sortWithinPartitions("unit", "p", "q", "print")
-    return sets.mapInArrow(check, "a binary, b binary").filter("a <> b")
+    sets = texts.join(named, "doc_id").select("print", "text").mapInArrow(shingle, "print binary, set binary")
+    return sets.groupBy("print").agg(F.first("set").alias("set"))  # repeated rows of one document
+
+
+def _sets(table: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set").combine_chunks()]
+
+
+def verified_edges(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``edges`` (a, and b as its root) that are exact links. A root's sets come to tasks in chunks."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in _runs(batches, ["root", "chunk"], ["leaf", "print", "set"]):
+            names, held, out = table.column("print").to_pylist(), _sets(table), ([], [])
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                for i in range(a + 1, b):  # the root comes first
+                    if similar(held[a], held[i], percent):
+                        out[0].append(names[i])
+                        out[1].append(names[a])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], ["a", "b"])
+
+    chunks = edges.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / UNIT).cast("int").alias("chunks"))
+    leaves = edges.join(chunks, "b").select(F.col("b").alias("root"), F.pmod(F.xxhash64(F.lit(7), "a"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("leaf"), F.col("a").alias("print"))
+    roots = chunks.select(F.col("b").alias("root"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("leaf"), F.col("b").alias("print"))
+    rows = leaves.unionByName(roots).join(sets, "print").select("root", "chunk", "leaf", "print", "set")
+    return rows.repartition("root", "chunk").sortWithinPartitions("root", "chunk", "leaf", "print").mapInArrow(check, "a binary, b binary")
+
+
+def _meetings(members: DataFrame) -> DataFrame:
+    """unit, p, q, part, print: which classes (unit, part, print) meet where, for units of several parts.
+
+    A unit of up to ``UNIT`` classes meets as a whole. In a larger one, a large part has blocks of its own
+    and small parts share blocks; all pairs of blocks meet but for two of one large part.
+    """
+    half = UNIT // 2
+    sizes = scratch.stored(members.groupBy("unit", "part").agg(F.count(F.lit(1)).alias("n")), "parts")
+    units = sizes.groupBy("unit").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts"), F.coalesce(F.sum(F.when(F.col("n") < half, F.col("n"))), F.lit(0)).alias("small")).filter("parts > 1")
+    large = (F.col("all") > UNIT) & (F.col("n") >= half)
+    blocks = F.when(F.col("all") <= UNIT, 1).when(large, F.ceil(F.col("n") / half)).otherwise(F.ceil(F.col("small") / half)).cast("int")
+    sizes = sizes.join(units, "unit").select("unit", "part", F.when(large, F.col("part")).otherwise(F.lit(b"")).alias("side"), blocks.alias("blocks"))
+    sizes = scratch.stored(sizes, "blocks")
+    sides = sizes.groupBy("unit", "side").agg(F.max("blocks").alias("blocks"))
+    one, two = sides.toDF("unit", "s1", "n1"), sides.toDF("unit", "s2", "n2")
+    pairs = one.join(two, "unit").filter((F.col("s1") < F.col("s2")) | ((F.col("s1") == F.col("s2")) & (F.col("s1") == F.lit(b""))))
+    pairs = pairs.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n1") - 1)))
+    pairs = pairs.withColumn("j", F.explode(F.sequence(F.when(F.col("s1") == F.col("s2"), F.col("i")).otherwise(0), F.col("n2") - 1)))
+    pairs = pairs.withColumn("p", F.xxhash64("s1", "i")).withColumn("q", F.xxhash64("s2", "j"))
+    met = pairs.select("unit", F.col("s1").alias("side"), F.col("i").alias("block"), "p", "q")
+    met = met.unionByName(pairs.filter("p <> q").select("unit", F.col("s2").alias("side"), F.col("j").alias("block"), "p", "q"))
+    spread = F.pmod(F.xxhash64(F.lit(5), F.when(F.col("side") == F.lit(b""), F.col("part")).otherwise(F.col("print"))), F.col("blocks")).cast("int")
+    rows = members.join(sizes, ["unit", "part"]).withColumn("block", spread)
+    return rows.join(met, ["unit", "side", "block"]).select("unit", "p", "q", "part", "print")
+
+
+def verified(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: exact links that join different parts of a unit, out of members (unit, part, print)."""
+    width = bands_for(percent) * ROWS
+    bounds = prune_bounds(width, percent)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in _runs(batches, ["unit", "p", "q"], ["part", "print", "set"]):
+            names, held, out = table.column("print").to_pylist(), _sets(table), ([], [])
+            part = table.column("part").to_pylist()
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                least: dict[bytes, int] = {}
+                parts = np.array([least.setdefault(x, i) for i, x in enumerate(part[a:b])])
+                if len(least) > 1:
+                    signatures = np.stack([signature(s, width) for s in held[a:b]])
+                    _edges(names, linked(held[a:b], signatures, bounds, percent, parts), a, out, parts)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], ["a", "b"])
+
+    rows = _meetings(members).join(sets, "print").select("unit", "p", "q", "part", "print", "set")
+    return rows.repartition("unit", "p", "q").sortWithinPartitions("unit", "p", "q", "print").mapInArrow(check, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -281,8 +345,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     sound = rows.filter("print is not null and doc_id is not null")
     classes = sound.groupBy("print").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("low").alias("low"))
     classes = scratch.stored(classes, "classes")
-    units = graph.connected_components(candidates(classes, percent))
-    groups = graph.connected_components(verified(docs, classes, units, percent))
+    edges = scratch.stored(candidates(classes, percent), "candidates")
+    sets = scratch.stored(full_sets(docs, classes, edges), "sets")
+    links = scratch.stored(verified_edges(edges, sets, percent), "links")
+    parts = scratch.stored(graph.connected_components(links), "linked")
+    units = graph.connected_components(edges).select(F.col("node").alias("print"), F.col("component").alias("unit"))
+    members = units.join(parts.select(F.col("node").alias("print"), F.col("component").alias("part")), "print", "left").withColumn("part", F.coalesce("part", "print"))
+    more = scratch.stored(verified(scratch.stored(members, "members"), sets, percent), "links")
+    groups = graph.connected_components(links.unionByName(more)) if more.head(1) else parts
     first = classes.select("print", "first_id")
     linked_classes = groups.join(first, groups["node"] == first["print"]).select("print", "first_id", "component")
     least = scratch.stored(linked_classes.groupBy("component").agg(F.min("first_id").alias("component_id")), "least")

@@ -197,6 +197,9 @@ def test_near_duplicates_equal_brute_force(spark, percent, monkeypatch):
             words[at] = f"z{random.integers(0, 50)}"
         texts.append(" ".join(words))
     texts += [" ".join(f"u{i}" for i in random.integers(0, 5000, n)) for n in random.integers(1, 40, 60)]
+    for k in range(40):  # chains, so that units have several parts
+        words = [f"c{i}" for i in range(k % 8 * 9, k % 8 * 9 + 80 + k % 5)]
+        texts.append(" ".join(words))
     extra = spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     docs = documents(spark).select("doc_id", "text").union(extra)
     wanted = brute_groups([(r["doc_id"], r["text"]) for r in docs.collect()], percent)
