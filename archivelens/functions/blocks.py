@@ -1,0 +1,24 @@
+"""Rows that meet every block of a small side, where no equality can join them.
+
+The small side is gathered in a few rows of bounded size (blocks). While there are few, they are sent to
+every task, and rows stay where they are; beyond ``SENT`` blocks both sides are joined on the block's
+number and a salt, so that a block's rows are dealt over many tasks.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Blocks that are sent to every task at most, and tasks over which the rows of a block are dealt beyond.
+SENT, SALTS = 8, 64
+
+
+def meet(rows: DataFrame, held: DataFrame, n: int, sent: int = SENT, salts: int = SALTS) -> DataFrame:
+    """``rows`` beside each row of ``held`` (block, 0 to n - 1, and others); the number isn't kept."""
+    paired = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    if n <= sent:
+        return paired.join(F.broadcast(held), "block").drop("block")  # at most ``sent`` blocks of bounded size
+    paired = paired.withColumn("salt", F.pmod(F.xxhash64(*[c for c, t in rows.dtypes if "map<" not in t]), F.lit(salts)))
+    lent = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    return paired.join(lent, ["block", "salt"]).drop("block", "salt")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from archivelens.functions import paths
+from archivelens.functions import blocks, paths
 
 
 def keyword_frequency(files: DataFrame, stopwords: DataFrame | None = None, most: int = 50, noise: Column | None = None) -> DataFrame:
@@ -31,7 +31,7 @@ def entity_frequency(texts: DataFrame, entities: DataFrame, block: int = 500) ->
     names = entities.select("name").filter(F.length("name") >= 2).distinct()
     n = max(1, -(-names.count() // block))
     held = names.withColumn("block", F.pmod(F.xxhash64("name"), F.lit(n)).cast("int")).groupBy("block").agg(F.collect_list("name").alias("names"))
-    rows = texts.select(F.lower("text").alias("text"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block")).join(held, "block")
+    rows = blocks.meet(texts.select(F.lower("text").alias("text")), held, n)
     found = rows.select(F.explode(F.filter("names", lambda e: F.contains(F.col("text"), F.lower(e)))).alias("name"))
     return names.join(found.groupBy("name").agg(F.count(F.lit(1)).alias("texts")), "name", "left").na.fill(0, ["texts"])
 

@@ -205,3 +205,9 @@ def memo_picks(selected: DataFrame, files: DataFrame, scopes: DataFrame, most: i
 def linked_items(items: DataFrame, links: DataFrame, kind: str, key: str = "source_file") -> DataFrame:
     """Items (mails, chats) that a memo links by their source file."""
     return items.join(links.filter(F.col("kind") == kind).select(F.col("target").alias(key)).distinct(), key, "left_semi")
+
+
+def project_groups(files: DataFrame, other: str = "other") -> DataFrame:
+    """The files with project: the first part of the path, or ``other`` for a file in no folder. A null
+    path has no project."""
+    return files.withColumn("project", F.when(F.col("path").isNull(), None).when(paths.top(F.col("path")) == "", other).otherwise(paths.top(F.col("path"))))

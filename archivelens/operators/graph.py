@@ -15,17 +15,18 @@ from pyspark.sql import functions as F
 from archivelens.functions import scratch
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges after the step, and the stored table of least neighbours that they read."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = scratch.stored(both.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("a", "least")), "least")
-    return both.filter("b > a").join(least, "a").filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+    return both.filter("b > a").join(least, "a").filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct(), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = scratch.stored(down.groupBy("a").agg(F.min("b").alias("least")), "least")
     moved = down.join(least, "a").filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
-    return moved.unionByName(least.select("a", F.col("least").alias("b"))).distinct()
+    return moved.unionByName(least.select("a", F.col("least").alias("b"))).distinct(), least
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -38,14 +39,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Edges may repeat, run either way or join a node to itself (such an edge adds nothing); edges with
     a null end are left out. No edges give no rows. Every round is stored in the shared folder, so
-    lineage stays short; only counts reach the driver.
+    lineage stays short, and removed when the next one is there; only counts reach the driver.
     """
     own = edges.select("a", "b").filter("a is not null and b is not null and a <> b").distinct()
     own = scratch.stored(own, "edges")
     mark = _mark(own)
     while mark[0]:
-        own = scratch.stored(_small_star(_large_star(own)), "edges")
+        large, least = _large_star(own)
+        small, less = _small_star(large)
+        done, own = own, scratch.stored(small, "edges")
         before, mark = mark, _mark(own)
+        scratch.release(done, least, less)
         if before == mark:
             break
     roots = own.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

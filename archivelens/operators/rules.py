@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from archivelens.functions import blocks
 from archivelens.functions.text import clamp
 
 #: Rules that one task holds; more are dealt in blocks, so what is sent never grows beyond this.
@@ -20,11 +21,11 @@ BLOCK = 2000
 def hits(docs: DataFrame, rules: DataFrame, fields: Sequence[str] = ("name", "text")) -> DataFrame:
     """The rows of docs beside each rule whose keyword occurs in the rule's field (lower-cased).
 
-    Containment can't be an equality, so every document meets every block of rules, by block number.
+    Containment can't be an equality, so every document meets every block of rules.
     """
     n = max(1, -(-rules.count() // BLOCK))
     held = rules.withColumn("block", F.pmod(F.xxhash64("rule_set", "label", "keyword", "field"), F.lit(n)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("rule_set", "label", "keyword", "field", "weight", "rule_order")).alias("rules"))
-    rows = docs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(held, "block").drop("block")
+    rows = blocks.meet(docs, held, n)
 
     def found(r: Column) -> Column:
         out = F.lit(False)
@@ -52,8 +53,8 @@ def first_match(rows: DataFrame, keys: list[str]) -> DataFrame:
 def look_up(rows: DataFrame, table: DataFrame, default: str) -> DataFrame:
     """Fixed entries (label, items) of a label, or the default's."""
     own = rows.join(table.select("label", "items"), "label", "left")
-    other = table.filter(F.col("label") == default).select(F.col("items").alias("other")).limit(1)
-    return own.crossJoin(F.broadcast(other)).withColumn("items", F.coalesce("items", "other")).drop("other")  # one row
+    other = table.filter(F.col("label") == default).groupBy().agg(F.first("items").alias("other"))  # one row, null without a default
+    return own.join(F.broadcast(other), F.lit(True), "left").withColumn("items", F.coalesce("items", "other")).drop("other")
 
 
 def discover_categories(found: DataFrame, user: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Hybrid retrieval for a table of queries over a table of chunks.
 
 Queries: query_id, text, vector. Chunks: chunk_id, file_name, source_path, modified_at, chunk_text,
-embedding. Chunks can be many and queries are a stated set: blocks of queries meet blocks of chunks
-through an equi-join on block numbers, and the best are kept by a ranking that Spark prunes early.
+embedding. Chunks can be many and queries are a stated set: blocks of queries meet blocks of chunks, each
+pair of blocks reports the best few of each query only, and those are ranked.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from archivelens.functions import similarity, text
+from archivelens.functions import blocks, scratch, similarity, text
 
 #: Least similarity of a vector hit, vector hits, and candidates of a query.
 FLOOR, NEAREST, MOST = 0.3, 12, 16
@@ -27,53 +27,63 @@ def majority_size(chunks: DataFrame) -> DataFrame:
     return chunks.filter("embedding is not null").join(F.broadcast(best), F.size("embedding") == F.col("n"), "left_semi")  # one row
 
 
-def _packed(rows: DataFrame, per: int) -> tuple[DataFrame, int]:
-    """Rows (id, v) in blocks of ``per`` on average: block, dim, ids, vectors (bytes); and how many."""
-    n = max(1, -(-rows.count() // per))
-    kind = dict(rows.dtypes)["id"]
+def _packed(rows: DataFrame, per: int) -> DataFrame:
+    """Rows (scope, id, v) in blocks of ``per`` on average: scope, block, dim, ids (ascending), vectors."""
+    kinds = dict(rows.dtypes)
 
     def pack(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("id").combine_chunks()
         values = table.column("v").chunk(0).flatten().to_numpy(zero_copy_only=False)
         ids = pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), table.column("id").chunk(0))
-        return pa.table({"block": [key[0].as_py()], "dim": [key[1].as_py()], "ids": ids, "vectors": [values.tobytes()]})
+        return pa.table({"scope": [key[0].as_py()], "block": [key[1].as_py()], "dim": [key[2].as_py()], "ids": ids, "vectors": [values.tobytes()]})
 
-    dealt = rows.select("id", "v", F.size("v").cast("long").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"))
-    return dealt.groupBy("block", "dim").applyInArrow(pack, f"block long, dim long, ids array<{kind}>, vectors binary"), n
+    blocks = rows.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / per).alias("blocks"))
+    dealt = rows.join(blocks, "scope").select("scope", "id", "v", F.size("v").cast("long").alias("dim"), F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
+    return dealt.groupBy("scope", "block", "dim").applyInArrow(pack, f"scope {kinds['scope']}, block long, dim long, ids array<{kinds['id']}>, vectors binary")
 
 
-def similarities(queries: DataFrame, chunks: DataFrame, floor: float | None = FLOOR, block: int = 256, per: int = 2048) -> DataFrame:
-    """query_id, chunk_id, similarity (rounded to 6 digits) of all pairs that reach ``floor``.
+def nearest(queries: DataFrame, chunks: DataFrame, k: int, floor: float | None = None, block: int = 256, per: int = 2048, sent: int = 64) -> DataFrame:
+    """query_id, chunk_id, similarity (rounded to 6 digits), rank of the ``k`` chunks (scope,
+    chunk_id, embedding) that are most similar to each query (scope, query_id, vector) of their scope and
+    reach ``floor``; ties by chunk_id.
 
-    Queries and chunks are gathered in blocks, one row each; every block of queries meets every block
-    of chunks by an equi-join on its number, and two blocks are compared by one matrix product. Zero
-    vectors are similar to nothing.
+    Queries and chunks are gathered in blocks, one row each; blocks of a scope are compared by one matrix
+    product and report ``k`` rows a query at most. Up to ``sent`` blocks of queries (of bounded size) go
+    to the chunks; more are joined by their scope and a salt that deals the chunks' blocks over tasks.
+    Null and empty vectors take no part, zero vectors are similar to nothing.
     """
     kinds = dict(queries.dtypes)["query_id"], dict(chunks.dtypes)["chunk_id"]
-    asked, n = _packed(queries.filter("size(vector) > 0").select(F.col("query_id").alias("id"), F.col("vector").cast("array<double>").alias("v")), block)
-    held, _ = _packed(chunks.filter("size(embedding) > 0").select(F.col("chunk_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")), per)
-    asked = asked.select("block", "dim", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
-    met = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))).join(asked, ["block", "dim"])
+    ask = _packed(queries.filter("size(vector) > 0").select("scope", F.col("query_id").alias("id"), F.col("vector").cast("array<double>").alias("v")), block)
+    held = _packed(chunks.filter("size(embedding) > 0").select("scope", F.col("chunk_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")), per)
+    ask = scratch.stored(ask.select("scope", "dim", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries")), "queries")
+    if ask.count() <= sent:
+        met = held.join(F.broadcast(ask), ["scope", "dim"])
+    else:
+        lent = ask.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(blocks.SALTS - 1)).cast("array<bigint>")))
+        met = held.withColumn("salt", F.pmod("block", F.lit(blocks.SALTS))).join(lent, ["scope", "dim", "salt"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
+            for n in range(batch.num_rows):
+                row = batch.slice(n, 1)
                 dim = row.column("dim")[0].as_py()
                 q, c = (np.frombuffer(row.column(name)[0].as_buffer()).reshape(-1, dim) for name in ("queries", "vectors"))
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    s = np.nan_to_num((c @ q.T) / (np.linalg.norm(c, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None, :]))
+                    s = np.nan_to_num((q @ c.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(c, axis=1)[None, :]))
                 s = np.round(s, 6)
-                i, j = np.nonzero(s >= floor) if floor is not None else np.indices(s.shape).reshape(2, -1)
-                yield pa.RecordBatch.from_arrays([row.column("query_ids").flatten().take(pa.array(j)), row.column("ids").flatten().take(pa.array(i)), pa.array(s[i, j])], ["query_id", "chunk_id", "similarity"])
+                best = np.argsort(-s, axis=1, kind="stable")[:, :k]  # ids ascend, so ties go to smaller ones
+                value = np.take_along_axis(s, best, 1)
+                i, j = np.nonzero(value >= floor) if floor is not None else np.indices(value.shape).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([row.column("query_ids").flatten().take(pa.array(i)), row.column("ids").flatten().take(pa.array(best[i, j])), pa.array(value[i, j])], ["query_id", "chunk_id", "similarity"])
 
-    return met.select("dim", "ids", "vectors", "query_ids", "queries").mapInArrow(compare, f"query_id {kinds[0]}, chunk_id {kinds[1]}, similarity double")
+    found = met.select("dim", "ids", "vectors", "query_ids", "queries").mapInArrow(compare, f"query_id {kinds[0]}, chunk_id {kinds[1]}, similarity double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = NEAREST, floor: float | None = FLOOR) -> DataFrame:
     """the ``k`` most similar chunks of each query, ties by chunk_id."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
-    return similarities(queries, majority_size(chunks), floor).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return nearest(queries.withColumn("scope", F.lit("")), majority_size(chunks).withColumn("scope", F.lit("")), k, floor)
 
 
 def one_query_topk(vector: list[float], chunks: DataFrame, k: int = NEAREST, floor: float = FLOOR) -> DataFrame:
@@ -103,12 +113,34 @@ def term_hits(terms: DataFrame, chunks: DataFrame, target: str, name: str, block
     lists = terms.groupBy("query_id").agg(F.sort_array(F.collect_set("term")).alias("terms"))
     n = max(1, -(-lists.count() // block))
     held = lists.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("query_id", "terms")).alias("all"))
-    met = chunks.select("chunk_id", F.lower(F.col(target)).alias("target"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block")).join(held, "block")
+    met = blocks.meet(chunks.select("chunk_id", F.lower(F.col(target)).alias("target")), held, n)
     found = F.transform("all", lambda q: F.struct(q["query_id"].alias("query_id"), F.size(F.filter(q["terms"], lambda t: F.contains(F.col("target"), t))).alias("hits")))
     flat = met.select("chunk_id", F.explode(F.filter(found, lambda q: q["hits"] > 0)).alias("q"))
     return flat.select("q.query_id", "chunk_id", F.col("q.hits").alias(name))
 
 
+def exact_name_hits(source_terms: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id, chunk_id, hits of the chunks whose file name holds most of a query's source terms,
+    also inside its words. Names are searched once each and joined back to their chunks."""
+    names = chunks.select(F.col("file_name").alias("chunk_id"), "file_name").filter("file_name is not null").distinct()
+    best = best_count(term_hits(source_terms, names, "file_name", "hits"), ["query_id"], "hits")
+    return best.withColumnRenamed("chunk_id", "file_name").join(chunks.select("chunk_id", "file_name"), "file_name").select("query_id", "chunk_id", "hits")
+
+
+def content_hits(source_terms: DataFrame, content_terms: DataFrame, chunks: DataFrame, stopwords: Sequence[str] = ()) -> DataFrame:
+    """query_id, chunk_id, hits, source_hits of the chunks whose name and path have all source terms
+    of a query but one at most (and one at least), and whose text holds any of its content terms.
+
+    Sources are matched first, by an equi-join on tokens; only their texts are searched."""
+    tokens = chunks.select("chunk_id", F.explode(text.source_tokens(F.concat_ws(" ", "file_name", "source_path"), stopwords)).alias("term"))
+    wanted = source_terms.groupBy("query_id").agg(F.greatest(F.lit(1), F.count(F.lit(1)) - 1).alias("least"))
+    matched = source_terms.join(tokens, "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("source_hits")).join(wanted, "query_id").filter("source_hits >= least")
+    lists = content_terms.groupBy("query_id").agg(F.collect_set("term").alias("terms"))
+    rows = matched.join(lists, "query_id").join(chunks.select("chunk_id", F.lower("chunk_text").alias("target")), "chunk_id")
+    rows = rows.withColumn("hits", F.size(F.filter("terms", lambda t: F.contains(F.col("target"), t))))
+    return rows.filter("hits > 0").select("query_id", "chunk_id", "hits", "source_hits")
+
+
 def best_count(rows: DataFrame, keys: list[str], count: str) -> DataFrame:
     """F8: rows that tie at the largest count of their group."""
     return rows.withColumn("place", F.rank().over(Window.partitionBy(*keys).orderBy(F.desc(count)))).filter("place = 1").drop("place")
@@ -136,27 +168,30 @@ def priority_merge(rows: DataFrame, k: int) -> DataFrame:
 
 
 def hybrid(queries: DataFrame, chunks: DataFrame, stopwords: Sequence[str] = (), floor: float = FLOOR) -> DataFrame:
-    """Candidates of each query: content hits that a vector supports (list 0, first 5 of the 10
-    most similar), the vector top-k (list 1), then name hits (list 2, first 5). Keyword hits need not
-    reach the floor. Content hits are chunks that hold all but one of the content terms at least
-    (terms that are tokens of no source) and a source term where the query has any."""
+    """query_id, chunk_id, list_no, similarity, rank: candidates of each query: content hits (list 0),
+    the vector top-k (list 1), exact name hits (list 2); of the first and last the 5 most similar, which
+    need not reach the floor.
+
+    Terms are matched once for each distinct question; similarities are taken of what they find only.
+    """
     chunks = majority_size(chunks)
-    terms = queries.select("query_id", F.explode(text.match_terms(F.col("text"), stopwords)).alias("term")).distinct()
-    tokens = index(chunks, stopwords)
-    source_terms = indexed_terms(terms, tokens)
+    asked = queries.withColumn("scope", F.col("text"))
+    terms = asked.select(F.col("scope").alias("query_id"), F.explode(text.match_terms(F.col("text"), stopwords)).alias("term")).distinct()
+    source_terms = scratch.stored(indexed_terms(terms, index(chunks, stopwords)), "terms")
     content_terms = terms.join(source_terms, ["query_id", "term"], "left_anti")
-    sims = similarities(queries, chunks, None)
-    names = best_token_match(source_terms, chunks, stopwords)
-    wanted = content_terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    hits = term_hits(content_terms, chunks, "chunk_text", "hits").join(wanted, "query_id").filter(F.col("hits") >= F.greatest(F.lit(1), F.col("n") - 1))
-    content = hits.join(sims, ["query_id", "chunk_id"])
-    by_sim = Window.partitionBy("query_id").orderBy(F.desc("hits"), F.desc("similarity"), "chunk_id")
-    first = content.withColumn("position", F.row_number().over(by_sim)).filter("position <= 5").select("query_id", "chunk_id", F.lit(0).alias("list_no"), "position")
-    near = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
-    second = sims.filter(F.col("similarity") >= floor).withColumn("position", F.row_number().over(near)).filter(F.col("position") <= NEAREST).select("query_id", "chunk_id", F.lit(1).alias("list_no"), "position")
-    by_name = Window.partitionBy("query_id").orderBy(F.desc("hits"), F.desc("similarity"), "chunk_id")
-    third = names.join(sims, ["query_id", "chunk_id"]).withColumn("position", F.row_number().over(by_name)).filter("position <= 5").select("query_id", "chunk_id", F.lit(2).alias("list_no"), "position")
-    return merge_candidates(first.unionByName(second).unionByName(third)).join(sims, ["query_id", "chunk_id"])
+    vectors = chunks.select("chunk_id", "embedding")
+    best = lambda hits, k: nearest(asked, hits.select(F.col("query_id").alias("scope"), "chunk_id").join(vectors, "chunk_id"), k)
+    lists = (
+        best(content_hits(source_terms, content_terms, chunks, stopwords), 5),
+        nearest(queries.withColumn("scope", F.lit("")), vectors.withColumn("scope", F.lit("")), NEAREST, floor),
+        best(exact_name_hits(source_terms, chunks), 5),
+    )
+    rows = None
+    for n, found in enumerate(lists):
+        own = found.select("query_id", "chunk_id", "similarity", F.lit(n).alias("list_no"), F.col("rank").alias("position"))
+        rows = own if rows is None else rows.unionByName(own)
+    rows = scratch.stored(rows, "candidates")
+    return merge_candidates(rows).join(rows.select("query_id", "chunk_id", "similarity").distinct(), ["query_id", "chunk_id"])
 
 
 def confidence(top: Column) -> Column:

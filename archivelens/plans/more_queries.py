@@ -107,9 +107,9 @@ def answerable(spark: SparkSession, d: str) -> DataFrame:
     return search.answerable(rows).select("query_id", "answerable")
 
 
-@query("""SELECT user_id, CASE WHEN min(value) >= 55 THEN 'certain' WHEN min(value) >= 42 THEN 'estimated' ELSE 'check' END AS confidence FROM events WHERE value >= 30 GROUP BY user_id""")
+@query("""SELECT user_id, CASE WHEN min(value) >= 55 THEN 'certain' WHEN min(value) >= 42 THEN 'estimated' ELSE 'check' END AS confidence FROM events GROUP BY user_id""")
 def weakest_label(spark: SparkSession, d: str) -> DataFrame:
-    rows = A.table(spark, d, "events").filter("value >= 30").select("user_id", search.confidence(F.col("value") / 100).alias("confidence"))
+    rows = A.table(spark, d, "events").select("user_id", search.confidence(F.col("value") / 100).alias("confidence"))
     return search.weakest(rows, ["user_id"])
 
 
@@ -150,10 +150,10 @@ def distinct_limited(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'other' ELSE source END AS label, doc_id % 60 AS score FROM documents)
-SELECT round(avg((label <> 'other')::INT::DOUBLE) * 100, 2) AS classified, round(least(100.0, avg(score) / 50 * 100), 2)::DOUBLE AS mean_score, round(avg((length(left(text, (doc_id % 40)::INT)) > 20)::INT::DOUBLE) * 100, 2) AS summarised, round(avg((label = 'other')::INT::DOUBLE) * 100, 2) AS other FROM d""")
+SELECT round(avg((label <> 'other')::INT::DOUBLE) * 100, 2) AS classified, round(least(100.0, avg(score) / 50 * 100), 2)::DOUBLE AS mean_score, round(avg((length(text) > 20)::INT::DOUBLE) * 100, 2) AS summarised, round(avg((label = 'other')::INT::DOUBLE) * 100, 2) AS other FROM d""")
 def classification_quality(spark: SparkSession, d: str) -> DataFrame:
     docs = A.table(spark, d, "documents")
-    rows = docs.select(F.when(F.col("doc_id") % 3 == 0, "other").otherwise(F.col("source")).alias("label"), (F.col("doc_id") % 60).alias("score"), F.substring("text", F.lit(1), (F.col("doc_id") % 40).cast("int")).alias("summary"))
+    rows = docs.select(F.when(F.col("doc_id") % 3 == 0, "other").otherwise(F.col("source")).alias("label"), (F.col("doc_id") % 60).alias("score"), F.col("text").alias("summary"))
     return audit.classification_quality(rows)
 
 
@@ -177,11 +177,11 @@ def category_audit(spark: SparkSession, d: str) -> DataFrame:
     return audit.category_audit(rows, F.coalesce(filters.noise_reason(F.col("path")).isNotNull(), F.lit(False)))
 
 
-@query("""SELECT source AS project, count(*) FILTER (doc_id % 10 = 0) AS critical, bool_or(doc_id % 97 = 0) AS has_incomplete, bool_or(doc_id % 89 = 0) AS has_risk FROM documents WHERE source < 'src3' GROUP BY source""")
+@query("""SELECT source AS project, count(*) FILTER (doc_id % 10 = 0) AS critical, bool_or(doc_id % 97 = 0) AS has_incomplete, bool_or(doc_id % 89 = 0) AS has_risk FROM documents GROUP BY source""")
 def project_flags(spark: SparkSession, d: str) -> DataFrame:
     docs = A.table(spark, d, "documents")
     items = docs.select(F.col("source").alias("project"), (F.col("doc_id") % 10 == 0).alias("is_critical"), (F.col("doc_id") % 97 == 0).alias("is_incomplete"), (F.col("doc_id") % 89 == 0).alias("is_risk"))
-    return audit.project_flags(items, items.select("project").distinct().filter("project < 'src3'"))
+    return audit.project_flags(items, items.select("project").distinct())
 
 
 @query("""WITH p AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Acme_' || c_custkey WHEN 1 THEN 'big DeltaGmbH plan' WHEN 2 THEN 'solo work' ELSE 'x' END AS project FROM customer)

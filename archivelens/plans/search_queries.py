@@ -98,13 +98,13 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
     rows = A.chunks(spark, d).filter("chunk_id % 20 = 0")
-    words = F.element_at(F.array(*map(F.lit, ("fr entionsh src", "password stand de", "es license", "thing reou en"))), (F.col("chunk_id") / 20 % 4 + 1).cast("int"))
+    words = F.element_at(F.array(*map(F.lit, ("fr entionsh src", "password stand de", "es license", "doc reou en"))), (F.col("chunk_id") / 20 % 4 + 1).cast("int"))
     return rows.select(F.col("chunk_id").alias("query_id"), words.alias("text"), F.col("embedding").alias("vector"))
 
 
 CHUNKS = f"""{FILES}, chunks AS (SELECT f.doc_id AS chunk_id, f.name AS file_name, f.path AS source_path, f.modified_at, f.text AS chunk_text, e.embedding::DOUBLE[] AS e
   FROM files f JOIN embeddings e ON e.vec_id = f.doc_id),
-questions AS (SELECT vec_id AS query_id, list_value('fr entionsh src', 'password stand de', 'es license', 'thing reou en')[(vec_id // 20 % 4 + 1)::INT] AS text, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 20 = 0),
+questions AS (SELECT vec_id AS query_id, list_value('fr entionsh src', 'password stand de', 'es license', 'doc reou en')[(vec_id // 20 % 4 + 1)::INT] AS text, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 20 = 0),
 terms AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda t: length(t) >= 2)) AS term FROM questions),
 tokens AS (SELECT DISTINCT chunk_id, unnest(list_filter(regexp_split_to_array(lower(file_name || ' ' || source_path), '[\\s_\\-./]+'), lambda t: length(t) >= 2 AND t NOT IN ('docx', 'xlsx', 'pdf', 'txt', 'md', 'csv', 'eml') AND NOT regexp_matches(t, '^[0-9]+$'))) AS term FROM chunks),
 source_terms AS (SELECT * FROM terms WHERE term IN (SELECT term FROM tokens)),
@@ -112,6 +112,13 @@ sims AS (SELECT query_id, chunk_id, round(list_dot_product(q.e, c.e) / (sqrt(lis
 names AS (SELECT query_id, chunk_id, hits FROM (SELECT query_id, chunk_id, count(*) AS hits, rank() OVER (PARTITION BY query_id ORDER BY count(*) DESC) AS p FROM source_terms JOIN tokens USING (term) GROUP BY query_id, chunk_id) WHERE p = 1)"""
 
 
+@query(f"WITH {CHUNKS}, exact AS (SELECT query_id, chunk_id, count(*) AS hits, rank() OVER (PARTITION BY query_id ORDER BY count(*) DESC) AS p FROM source_terms JOIN chunks ON contains(lower(file_name), term) GROUP BY query_id, chunk_id) SELECT query_id, chunk_id, hits::INT AS hits FROM exact WHERE p = 1")
+def exact_name_hits(spark: SparkSession, d: str) -> DataFrame:
+    chunks = _chunks(spark, d)
+    terms = _questions(spark, d).select("query_id", F.explode(text.match_terms(F.col("text"))).alias("term")).distinct()
+    return search.exact_name_hits(search.indexed_terms(terms, search.index(chunks)), chunks)
+
+
 @query(f"WITH {CHUNKS} SELECT * FROM names")
 def best_token_match(spark: SparkSession, d: str) -> DataFrame:
     chunks = _chunks(spark, d)
@@ -119,15 +126,19 @@ def best_token_match(spark: SparkSession, d: str) -> DataFrame:
     return search.best_token_match(search.indexed_terms(terms, search.index(chunks)), chunks)
 
 
-@query(f"""WITH {CHUNKS}, content_terms AS (SELECT * FROM terms EXCEPT SELECT * FROM source_terms),
-content AS (SELECT query_id, chunk_id, hits, similarity FROM (SELECT query_id, chunk_id, count(*) AS hits FROM content_terms, chunks WHERE contains(lower(chunk_text), term) GROUP BY ALL)
-  JOIN (SELECT query_id, count(*) AS n FROM content_terms GROUP BY query_id) USING (query_id) JOIN sims USING (query_id, chunk_id) WHERE hits >= greatest(1, n - 1)),
+HYBRID = f"""{CHUNKS}, content_terms AS (SELECT * FROM terms EXCEPT SELECT * FROM source_terms),
+matched AS (SELECT query_id, chunk_id FROM (SELECT query_id, chunk_id, count(*) AS s FROM source_terms JOIN tokens USING (term) GROUP BY ALL) JOIN (SELECT query_id, count(*) AS n FROM source_terms GROUP BY query_id) USING (query_id) WHERE s >= greatest(1, n - 1)),
+content AS (SELECT DISTINCT query_id, chunk_id FROM matched JOIN content_terms USING (query_id) JOIN chunks USING (chunk_id) WHERE contains(lower(chunk_text), term)),
+exact AS (SELECT query_id, chunk_id FROM (SELECT query_id, chunk_id, rank() OVER (PARTITION BY query_id ORDER BY count(*) DESC) AS p FROM source_terms JOIN chunks ON contains(lower(file_name), term) GROUP BY query_id, chunk_id) WHERE p = 1),
 lists AS (
-  SELECT * FROM (SELECT query_id, chunk_id, 0 AS list_no, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, similarity DESC, chunk_id) AS position FROM content) WHERE position <= 5
+  SELECT * FROM (SELECT query_id, chunk_id, 0 AS list_no, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS position FROM content JOIN sims USING (query_id, chunk_id)) WHERE position <= 5
   UNION ALL SELECT * FROM (SELECT query_id, chunk_id, 1, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS position FROM sims WHERE similarity >= 0.3) WHERE position <= 12
-  UNION ALL SELECT * FROM (SELECT query_id, chunk_id, 2, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, similarity DESC, chunk_id) AS position FROM names JOIN sims USING (query_id, chunk_id)) WHERE position <= 5),
-firsts AS (SELECT query_id, chunk_id, min(row(list_no, position)) AS f FROM lists GROUP BY ALL)
-SELECT * FROM (SELECT query_id, chunk_id, f[1]::INT AS list_no, similarity, row_number() OVER (PARTITION BY query_id ORDER BY f, chunk_id)::INT AS rank FROM firsts JOIN sims USING (query_id, chunk_id)) WHERE rank <= 16""")
+  UNION ALL SELECT * FROM (SELECT query_id, chunk_id, 2, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS position FROM exact JOIN sims USING (query_id, chunk_id)) WHERE position <= 5),
+firsts AS (SELECT query_id, chunk_id, min(row(list_no, position)) AS f FROM lists GROUP BY ALL),
+found AS (SELECT * FROM (SELECT query_id, chunk_id, f[1]::INT AS list_no, similarity, row_number() OVER (PARTITION BY query_id ORDER BY f, chunk_id)::INT AS rank FROM firsts JOIN sims USING (query_id, chunk_id)) WHERE rank <= 16)"""
+
+
+@query(f"WITH {HYBRID} SELECT * FROM found")
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return search.hybrid(_questions(spark, d), _chunks(spark, d)).select("query_id", "chunk_id", "list_no", "similarity", "rank")
 
@@ -162,8 +173,8 @@ def keyword_summary(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {CHUNKS}, best AS (SELECT query_id, max(similarity) AS top FROM sims WHERE query_id <> chunk_id GROUP BY query_id)
 SELECT query_id, top, CASE WHEN top >= 0.55 THEN 'certain' WHEN top >= 0.42 THEN 'estimated' ELSE 'check' END AS confidence FROM best""")
 def confidence(spark: SparkSession, d: str) -> DataFrame:
-    sims = search.similarities(_questions(spark, d), _chunks(spark, d), None).filter("query_id <> chunk_id")
-    return sims.groupBy("query_id").agg(F.max("similarity").alias("top")).withColumn("confidence", search.confidence(F.col("top")))
+    sims = search.nearest(_questions(spark, d).withColumn("scope", F.lit("")), _chunks(spark, d).withColumn("scope", F.lit("")), 2)  # one may be the query's own
+    return sims.filter("query_id <> chunk_id").groupBy("query_id").agg(F.max("similarity").alias("top")).withColumn("confidence", search.confidence(F.col("top")))
 
 
 @query()
@@ -180,5 +191,5 @@ def name_ratio(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def evidence(spark: SparkSession, d: str) -> DataFrame:
     rows = search.hybrid(_questions(spark, d), _chunks(spark, d)).join(_chunks(spark, d), "chunk_id").join(_questions(spark, d).select("query_id", F.col("text").alias("question")), "query_id")
-    rows = rows.withColumn("name_match", similarity.name_match(F.col("question"), F.col("file_name"))).withColumn("overlap", text.query_overlap(text.match_terms(F.col("question")), F.substring("chunk_text", 1, 5000)))
+    rows = rows.withColumn("name_match", similarity.name_match(F.col("question"), F.col("file_name"))).withColumn("overlap", text.query_overlap(text.match_terms(F.col("question")), F.concat_ws(" ", "file_name", "chunk_text")))
     return search.split_evidence(rows).select("query_id", "chunk_id", "source_path", F.round("similarity", 6).alias("similarity"), "rank", "role")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -26,18 +26,43 @@ def latest_versions(rows: DataFrame) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n")
 
 
-def upsert_latest(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+#: Parts of an upserted table; a batch rewrites only the parts that it touches.
+BUCKETS = 32
+
+
+def read_latest(spark: SparkSession, target: str, before: int | None = None) -> DataFrame:
+    """The table that ``upsert_latest`` keeps in ``target`` (as it was before a batch): the newest state of
+    each bucket."""
+    rows = spark.read.parquet(target)
+    rows = rows if before is None else rows.filter(F.col("batch") < before)
+    newest = rows.groupBy("bucket").agg(F.max("batch").alias("batch"))
+    return rows.join(F.broadcast(newest), ["bucket", "batch"], "left_semi").drop("bucket", "batch")  # a row for each bucket
+
+
+def upsert_latest(stream: DataFrame, target: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
     """K2: keep the latest version of each path in ``target``; older versions that come late lose.
 
-    Each batch is merged with the table before it into a new folder, and the batch number names the
-    folder, so a repeated batch gives the same result. ``read_latest`` reads the newest folder.
+    Paths are dealt to buckets by hash. A batch merges the buckets that it touches with their state before
+    it into folders under its own number, so a batch that is run again gives the same result, and removes
+    states that two newer ones have followed. ``read_latest`` reads the table.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows = batch
-        if number > 0:
-            rows = batch.sparkSession.read.parquet(f"{target}/state={number - 1}").unionByName(batch)
-        latest_versions(rows).write.mode("overwrite").parquet(f"{target}/state={number}")
+        spark = batch.sparkSession
+        bucket = F.pmod(F.xxhash64("source_path"), F.lit(buckets)).cast("int")
+        rows = batch.withColumn("bucket", bucket)
+        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # ``buckets`` at most
+        where = spark._jvm.org.apache.hadoop.fs.Path(target)
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        there = sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(where) if s.getPath().getName().startswith("batch=")) if fs.exists(where) else []
+        if any(n < number for n in there):
+            old = read_latest(spark, target, number).withColumn("bucket", bucket).filter(F.col("bucket").isin(touched))
+            rows = rows.unionByName(old)
+        latest_versions(rows).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/batch={number}")
+        for b in touched:
+            held = [n for n in there if n < number and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/batch={n}/bucket={b}"))]
+            for n in held[:-1]:  # the newest before this batch stays, in case it is run again
+                fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/batch={n}/bucket={b}"), True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

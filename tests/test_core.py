@@ -191,6 +191,13 @@ def test_gate_labels_and_evidence(spark):
     chunks = spark.createDataFrame([(1, "budget.docx", "a/budget.docx", "x", [1.0, 0.0]), (2, "other.docx", "a/other.docx", "y", [0.0, 1.0]), (3, "none", "none", "z", [1.0])], "chunk_id int, file_name string, source_path string, chunk_text string, embedding array<double>")
     got = search.hybrid(queries, chunks).filter("rank = 1").collect()
     assert {(r["query_id"], r["chunk_id"]) for r in got} == {(1, 1), (2, 2)}
+    more = spark.createDataFrame([(4, "the budgetplan.xlsx", "b/the budgetplan.xlsx", "x", [0.0, 1.0]), (5, "budgetplan two.xlsx", "b/budgetplan two.xlsx", "a roof", [1.0, 0.1])], chunks.schema)
+    got = search.exact_name_hits(spark.createDataFrame([(1, "budget"), (1, "two")], "query_id int, term string"), chunks.union(more))
+    assert {(r["query_id"], r["chunk_id"], r["hits"]) for r in got.collect()} == {(1, 5, 2)}
+    found = search.hybrid(spark.createDataFrame([(1, "budget roof", [0.0, 1.0])], queries.schema), chunks.union(more)).orderBy("rank").collect()
+    assert [(r["chunk_id"], r["list_no"]) for r in found] == [(2, 1), (4, 1), (1, 2), (5, 2)] or [(r["chunk_id"], r["list_no"]) for r in found] == [(2, 1), (4, 1), (5, 2), (1, 2)]
+    table = spark.createDataFrame([("a", "x")], "label string, items string")
+    assert {(r["label"], r["items"]) for r in rules.look_up(spark.createDataFrame([("a",), ("b",)], "label string"), table, "none").collect()} == {("a", "x"), ("b", None)}
     parts = search.split_compound(spark.createDataFrame([(1, "show a and then list b please"), (2, "salt and pepper")], "query_id int, text string"), [" and then ", " and "], ["please"])
     assert [(r["query_id"], r["part_no"]) for r in parts.orderBy("query_id", "part_no").collect()] == [(1, 0), (1, 1), (2, 0)]
 
@@ -344,9 +351,14 @@ def test_streams(spark, tmp_path):
     streams.upsert_latest(stream(), f"{tmp_path}/table", f"{tmp_path}/up").awaitTermination()
     spark.createDataFrame([("p", 2, day(1)), ("q", 0, day(9))], schema).coalesce(1).write.parquet(f"{source}/2")
     streams.upsert_latest(stream(), f"{tmp_path}/table", f"{tmp_path}/up").awaitTermination()
-    assert {(r["source_path"], r["version"]) for r in spark.read.parquet(f"{tmp_path}/table/state=1").collect()} == {("p", 2), ("q", 1)}
+    assert {(r["source_path"], r["version"]) for r in streams.read_latest(spark, f"{tmp_path}/table").collect()} == {("p", 2), ("q", 1)}
+    for n in range(3, 6):  # only the touched bucket is written, older states of it go
+        spark.createDataFrame([("p", n, day(0))], schema).coalesce(1).write.parquet(f"{source}/{n}")
+        streams.upsert_latest(stream(), f"{tmp_path}/table", f"{tmp_path}/up").awaitTermination()
+    assert {(r["source_path"], r["version"]) for r in streams.read_latest(spark, f"{tmp_path}/table").collect()} == {("p", 5), ("q", 1)}
+    assert len(list(tmp_path.glob("table/batch=*/bucket=*/*.parquet"))) == 4
     streams.resumable(stream(), lambda df: df, f"{tmp_path}/out", f"{tmp_path}/state", "s1").awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 4
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 7
 
 
 def test_stream_windows_and_delivery(spark, tmp_path):
@@ -375,13 +387,19 @@ def test_scratch_without_a_shared_folder(spark, monkeypatch):
 
     class Unset:
         conf = type("conf", (), {"get": staticmethod(lambda key, default: default)})
-        sparkContext = spark.sparkContext
+        sparkContext = type("context", (), {"getCheckpointDir": staticmethod(lambda: None), "master": "local[2]", "applicationId": "some", "setCheckpointDir": staticmethod(lambda path: None)})
 
-    before = spark.sparkContext.getCheckpointDir()
     first = scratch.shared_dir(Unset)
     assert first.startswith("file://") and scratch.shared_dir(Unset) == first
-    if before:
-        spark.sparkContext.setCheckpointDir(before.rsplit("/", 1)[0])
+    monkeypatch.setattr(Unset.sparkContext, "master", "spark://some:7077")
+    with pytest.raises(ValueError):
+        scratch.shared_dir(Unset)
+    monkeypatch.setattr(Unset.sparkContext, "getCheckpointDir", staticmethod(lambda: "file:///set/"))
+    assert scratch.shared_dir(Unset) == "file:///set"
+    table = scratch.stored(spark.range(5), "numbers")
+    files = table.inputFiles()
+    scratch.release(table)
+    assert files and not any(__import__("os").path.exists(f.replace("file://", "")) for f in files)
 
 
 def test_outline_and_placeholders(spark):
