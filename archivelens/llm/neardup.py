@@ -123,7 +123,7 @@ def linked(sets: list[np.ndarray], signatures: np.ndarray, bounds: list[tuple[in
 
 
 def describe(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, n_shingles, print (of the set; null if it is empty), bands, low (a byte of each hash)."""
+    """doc_id, text_hash, n_shingles, print (of the set; null if it is empty), bands, low (a byte of each hash)."""
     count = bands_for(percent)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,13 +145,14 @@ def describe(docs: DataFrame, percent: int) -> DataFrame:
                     keys[:, k] = key
                 offsets = pa.array(np.arange(part.num_rows + 1) * count, pa.int32())
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array(sizes), pa.array(prints, pa.binary()),
+                    part.column("doc_id"), part.column("text_hash"), pa.array(sizes), pa.array(prints, pa.binary()),
                     pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel())),
                     tokens.binary_column(signatures.astype(np.uint8).ravel(), np.full(part.num_rows, count * ROWS)),
-                ], ["doc_id", "n_shingles", "print", "bands", "low"])
+                ], ["doc_id", "text_hash", "n_shingles", "print", "bands", "low"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(sketch, "doc_id long, n_shingles long, print binary, bands array<long>, low binary")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    return rows.mapInArrow(sketch, "doc_id long, text_hash long, n_shingles long, print binary, bands array<long>, low binary")
 
 
 def _blocks(rows: DataFrame, name: Column, members: str, most: int) -> DataFrame:
@@ -331,8 +332,8 @@ def verified(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("unit", "p", "q").sortWithinPartitions("unit", "p", "q", "print").mapInArrow(check, "a binary, b binary").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text).
+def near_duplicates(docs: DataFrame, percent: int = 80, text_hash: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept (, text_hash: xxhash64) for each row of ``docs`` (doc_id, text).
 
     Two texts are linked if their sets of distinct 5-word shingles (A-Z lower-cased, words parted by
     ASCII white space, whole texts) have a Jaccard similarity of ``percent`` or more; component_id is
@@ -359,6 +360,6 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     ids = linked_classes.join(least, "component").select("print", "component_id")
     # a class without links is a group of its own
     named = scratch.stored(first.join(ids, "print", "left").select("print", F.coalesce("component_id", "first_id").alias("component_id")), "names")
-    out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("print")).alias("print")).join(named, "print", "left")
+    out = rows.select("doc_id", "n_shingles", "text_hash", F.when(F.col("doc_id").isNotNull(), F.col("print")).alias("print")).join(named, "print", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), *(["text_hash"] if text_hash else []))

@@ -183,7 +183,7 @@ def brute_groups(rows, percent):
     for k, (i, s) in enumerate(items):
         group = [items[j][0] for j in range(len(items)) if label[j] == label[k]]
         out.append((i, len(s), i if not s or i is None else min(group)))
-    return Counter(out)
+    return out
 
 
 @pytest.mark.parametrize("percent", [80, 85])
@@ -202,7 +202,7 @@ def test_near_duplicates_equal_brute_force(spark, percent, monkeypatch):
         texts.append(" ".join(words))
     extra = spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     docs = documents(spark).select("doc_id", "text").union(extra)
-    wanted = brute_groups([(r["doc_id"], r["text"]) for r in docs.collect()], percent)
+    wanted = Counter(brute_groups([(r["doc_id"], r["text"]) for r in docs.collect()], percent))
     for bucket, unit in ((neardup.BUCKET, neardup.UNIT), (16, 16)):  # whole groups, then blocks that meet in pairs
         monkeypatch.setattr(neardup, "BUCKET", bucket)
         monkeypatch.setattr(neardup, "UNIT", unit)

@@ -4,14 +4,18 @@ import hashlib
 import itertools
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from archivelens.llm import ann, chat, urls
-from tests.llm.fixtures import documents, no_documents
+from archivelens.llm import ann, chat, media, mixing, quality, queries, secrets, tokens, urls
+from tests.llm.fixtures import CLASH, documents, no_documents
+from tests.llm.test_documents import brute_groups, python_spans
 
 
 def turns(spark, rows):
@@ -226,26 +230,112 @@ def test_one_long_vector_costs_no_digits(spark):
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as pipeline
 
-    docs = documents(spark).select("doc_id", "text", "lang", "source", "n_chars")
-    labels = spark.createDataFrame([(i, int(i not in (13, 14)), 0) for i in range(16)], "doc_id long, quality int, toxic int")
+    docs = documents(spark)
+    extra = [(20, "one two", "en", "src1", 7, *CLASH), (9, "quite another text under the id nine", "en", "src1", 36, *CLASH), (None, "no id here at all", "en", None, 17, *CLASH)]
+    docs = docs.union(spark.createDataFrame(extra, docs.schema))
+    labels = spark.createDataFrame([(i, int(i not in (13, 14)), 0, "x") for i in range(16)], "doc_id long, quality int, toxic int, text string")
     docs.write.parquet(f"{tmp_path}/in/documents.parquet")
     labels.write.parquet(f"{tmp_path}/in/labels.parquet")
-    rows = docs
+    docs = rows = spark.read.parquet(f"{tmp_path}/in/documents.parquet")
+    key = lambda r: tuple(r[c] for c in pipeline.COLUMNS)
     for k, (name, stage) in enumerate(pipeline.STAGES):
-        before = rows
+        before = [key(r) for r in rows.collect()]
         rows = stage(spark, rows, f"{tmp_path}/in")
         if k < len(pipeline.STAGES) - 1:
             assert rows.columns == pipeline.COLUMNS
             rows.write.parquet(f"{tmp_path}/{k}")
             rows = spark.read.parquet(f"{tmp_path}/{k}")
+            after = Counter(key(r) for r in rows.collect())
+        if name == "quality classifier":
+            model = quality.train(spark, docs, labels)
+            scores = model.score(quality.measure(pa.array([r[1] for r in before])))
+            assert after == Counter(r for r, s in zip(before, scores, strict=True) if s >= 0.5)
         if name == "near-dedup":
-            kept = Counter(r["doc_id"] for r in rows.collect())
-            assert kept[1] == 1 and kept[2] == 0 and kept[8] == 1 and kept[9] == 0 and kept[6] == 1 and kept[7] == 0
+            marked = brute_groups([r[:2] for r in before], 80)
+            least = defaultdict(set)
+            for (i, _, component), (_, text) in zip(marked, [r[:2] for r in before], strict=True):
+                if i is None or i == component:
+                    least[i].add(text)
+            assert after == Counter({r: 1 for r in before if r[1] in least[r[0]]})
+            assert after and (9, "one two") not in {r[:2] for r in after}
         if name == "secret scan":
-            assert rows.count() == before.count()
-            assert not rows.filter("text like '%AKIAABCDEF%' or text like '%abcdefghijkl123%'").count()
-    assert rows.count() > 0
+            wanted = Counter()
+            for i, text, lang, source, n in before:
+                found = sorted((int(a), int(b)) for _, a, b in (s.split(":") for s in python_spans(text or "").split(",") if s))
+                out, at = "", 0
+                for a, b in found:
+                    out += (text[at:a] + secrets.MARK) if a >= at else ""
+                    at = max(at, b)
+                wanted[i, out + text[at:] if found else text, lang, source, len(out + text[at:]) if found else n] += 1
+            assert after == wanted and not any("AKIAABCDEF" in (r[1] or "") for r in after)
+        if name == "mixing":
+            taken = Counter()
+            for r in mixing.mix(spark.createDataFrame(before, docs.select(pipeline.COLUMNS).schema)).collect():
+                taken[r["doc_id"], r["source"]] += r["mix_taken"]
+            words = Counter()
+            for (i, text, _, source, n), times in after.items():
+                words[i, source] += times * len(re.findall(r"[^\x20\x09-\x0D]+", text))
+                assert n == len(text)
+            assert words == +taken
+        if name == "packing":
+            own = Tokenizer.from_file(tokens.vocabulary_path("byte_bpe_50k.json"))
+            wanted = Counter((r[0], len(own.encode(r[1] or "", add_special_tokens=False).ids) + 1) for r in before)
+            got = Counter()
+            for r in rows.collect():
+                got[r["doc_id"], r["doc_tokens"]] += r["length"]
+            assert got == Counter({(i, n): n * times for (i, n), times in wanted.items()})
     assert pipeline.run(spark, f"{tmp_path}/in").count() == rows.count()
-    no_documents(spark).select(docs.columns).write.parquet(f"{tmp_path}/none/documents.parquet")
+    no_documents(spark).write.parquet(f"{tmp_path}/none/documents.parquet")
     labels.limit(0).write.parquet(f"{tmp_path}/none/labels.parquet")
     assert pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_queries_equal_their_sql(spark):
+    import duckdb
+
+    folder, con = "/root/testdata/sf0.001", duckdb.connect()
+    for table in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    for name, text in queries.oracle_sql().items():
+        wanted = con.sql(text)
+        columns = sorted(wanted.columns)
+        got = queries.queries()[name](spark, folder).select(columns).collect()
+        place = [wanted.columns.index(c) for c in columns]
+        near = lambda row: tuple(round(x, 6) if isinstance(x, float) else x for x in row)
+        assert sorted(map(str, map(near, got))) == sorted(str(near([r[k] for k in place])) for r in wanted.fetchall())
+
+
+def test_digests_of_the_queries(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    whole = {name: Tokenizer.from_file(tokens.vocabulary_path(name)) for name in ("byte_bpe_50k.json", "word_bpe_49k.json")}
+    ids = lambda name, text, end: np.array([*whole[name].encode(text, add_special_tokens=False).ids, end], "<u4")
+    for r in queries.op1_packing(spark, folder).collect():
+        own = ids("byte_bpe_50k.json", docs[r["doc_id"]], 1)
+        assert (r["doc_tokens"], r["ids_crc32"]) == (len(own), zlib.crc32(own[r["start"] : r["start"] + r["length"]])) and 0 <= r["offset"] <= 2048 - r["length"]
+    start = 0
+    for r in sorted(queries.op5_token_binary(spark, folder).collect(), key=lambda r: r["doc_id"]):
+        own = ids("word_bpe_49k.json", docs[r["doc_id"]], 2)
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(own), zlib.crc32(own))
+        start += len(own)
+    for r in queries.op2_media(spark, folder).collect():
+        data = docs[r["doc_id"]].encode()
+        payload = data + b"\0" * (64 if not data else -len(data) % 64)
+        samples = np.frombuffer(payload, np.uint8).reshape(-1, 64)
+        media_bytes = media.encode_bmp(samples) if len(payload) >= media.LARGE else media.encode_pgm(samples)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(payload[-64:]), len(media_bytes), hashlib.sha256(media_bytes).hexdigest())
+        assert len(r["feature"]) == 16
+    found = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in queries.op8_minhash_neardup(spark, folder).collect()}
+    assert found == set(brute_groups(list(docs.items()), 85))
+    scored = queries.op10_quality_gam(spark, folder).collect()
+    assert len(scored) == len(docs)
+    for r in scored:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and r["predicted"] == int(r["score"] >= 0.5) and 0 <= r["score"] <= 1
+    rows = [(r["vec_id"], list(r["embedding"])) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
+    got = defaultdict(list)
+    for r in queries.op7_vantage_points(spark, folder).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    wanted = brute(rows, 20)
+    assert np.mean([len(set(got[q]) & {i for i, _ in w}) / len(w) for q, w in wanted.items()]) >= 0.9
+    assert {r["verdict"] for r in queries.op4_url_words(spark, folder).collect()} <= {"allow", "block"}
