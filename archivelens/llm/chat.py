@@ -44,11 +44,13 @@ def perspectives(turns: DataFrame, run: int = RUN) -> DataFrame:
         F.coalesce("role", F.lit(UNKNOWN)).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     ).withColumn("conv_key", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))
     own = own.withColumn("tie", F.md5(F.concat("role", F.lit(":"), "text").cast("binary"))).withColumn("part", F.substring("tie", 1, 2))
+    # escaped once a turn, not once a perspective
+    own = own.withColumn("shown", F.format_string(USER, escaped(F.col("role")))).withColumn("body", F.concat(escaped(F.col("text")), F.lit(STOP))).drop("text")
     people = own.groupBy("conv_key", "role").agg(F.lit(1).alias("one")).select("conv_key", F.col("role").alias("perspective"))
     rows = own.join(people, "conv_key")
     mine = F.col("role") == F.col("perspective")
-    frame = F.when(mine, F.lit(ASSISTANT)).otherwise(F.format_string(USER, escaped(F.col("role"))))
-    rows = rows.withColumn("frame", F.length(frame)).withColumn("segment", F.concat(frame, escaped(F.col("text")), F.lit(STOP))).withColumn("length", F.length("segment").cast("long"))
+    frame = F.when(mine, F.lit(ASSISTANT)).otherwise(F.col("shown"))
+    rows = rows.withColumn("frame", F.length(frame)).withColumn("segment", F.concat(frame, "body")).withColumn("length", F.length("segment").cast("long"))
     rows = rows.withColumn("turn_key", F.coalesce("turn", F.lit(-(1 << 62)))).withColumn("run", F.floor(F.col("turn_key") / run).cast("long"))
     whole, single = ["conv_key", "perspective"], ["conv_key", "perspective", "turn_key", "part"]
     groups = rows.groupBy(*single, "run").agg(F.sum("length").alias("total"), F.count(F.lit(1)).alias("turns"))
