@@ -438,23 +438,56 @@ def test_similar_names_and_clusters(spark):
     assert {(r["doc_id"], r["cluster"]) for r in cluster.work_clusters(own).collect()} == {(1, 1), (2, 1), (3, 3)}
 
 
+def test_document_profile(spark):
+    rows = [(1, "Acme Systems/misc/onboarding-website build_v2.docx", "training course", day(3)), (2, None, None, None), (3, "a/123_v1.md", None, day(1))]
+    own = spark.createDataFrame(rows, "doc_id long, path string, summary string, modified_at timestamp")
+    got = {r["doc_id"]: r for r in cluster.profiles(own.withColumn("path", F.replace("path", F.lit("Acme Systems"), F.lit("AcmeSystems"))), summary=F.col("summary")).collect()}
+    assert got[1]["folders"] == ["AcmeSystems", "misc"] and got[1]["orgs"] == ["acmesystems"] and got[1]["family"] == "onboarding-website build"
+    assert got[1]["tokens"] == ["build", "onboarding", "v2", "website"] and got[1]["keywords"] == got[1]["tokens"]
+    assert got[1]["category"] == "Education"  # three words against two
+    assert (got[2]["family"], got[2]["tokens"], got[2]["folders"], got[2]["category"], got[2]["day"]) == ("", [], [], "General", None)
+    assert (got[3]["family"], got[3]["tokens"]) == ("123", ["v1"])
+    assert {r["doc_id"]: r["cluster"] for r in cluster.work_clusters(own.unionByName(own)).collect()} == {1: 1, 2: 2, 3: 3}
+    assert cluster.work_clusters(own.limit(0)).count() == 0
+
+
 def test_clusters_equal_all_pairs(spark, monkeypatch):
+    from difflib import SequenceMatcher
+
     random = np.random.default_rng(6)
     words = [f"t{c}" for c in "abcdefghijklmn"]
-    rows = [(f"f{random.integers(0, 5)}/" + "_".join(random.choice(words, random.integers(1, 5), False)) + f"_v{random.integers(1, 4)}.md", int(random.integers(0, 200))) for _ in range(70)]
+    rows = [(f"f{random.integers(0, 5)}/" + "_".join(random.choice(words, random.integers(1, 5), False)) + f"_v{random.integers(1, 4)}.md", int(random.integers(0, 200))) for _ in range(60)]
     rows += [(f"g/{n}.md", d) for n, d in (("123", 3), ("124", 3), ("doc_4_v2", 9), ("doc_5_v1", 90), ("doc_7_v2", 180))]
-    own = spark.createDataFrame([(i, p, day(d)) for i, (p, d) in enumerate(rows)], "doc_id long, path string, modified_at timestamp")
-    facts = {r["doc_id"]: r for r in cluster.profiles(own).collect()}
-    label = list(range(len(rows)))
+    # containers: kinds whose own files aren't always linked; organisations, categories and alike families
+    folders = ("misc", "old", "acmegroup", "acmegroup/misc", "zetabank", "h/budget", "h")
+    stems = ("zza", "zzb_v1", "archive", "archive_v2", "12", "13_v1", "budgetplan", "budgetplans", "budgetplano", "salesboard", "campaigns", "zzcontract", "temp")
+    rows += [(f"{random.choice(folders)}/{random.choice(stems)}.md", int(random.integers(0, 120))) for _ in range(90)]
+    rows += [rows[-1], rows[-2], (None, 5), ("misc/zza.md", None), ("misc/zza.md", None)]
+    own = spark.createDataFrame([(i, p, None if d is None else day(d)) for i, (p, d) in enumerate(rows)], "doc_id long, path string, modified_at timestamp")
+    facts = {r["doc_id"]: {k: set(v) if isinstance(v, list) else v for k, v in r.asDict().items()} for r in cluster.profiles(own).collect()}
+    label, used = list(range(len(rows))), set()
     for i in range(len(rows)):
         for j in range(i):
             a, b = facts[i], facts[j]
-            x, y, days = set(a["tokens"]), set(b["tokens"]), abs((a["day"] - b["day"]).days)
-            score = (round(25 * len(x & y) / len(x | y)) if x | y else 0) + 22 * (a["family"] == b["family"]) + min(18, 6 * len(x & y)) + 10 * (a["folder"] == b["folder"])
-            if score + (10 if days <= 7 else 6 if days <= 30 else 0) >= 45:
+            x, y = a["tokens"], b["tokens"]
+            days = abs((a["day"] - b["day"]).days) if a["day"] and b["day"] else 99
+            score = round(25 * len(x & y) / len(x | y)) if x | y else 0
+            equal = a["family"] == b["family"] != ""
+            alike = not equal and SequenceMatcher(None, *sorted((a["family"], b["family"]))).ratio() >= 0.72 and a["family"] != b["family"]
+            shared = a["folders"] & b["folders"]
+            parts = {
+                "equal": 22 * equal, "alike": 14 * alike, "keywords": min(18, 6 * len(a["keywords"] & b["keywords"])), "orgs": min(15, 15 * len(a["orgs"] & b["orgs"])),
+                "folder": (-12 if shared <= set(cluster.CONTAINERS) else 10) if shared else 0, "category": 10 * (a["category"] == b["category"] != "General"),
+                "named": -20 * bool({a["family"], b["family"]} & set(cluster.CONTAINERS)), "days": 10 if days <= 7 else 6 if days <= 30 else 0,
+            }
+            total = score + sum(parts.values())
+            used |= {k for k, v in parts.items() if (total >= 45) != (total - v >= 45)}  # points that decide
+            if total >= 45:
                 old, new = max(label[i], label[j]), min(label[i], label[j])
                 label = [new if v == old else v for v in label]
+    assert used == {"equal", "alike", "keywords", "orgs", "folder", "category", "named", "days"}
     for block in (512, 3):
         monkeypatch.setattr(cluster, "BLOCK", block, raising=False)
-        assert {r["doc_id"]: r["cluster"] for r in cluster.work_clusters(own).collect()} == dict(enumerate(label))
-    assert 10 < len(set(label)) < 65
+        got = {r["doc_id"]: r["cluster"] for r in cluster.work_clusters(own).collect()}
+        assert {i: v for i, v in got.items() if v != label[i]} == {} and len(got) == len(rows)
+    assert 10 < len(set(label)) < 100
