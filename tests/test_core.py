@@ -90,14 +90,16 @@ def test_greedy_removal_equals_the_walk(spark, seed):
 def test_jaccard_pairs_equal_brute_force(spark):
     random = np.random.default_rng(3)
     rows = [(i, " ".join(f"w{x}" for x in random.integers(0, 12, random.integers(1, 14)))) for i in range(80)] + [(90, ""), (91, None)]
+    rows += [(5, "v1 v2 v3 v4 v5"), (95, "v1 v2 v3 v4 v5 v6"), (95, "v1 v2 v3 v4 v5 v6"), (None, "v1 v2 v3 v4 v5 v7")]  # a second text of 5
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     classes: dict[frozenset, int] = {}
     for i, t in rows:
-        if t:
+        if t and i is not None:
             classes.setdefault(frozenset(t.split()), i)
     own = sorted((i, s) for s, i in classes.items())
     wanted = {(a, b, len(x & y)) for a, x in own for b, y in own if a < b and 100 * len(x & y) >= 80 * len(x | y)}
     assert {(r["a"], r["b"], r["both"]) for r in dedup.jaccard_pairs(docs).collect()} == wanted
+    assert (5, 95, 5) in wanted
 
 
 def test_near_dup_query_equals_the_walk(spark, tmp_path):
