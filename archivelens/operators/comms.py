@@ -79,11 +79,14 @@ def chat_context(messages: DataFrame, hit: Column, around: int = 5, budget: int
     """source_file, line_no, gap of the lines of a chat that are kept.
 
     Blocks around hits are taken newest first while a whole block still fits the budget, then the
-    newest other lines fill it; gap marks a break before a line. Only the blocks' bounds of a file
-    are looked at in Python, not its lines.
+    newest other lines fill it; gap marks a break before a line. Python looks at the bounds of blocks
+    only: of each length n the newest ``budget / n`` of a file, as more of them can't be taken.
     """
     numbered = messages.withColumn("place", F.row_number().over(Window.partitionBy("source_file").orderBy("line_no")))
     blocks = chat_blocks(messages, hit, around).groupBy("source_file", "block_no").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    length = F.col("last") - F.col("first") + 1
+    newest = F.row_number().over(Window.partitionBy("source_file", "length").orderBy(F.desc("first")))
+    blocks = blocks.withColumn("length", length).filter(F.col("length") <= budget).withColumn("n", newest).filter(F.col("n") * F.col("length") <= budget)
     kind = dict(messages.dtypes)["source_file"]
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:

@@ -222,19 +222,30 @@ def funnel(spark: SparkSession, d: str) -> DataFrame:
     return filters.funnel(filters.exclusions(A.files(spark, d), A.as_of()))
 
 
-JACCARD = """WITH words AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: length(w) >= 2))) AS words FROM documents),
+JACCARD = """words AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: length(w) >= 2))) AS words FROM documents),
 classes AS (SELECT min(doc_id) AS id, words FROM words WHERE len(words) > 0 GROUP BY words),
 tokens AS (SELECT id, len(words) AS n, unnest(words) AS w FROM classes),
-pairs AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS "both" FROM tokens a JOIN tokens b ON a.w = b.w AND a.id < b.id AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80 GROUP BY ALL)
-SELECT a, b, "both", na + nb - "both" AS "union" FROM pairs WHERE "both" * 100 >= (na + nb - "both") * 80"""
+pairs AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS "both" FROM tokens a JOIN tokens b ON a.w = b.w AND a.id < b.id AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80 GROUP BY ALL),
+alike AS (SELECT a, b, "both", na + nb - "both" AS "union" FROM pairs WHERE "both" * 100 >= (na + nb - "both") * 80)"""
 
 
-@query(JACCARD)
+@query(f"WITH {JACCARD} SELECT * FROM alike")
 def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
     return dedup.jaccard_pairs(A.table(spark, d, "documents"))
 
 
-@query()
+# the walk goes over classes that are similar to any other, newest first, with the list of those kept
+@query(f"""WITH RECURSIVE {FILES}, {JACCARD},
+firsts AS (SELECT c.id AS least, arg_min(f.doc_id, row(-epoch_us(f.modified_at), f.doc_id)) AS id, min(row(-epoch_us(f.modified_at), f.doc_id)) AS place
+  FROM classes c JOIN words w ON w.words = c.words JOIN files f ON f.doc_id = w.doc_id GROUP BY c.id),
+ends AS (SELECT a AS x, b AS y FROM alike UNION ALL SELECT b, a FROM alike),
+walked AS (SELECT least, id, row_number() OVER (ORDER BY place) AS k FROM firsts WHERE least IN (SELECT x FROM ends)),
+earlier AS (SELECT l.k, list(e.k) AS before FROM ends JOIN walked l ON l.least = x JOIN walked e ON e.least = y AND e.k < l.k GROUP BY l.k),
+walk AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept UNION ALL
+  SELECT o.k, CASE WHEN list_has_any(kept, coalesce(before, []::BIGINT[])) THEN kept ELSE list_append(kept, o.k) END FROM walk JOIN walked o ON o.k = walk.k + 1 LEFT JOIN earlier ON earlier.k = o.k)
+SELECT id FROM walked WHERE k IN (SELECT unnest(kept) FROM (SELECT kept FROM walk ORDER BY k DESC LIMIT 1))
+UNION ALL SELECT id FROM firsts WHERE least NOT IN (SELECT x FROM ends)
+UNION ALL SELECT doc_id FROM words WHERE coalesce(len(words), 0) = 0""")
 def near_dup_removed(spark: SparkSession, d: str) -> DataFrame:
     return dedup.near_dup_removed(A.files(spark, d, text=True))
 

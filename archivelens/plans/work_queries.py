@@ -57,15 +57,24 @@ def mail_selection(spark: SparkSession, d: str) -> DataFrame:
     return comms.select_relevant(_items(spark, d), ["sender"], F.col("text") == "purchase").select("item_id", "sender", "matched", "rank")
 
 
-@query("""WITH own AS (SELECT conv_id AS source_file, turn AS line_no, text AS message, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations),
+BLOCKS = """own AS (SELECT conv_id AS source_file, turn AS line_no, text AS message, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations),
 near AS (SELECT *, max(contains(message, 'the')::INT) OVER (PARTITION BY source_file ORDER BY line_no ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM own),
-gaps AS (SELECT *, CASE WHEN place - lag(place) OVER (PARTITION BY source_file ORDER BY line_no) > 1 THEN 1 ELSE 0 END AS gap FROM near WHERE near = 1)
-SELECT source_file, line_no, (sum(gap) OVER (PARTITION BY source_file ORDER BY line_no) + 1)::BIGINT AS block_no FROM gaps""")
+gaps AS (SELECT *, CASE WHEN place - lag(place) OVER (PARTITION BY source_file ORDER BY line_no) > 1 THEN 1 ELSE 0 END AS gap FROM near WHERE near = 1),
+blocks AS (SELECT source_file, line_no, place, (sum(gap) OVER (PARTITION BY source_file ORDER BY line_no) + 1)::BIGINT AS block_no FROM gaps)"""
+
+
+@query(f"WITH {BLOCKS} SELECT source_file, line_no, block_no FROM blocks")
 def chat_blocks(spark: SparkSession, d: str) -> DataFrame:
     return comms.chat_blocks(A.messages(spark, d), F.contains("message", F.lit("the")), around=1).select("source_file", "line_no", F.col("block_no").cast("long").alias("block_no"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BLOCKS},
+bounds AS (SELECT *, last - first + 1 AS n, row_number() OVER (PARTITION BY source_file ORDER BY first DESC) AS k FROM (SELECT source_file, min(place) AS first, max(place) AS last FROM blocks GROUP BY source_file, block_no)),
+walk AS (SELECT DISTINCT source_file, 0::BIGINT AS k, 4::BIGINT AS room, 0::BIGINT AS first, 0::BIGINT AS last, false AS taken FROM bounds UNION ALL
+  SELECT b.source_file, b.k, CASE WHEN n <= room THEN room - n ELSE room END, b.first, b.last, n <= room FROM walk w JOIN bounds b ON b.source_file = w.source_file AND b.k = w.k + 1),
+marked AS (SELECT o.source_file, o.line_no, o.place, w.taken IS NOT NULL AS hit FROM own o LEFT JOIN walk w ON w.taken AND w.source_file = o.source_file AND o.place BETWEEN w.first AND w.last),
+filled AS (SELECT *, sum(hit::INT) OVER (PARTITION BY source_file) AS used, row_number() OVER (PARTITION BY source_file ORDER BY hit, place DESC) AS fill FROM marked)
+SELECT source_file, line_no, coalesce(place - lag(place) OVER (PARTITION BY source_file ORDER BY place) > 1, false) AS gap FROM filled WHERE hit OR fill <= 4 - used""")
 def chat_context(spark: SparkSession, d: str) -> DataFrame:
     return comms.chat_context(A.messages(spark, d), F.contains("message", F.lit("the")), around=1, budget=4)
 
