@@ -42,10 +42,10 @@ def _packed(rows: DataFrame, per: int) -> DataFrame:
     return dealt.groupBy("scope", "block", "dim").applyInArrow(pack, f"scope {kinds['scope']}, block long, dim long, ids array<{kinds['id']}>, vectors binary")
 
 
-def nearest(queries: DataFrame, chunks: DataFrame, k: int, floor: float | None = None, block: int = 256, per: int = 2048, sent: int = 64) -> DataFrame:
+def nearest(queries: DataFrame, chunks: DataFrame, k: int, floor: float | None = None, block: int = 256, per: int = 2048, sent: int = 64, scoped: bool = False) -> DataFrame:
     """query_id, chunk_id, similarity (rounded to 6 digits), rank of the ``k`` chunks (scope,
     chunk_id, embedding) that are most similar to each query (scope, query_id, vector) of their scope and
-    reach ``floor``; ties by chunk_id.
+    reach ``floor``; ties by chunk_id. ``scoped`` keeps the scope, of which a query may have several.
 
     Queries and chunks are gathered in blocks, one row each; blocks of a scope are compared by one matrix
     product and report ``k`` rows a query at most. Up to ``sent`` blocks of queries (of bounded size) go
@@ -74,11 +74,13 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int, floor: float | None =
                 best = np.argsort(-s, axis=1, kind="stable")[:, :k]  # ids ascend, so ties go to smaller ones
                 value = np.take_along_axis(s, best, 1)
                 i, j = np.nonzero(value >= floor) if floor is not None else np.indices(value.shape).reshape(2, -1)
-                yield pa.RecordBatch.from_arrays([row.column("query_ids").flatten().take(pa.array(i)), row.column("ids").flatten().take(pa.array(best[i, j])), pa.array(value[i, j])], ["query_id", "chunk_id", "similarity"])
+                scope = row.column("scope").take(pa.array(np.zeros(len(i), dtype=np.int32)))
+                yield pa.RecordBatch.from_arrays([scope, row.column("query_ids").flatten().take(pa.array(i)), row.column("ids").flatten().take(pa.array(best[i, j])), pa.array(value[i, j])], ["scope", "query_id", "chunk_id", "similarity"])
 
-    found = met.select("dim", "ids", "vectors", "query_ids", "queries").mapInArrow(compare, f"query_id {kinds[0]}, chunk_id {kinds[1]}, similarity double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    found = met.select("scope", "dim", "ids", "vectors", "query_ids", "queries").mapInArrow(compare, f"scope {dict(queries.dtypes)['scope']}, query_id {kinds[0]}, chunk_id {kinds[1]}, similarity double")
+    order = Window.partitionBy("scope", "query_id").orderBy(F.desc("similarity"), "chunk_id")
+    best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return best if scoped else best.drop("scope")
 
 
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = NEAREST, floor: float | None = FLOOR) -> DataFrame:
@@ -180,16 +182,15 @@ def hybrid(queries: DataFrame, chunks: DataFrame, stopwords: Sequence[str] = (),
     source_terms = scratch.stored(indexed_terms(terms, index(chunks, stopwords)), "terms")
     content_terms = terms.join(source_terms, ["query_id", "term"], "left_anti")
     vectors = chunks.select("chunk_id", "embedding")
-    best = lambda hits, k: nearest(asked, hits.select(F.col("query_id").alias("scope"), "chunk_id").join(vectors, "chunk_id"), k)
-    lists = (
-        best(content_hits(source_terms, content_terms, chunks, stopwords), 5),
-        nearest(queries.withColumn("scope", F.lit("")), vectors.withColumn("scope", F.lit("")), NEAREST, floor),
-        best(exact_name_hits(source_terms, chunks), 5),
-    )
-    rows = None
-    for n, found in enumerate(lists):
-        own = found.select("query_id", "chunk_id", "similarity", F.lit(n).alias("list_no"), F.col("rank").alias("position"))
-        rows = own if rows is None else rows.unionByName(own)
+    # content and name hits are ranked side by side, under a question's text with the list's number before it
+    lists = {0: content_hits(source_terms, content_terms, chunks, stopwords), 2: exact_name_hits(source_terms, chunks)}
+    hits = [found.select(F.concat(F.lit(f"{n} "), "query_id").alias("scope"), "chunk_id") for n, found in lists.items()]
+    hits = hits[0].unionByName(hits[1]).join(vectors, "chunk_id")
+    own = [queries.withColumn("scope", F.concat(F.lit(f"{n} "), "text")) for n in lists]
+    found = nearest(own[0].unionByName(own[1]), hits, 5, scoped=True)
+    rows = found.select("query_id", "chunk_id", "similarity", F.substring("scope", 1, 1).cast("int").alias("list_no"), F.col("rank").alias("position"))
+    near = nearest(queries.withColumn("scope", F.lit("")), vectors.withColumn("scope", F.lit("")), NEAREST, floor)
+    rows = rows.unionByName(near.select("query_id", "chunk_id", "similarity", F.lit(1).alias("list_no"), F.col("rank").alias("position")))
     rows = scratch.stored(rows, "candidates")
     return merge_candidates(rows).join(rows.select("query_id", "chunk_id", "similarity").distinct(), ["query_id", "chunk_id"])
 
