@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivelens.functions import scratch
-from archivelens.llm import ann, binary, chat, media, mixing, neardup, packing, quality, secrets, sql, tokens, urls
+from archivelens.llm import ann, binary, chat, media, mixing, neardup, packing, quality, secrets, sharding, sql, tokens, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,10 +77,16 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch.new_path(spark, "shards")
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return sharding.write(table(spark, sf_dir, "documents"), folder).select("doc_id", "size", crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_packing, op2_media, op3_chat_perspectives, op4_url_words, op5_token_binary, op6_mixing, op7_vantage_points,
-        op8_minhash_neardup, op9_secret_ledger, op10_quality_gam,
+        op8_minhash_neardup, op9_secret_ledger, op10_quality_gam, op11_external_shuffle,
     )
     return {f.__name__: f for f in own}
 
