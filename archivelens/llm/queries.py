@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivelens.functions import scratch
-from archivelens.llm import ann, binary, chat, media, mixing, neardup, packing, quality, secrets, sharding, sql, tokens, urls
+from archivelens.llm import ann, binary, chat, lexical, media, mixing, neardup, packing, phrases, quality, secrets, sharding, sql, tokens, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,13 +83,22 @@ def op11_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.write(table(spark, sf_dir, "documents"), folder).select("doc_id", "size", crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_packing, op2_media, op3_chat_perspectives, op4_url_words, op5_token_binary, op6_mixing, op7_vantage_points,
         op8_minhash_neardup, op9_secret_ledger, op10_quality_gam, op11_external_shuffle,
+        op12_phrase_mining, op13_lexical_search,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_perspectives": sql.CHAT, "op6_mixing": sql.MIXING, "op9_secret_ledger": sql.SECRETS}
+    return {"op3_chat_perspectives": sql.CHAT, "op6_mixing": sql.MIXING, "op9_secret_ledger": sql.SECRETS, "op12_phrase_mining": sql.PHRASES, "op13_lexical_search": sql.LEXICAL}

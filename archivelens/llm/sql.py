@@ -90,3 +90,49 @@ SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in _NAM
   sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents d LEFT JOIN listed l ON d.doc_id = l.doc_id
 """
+
+PHRASES = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM lists, (VALUES (1), (2), (3)) AS t(k) WHERE len(w) >= k
+), f AS (SELECT lang, k, phrase, count(*)::BIGINT AS n FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND n >= 10),
+cuts AS (
+  SELECT lang, k, phrase, a, c, array_to_string(w[1:c], ' ') AS one, array_to_string(w[c + 1:k], ' ') AS two
+  FROM candidates, (VALUES (1), (2)) AS t(c) WHERE c < k
+), valued AS (
+  SELECT cuts.*, l.n AS l, r.n AS r, ((1000000::HUGEINT * a * a) // (l.n::HUGEINT * r.n))::BIGINT AS score
+  FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = one AND l.k = c
+    JOIN f r ON r.lang = cuts.lang AND r.phrase = two AND r.k = cuts.k - c
+), best AS (SELECT * FROM valued QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+held AS (
+  SELECT lang, part, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS part FROM candidates WHERE k = 3)
+  GROUP BY ALL
+), kept AS (SELECT b.* FROM best b LEFT JOIN held h ON b.lang = h.lang AND b.phrase = h.part WHERE longer IS NULL OR 100 * longer < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT k.lang, k.rank::BIGINT AS rank, k.phrase, k.a, k.l, k.r, t.n, k.score FROM ranked k JOIN totals t ON k.lang = t.lang WHERE k.rank <= 2000
+"""
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+LEXICAL = f"""
+WITH lists AS (SELECT doc_id, row_number() OVER () AS row, {_TERMS} AS terms FROM documents WHERE text IS NOT NULL),
+docs AS (SELECT doc_id, row, len(terms) AS n, terms FROM lists WHERE len(terms) > 0),
+total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM docs),
+asked AS (SELECT item_id, term, count(*)::BIGINT AS q FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+tf AS (
+  SELECT row, term, count(*)::BIGINT AS tf FROM (SELECT row, unnest(terms) AS term FROM docs)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weighed AS (
+  SELECT term, floor(1000 * ln((2 * t.docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total t GROUP BY term, t.docs
+), lengths AS (SELECT row, doc_id, 75 + (25 * n * t.docs) // t.terms AS m FROM docs, total t),
+scored AS (
+  SELECT a.item_id, l.row, any_value(l.doc_id) AS doc_id, sum(a.q * w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * l.m)))::BIGINT AS score
+  FROM asked a JOIN tf ON a.term = tf.term JOIN weighed w ON w.term = tf.term JOIN lengths l ON l.row = tf.row GROUP BY a.item_id, l.row
+), ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 20
+"""
