@@ -138,7 +138,7 @@ def _blocks(hashed: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatc
     order = np.argsort(part, kind="stable")
     hashed, counts = hashed[order], counts[order].astype(np.uint32)
     some, begins = np.unique(part[order], return_index=True)
-    ends = np.append(begins[1:], len(order))
+    ends = np.append(begins, len(order))[1:]
     n = len(some)
     packed = [[x[a:b].tobytes() for a, b in zip(begins, ends, strict=True)] for x in (hashed, counts)]
     columns = [pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(some.astype(np.int32)), pa.array(packed[0], pa.binary()), pa.array(packed[1], pa.binary())]
