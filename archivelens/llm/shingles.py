@@ -7,72 +7,22 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 
+from archivelens.llm import words
+from archivelens.llm.words import mix
+
 #: Words in a shingle.
 WORDS = 5
-_SEED = np.random.default_rng(20_240_501)
-_BYTE = _SEED.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_PLACE = _SEED.integers(1, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    """The first ``n`` powers, kept by the worker and made anew only for a longer text."""
-    held = _POWERS.get(int(base))
-    if held is None or len(held) < n:
-        held = np.full(max(n, 1 << 20), base, np.uint64)
-        held[0] = 1
-        np.multiply.accumulate(held, out=held)
-        _POWERS[int(base)] = held
-    return held[:n]
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers that spreads every bit over all."""
-    x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0x7FB5D329728EA185)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x81DADEF4BC2DD44D)
-    x ^= x >> np.uint64(33)
-    return x
+_PLACE = np.random.default_rng(20_240_501).integers(1, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the batch in order, and each text's number of words.
 
-    A word's hash is its part of a running sum of byte values times powers of an odd number, moved
-    back to power 0; so equal words have equal hashes wherever they stand.
+    Words are told apart by their bytes, and each distinct one has its keyed hash, so no two words that a text
+    could be made of on purpose share one.
     """
-    texts = texts.cast(pa.large_binary()).fill_null(b"") if texts.null_count else texts.cast(pa.large_binary())
-    n = len(texts)
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
-    if not n or offsets[-1] == offsets[0]:
-        return np.zeros(0, np.uint64), np.zeros(n, np.int64)
-    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
-    inside = ~_SPACE[data]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    cuts = offsets[1:-1]
-    cuts = cuts[(cuts > 0) & (cuts < len(data))]
-    first[cuts] = inside[cuts]
-    last = inside.copy()
-    last[:-1] &= ~inside[1:]
-    last[cuts - 1] = inside[cuts - 1]
-    begins, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    sums = np.zeros(len(data) + 1, np.uint64)
-    values = _BYTE[data]
-    values *= _powers(_ODD, len(data))
-    np.cumsum(values, out=sums[1:])
-    hashes = mix((sums[ends] - sums[begins]) * _powers(_BACK, len(data))[begins])
-    edges = np.searchsorted(begins, offsets)
-    return hashes, np.diff(edges)
+    own = words.split(texts, words.SPACES)
+    return words.hashes(own.distinct)[own.code], own.counts
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -80,20 +30,20 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
     Fewer than ``WORDS`` words give one shingle of them all; no words give none.
     """
-    words, counts = word_hashes(texts)
+    each, counts = word_hashes(texts)
     ends = np.cumsum(counts)
-    if not len(words):
-        return words, counts
-    whole = np.zeros(len(words), np.uint64)
-    for k in range(min(WORDS, len(words))):
-        whole[: len(words) - k] += words[k:] * _PLACE[k]
+    if not len(each):
+        return each, counts
+    whole = np.zeros(len(each), np.uint64)
+    for k in range(min(WORDS, len(each))):
+        whole[: len(each) - k] += each[k:] * _PLACE[k]
     out, sizes = [], np.zeros(len(counts), np.int64)
     for i, (a, b) in enumerate(zip((ends - counts).tolist(), ends.tolist(), strict=True)):
         if b - a >= WORDS:
             own = np.sort(mix(whole[a : b - WORDS + 1]))
             own = own[np.concatenate([[True], own[1:] != own[:-1]])]
         elif b > a:
-            own = mix(np.array([(words[a:b] * _PLACE[: b - a]).sum() + np.uint64(b - a)], np.uint64))
+            own = mix(np.array([(each[a:b] * _PLACE[: b - a]).sum() + np.uint64(b - a)], np.uint64))
         else:
             continue
         out.append(own)
