@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 
 from archivelens.llm import tokens
 
-#: Payload bytes in a row of samples, the tile's height and width, and the payload from which an image is
-#: stored as BMP (whose palette of 1 KiB is little beside it).
-WIDTH, TILE, LARGE = 64, (32, 32), 1 << 16
+#: Payload bytes in a row of samples, and the tile's height and width.
+WIDTH, TILE = 64, (32, 32)
 FEATURES = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tile binary, error string"
 
 
@@ -142,14 +141,15 @@ def npy(image: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def store(docs: DataFrame, width: int = WIDTH, large: int = LARGE) -> DataFrame:
+def store(docs: DataFrame, width: int = WIDTH, form: str = "netpbm") -> DataFrame:
     """doc_id, n_bytes, media: each whole text's UTF-8 bytes, filled up with zeros to a positive
-    multiple of ``width``, as rows of 8-bit samples of a greyscale image: binary Netpbm, or BMP from
-    ``large`` bytes on.
+    multiple of ``width``, as rows of 8-bit samples of a greyscale image. All are in one ``form``: binary
+    "netpbm", or "bmp".
 
     A null text is empty; null and repeated doc_ids are ordinary rows; extra columns are left out; an
     empty table gives no rows.
     """
+    encode = {"netpbm": encode_pgm, "bmp": encode_bmp}[form]
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +160,7 @@ def store(docs: DataFrame, width: int = WIDTH, large: int = LARGE) -> DataFrame:
                     rows = max(1, -(-len(data) // width))
                     sizes.append(len(data))
                     samples = np.frombuffer(data.ljust(rows * width, b"\0"), np.uint8).reshape(rows, width)
-                    media.append(encode_bmp(samples) if samples.size >= large else encode_pgm(samples))
+                    media.append(encode(samples))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

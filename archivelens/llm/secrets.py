@@ -43,7 +43,8 @@ def _lengths(text: Column, kind: int, pattern: str, group: int) -> Column:
 
 
 def spans(blobs: DataFrame) -> DataFrame:
-    """blob, spans (by start, then kind) for rows (blob, text), one a blob.
+    """blob, spans (by start, then kind) for rows (blob, text), one a blob; a null text has none. Other columns
+    are left out; an empty table gives no rows.
 
     Only lengths leave the text. Places are running sums over a blob's matches by windows, so the work
     grows with the text and the number of matches, however many one text has.
@@ -80,13 +81,16 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None, rule_version: str
 def append_unseen(versions: DataFrame, folder: str, rule_version: str = VERSION) -> DataFrame:
     """Scan what the ledger in ``folder`` lacks of ``versions``, append it there and return the ledger.
 
-    A folder that isn't there yet is an empty ledger. A delivery that is repeated adds nothing.
+    A folder that isn't there yet is an empty ledger; any other failure to read it is raised. A delivery that is
+    repeated adds nothing. Null texts count as empty; an empty delivery adds nothing.
     """
     spark = versions.sparkSession
     try:
         ledger = spark.read.schema(LEDGER).parquet(folder)
-    except AnalysisException:  # the first delivery
-        ledger = None
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        ledger = None  # the first delivery
     scan_unseen(versions, ledger, rule_version).write.mode("append").parquet(folder)
     return spark.read.schema(LEDGER).parquet(folder)
 
