@@ -34,16 +34,18 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (similarity 0.8 or more), the one of least doc_id.
 
-    Of rows under that doc_id the ones go whose own text belongs to a group of smaller doc_id, and of
-    equal rows one stays. Rows without a doc_id or without words belong to no group: of those that are
-    equal one stays. Other columns are left out; an empty table stays empty.
+    Of rows under that doc_id the ones go whose own text belongs to a group of smaller doc_id, and of rows of one
+    doc_id and text one stays, the first by lang, source and n_chars (nulls first). Rows without a doc_id or
+    without words belong to no group, but of those with one doc_id (or none) and text one stays as well. Other
+    columns are left out; an empty table stays empty.
     """
     marked = neardup.near_duplicates(docs, percent=80, text_hash=True).filter("kept")
     kept = marked.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("kept_rows")).toDF("kept_id", "kept_hash", "kept_rows")
     rows = docs.select(COLUMNS).withColumn("own_hash", F.xxhash64(F.col("text").cast("string")))
     rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("own_hash") == F.col("kept_hash")))
-    once, more = rows.filter("kept_rows = 1").select(COLUMNS), rows.filter("kept_rows > 1").select(COLUMNS)
-    return once.unionByName(more.distinct())
+    once, more = rows.filter("kept_rows = 1").select(COLUMNS), rows.filter("kept_rows > 1")
+    first = more.groupBy("doc_id", "own_hash").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("f"))
+    return once.unionByName(first.select("doc_id", "f.*").select(COLUMNS))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

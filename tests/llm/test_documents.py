@@ -124,7 +124,9 @@ def test_media_round_trip(spark):
     tile = np.load(__import__("io").BytesIO(rows[0]["tile"]))
     assert tile.shape == media.TILE and tile.dtype == np.uint8
     assert media.hashed(media.describe(media.store(no_documents(spark)))).count() == 0
-    assert Counter(r["media"][:2] for r in media.store(docs).collect())[b"BM"] == 2
+    both = [media.describe(media.store(docs, form=f)) for f in ("netpbm", "bmp")]
+    assert {bytes(r["media"][:2]) for r in media.store(docs).collect()} == {b"P5"} and {bytes(r["media"][:2]) for r in media.store(docs, form="bmp").collect()} == {b"BM"}
+    assert len({str(sorted(map(str, b.select("doc_id", "payload_sha256", "tail_crc32", "tile").collect()))) for b in both}) == 1
     bad = [None, b"", b"P", b"P5\n64", b"P5 4 4 255\nab", b"P5 0 0 255\n", b"BM", b"BM" + bytes(60), b"P9 1 1 1 1", b"P2 2 2 255\n1 x 2 3", media.encode_bmp(np.zeros((4, 4), np.uint8))[:-3], b"\xff\xd8jpeg"]
     rows = media.hashed(media.describe(spark.createDataFrame([(i, 2, x) for i, x in enumerate(bad)], "doc_id long, n_bytes long, media binary"))).collect()
     assert all(r["feature"] is None and r["payload_sha256"] is None for r in rows)
@@ -224,6 +226,17 @@ def test_shingles_of_few_words(spark):
     assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == {(1, 1, 1), (2, 159_996, 2), (3, 1, 3), (4, 1, 1)}
 
 
+def test_words_that_collide_in_sums_stay_apart(spark):
+    """Words whose sums of bytes times powers agree modulo 2^64 for any odd base."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    rows = [(1, f"{one} x y z w v"), (2, f"{two} x y z w v"), (3, one), (4, two), (5, f"{one} X y Z w v"), (6, f"q {one} {two} {one} {two}"), (7, f"q {two} {one} {two} {one}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = neardup.near_duplicates(docs, 85).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(brute_groups(rows, 85))
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1, 6: 6, 7: 7}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(no_documents(spark)).count() == 0
     assert neardup.near_duplicates(documents(spark).filter("text is null")).count() == 2

@@ -232,6 +232,7 @@ def test_pipeline_stages(spark, tmp_path):
 
     docs = documents(spark)
     extra = [(20, "one two", "en", "src1", 7, *CLASH), (9, "quite another text under the id nine", "en", "src1", 36, *CLASH), (None, "no id here at all", "en", None, 17, *CLASH)]
+    extra += [(i, text, None, source, len(text), *CLASH) for i, text in ((2, "the quick BROWN fox jumps over the lazy dog and runs away."), (1, "The quick brown fox jumps over the lazy dog and runs away."), (None, "no id here at all"), (4, "")) for source in ("other", None)]
     docs = docs.union(spark.createDataFrame(extra, docs.schema))
     labels = spark.createDataFrame([(i, int(i not in (13, 14)), 0, "x") for i in range(16)], "doc_id long, quality int, toxic int, text string")
     docs.write.parquet(f"{tmp_path}/in/documents.parquet")
@@ -256,7 +257,11 @@ def test_pipeline_stages(spark, tmp_path):
             for (i, _, component), (_, text) in zip(marked, [r[:2] for r in before], strict=True):
                 if i is None or i == component:
                     least[i].add(text)
-            assert after == Counter({r: 1 for r in before if r[1] in least[r[0]]})
+            nulls_first = lambda r: [(x is not None, x) for x in r[2:]]
+            one = {}
+            for r in sorted((r for r in before if r[1] in least[r[0]]), key=nulls_first):
+                one.setdefault(r[:2], r)
+            assert after == Counter(one.values())
             assert after and (9, "one two") not in {r[:2] for r in after}
         if name == "secret scan":
             wanted = Counter()
@@ -294,7 +299,7 @@ def test_queries_equal_their_sql(spark):
     import duckdb
 
     folder, con = "/root/testdata/sf0.001", duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "benchmark"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     for name, text in queries.oracle_sql().items():
         wanted = con.sql(text)
@@ -322,7 +327,7 @@ def test_digests_of_the_queries(spark):
         data = docs[r["doc_id"]].encode()
         payload = data + b"\0" * (64 if not data else -len(data) % 64)
         samples = np.frombuffer(payload, np.uint8).reshape(-1, 64)
-        media_bytes = media.encode_bmp(samples) if len(payload) >= media.LARGE else media.encode_pgm(samples)
+        media_bytes = media.encode_pgm(samples)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
         assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(payload[-64:]), len(media_bytes), hashlib.sha256(media_bytes).hexdigest())
         assert len(r["feature"]) == 16
