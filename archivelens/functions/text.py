@@ -167,6 +167,19 @@ def section(text: Column, label: str, labels: Sequence[str]) -> Column:
     return F.trim(F.regexp_extract(text, rf"(?s)(?:^|\n)\s*{label}\s*:\s*(.*?)(?=\n\s*(?:{rest})\s*:|\z)", 1))
 
 
+def json_prefix(text: Column, outer: str = "primary", inner: str = "answer") -> Column:
+    """The part that is there already of the string under ``inner``, behind an object ``outer`` if there is
+    one, in JSON that may be unfinished; "" without it. What ends in the middle of an escape ends before it; an
+    escape that JSON doesn't know is its character. A null text gives a null."""
+    opened = rf'"{outer}"\s*:\s*\{{'
+    start = rf'"{inner}"\s*:\s*"'
+    body = r'((?:[^"\\]++|\\u[0-9a-fA-F]{4}|\\[^u])*+)'
+    behind = F.when(F.regexp_like(text, F.lit(opened)), F.regexp_extract(text, rf"(?s){opened}(.*)", 1)).otherwise(text)
+    raw = F.regexp_extract(behind, rf"(?s){start}{body}", 1)
+    options = {"allowUnquotedControlChars": "true", "allowBackslashEscapingAnyCharacter": "true", "maxStringLen": str((1 << 31) - 1)}
+    return F.from_json(F.concat(F.lit('{"s":"'), raw, F.lit('"}')), "s string", options)["s"]
+
+
 def numbered(text: Column, most: int = 10) -> Column:
     """Entries of a numbered list."""
     return F.slice(F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^\s*[0-9]+[.)]\s*(.+)$"), F.lit(1)), F.trim), 1, most)

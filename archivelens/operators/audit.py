@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from archivelens.functions import blocks, paths
+from archivelens.functions import paths
+from archivelens.operators import containment
 
 
 def keyword_frequency(files: DataFrame, stopwords: DataFrame | None = None, most: int = 50, noise: Column | None = None) -> DataFrame:
@@ -22,18 +23,15 @@ def keyword_frequency(files: DataFrame, stopwords: DataFrame | None = None, most
     return counts.orderBy(F.desc("n"), "word").limit(most)
 
 
-def entity_frequency(texts: DataFrame, entities: DataFrame, block: int = 500) -> DataFrame:
-    """How many texts (text) hold each entity (name, two characters or more), lower-cased.
+def entity_frequency(texts: DataFrame, entities: DataFrame) -> DataFrame:
+    """How many texts (text) hold each entity (name, two characters or more), whatever the case.
 
-    Entities are dealt in blocks of a bounded size; each text meets every block and reports the
-    entities found, so rows are only made for what occurs.
+    Names are looked up by their rarest grams, so rows are only made for what may occur. Null names and texts
+    take no part; repeated texts count each.
     """
     names = entities.select("name").filter(F.length("name") >= 2).distinct()
-    n = max(1, -(-names.count() // block))
-    held = names.withColumn("block", F.pmod(F.xxhash64("name"), F.lit(n)).cast("int")).groupBy("block").agg(F.collect_list("name").alias("names"))
-    rows = blocks.meet(texts.select(F.lower("text").alias("text")), held, n)
-    found = rows.select(F.explode(F.filter("names", lambda e: F.contains(F.col("text"), F.lower(e)))).alias("name"))
-    return names.join(found.groupBy("name").agg(F.count(F.lit(1)).alias("texts")), "name", "left").na.fill(0, ["texts"])
+    found = containment.matches(texts.select("text"), "text", names.select(F.col("name").alias("keyword"))).groupBy("matched").agg(F.count(F.lit(1)).alias("texts"))
+    return names.join(found, F.lower("name") == F.col("matched"), "left").select("name", F.coalesce("texts", F.lit(0)).alias("texts"))
 
 
 def mention_audit(texts: DataFrame, entities: DataFrame, allowed: DataFrame) -> DataFrame:

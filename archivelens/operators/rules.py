@@ -11,31 +11,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from archivelens.functions import blocks
 from archivelens.functions.text import clamp
+from archivelens.operators import containment
 
-#: Rules that one task holds; more are dealt in blocks, so what is sent never grows beyond this.
-BLOCK = 2000
+#: Columns of a rule.
+RULE = ("rule_set", "label", "keyword", "field", "weight", "rule_order")
 
 
 def hits(docs: DataFrame, rules: DataFrame, fields: Sequence[str] = ("name", "text")) -> DataFrame:
-    """The rows of docs beside each rule whose keyword occurs in the rule's field (lower-cased).
+    """The rows of docs beside each rule whose keyword occurs in the rule's field, whatever its case.
 
-    Containment can't be an equality, so every document meets every block of rules.
+    Rules can be many: keywords are looked up by their rarest grams (``containment``). Null and empty keywords
+    occur nowhere, a null field holds nothing; repeated rules give a row each.
     """
-    n = max(1, -(-rules.count() // BLOCK))
-    held = rules.withColumn("block", F.pmod(F.xxhash64("rule_set", "label", "keyword", "field"), F.lit(n)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("rule_set", "label", "keyword", "field", "weight", "rule_order")).alias("rules"))
-    rows = blocks.meet(docs, held, n)
-
-    def found(r: Column) -> Column:
-        out = F.lit(False)
-        for field in fields:
-            out = out | ((r["field"] == field) & F.contains(F.lower(F.col(field)), F.lower(r["keyword"])))
-        return F.coalesce(out, F.lit(False))
-
-    # the matching rules are picked inside the row, so a document without any leaves no rows
-    rows = rows.withColumn("rule", F.explode(F.filter("rules", found))).drop("rules")
-    return rows.select(*docs.columns, "rule.rule_set", "rule.label", "rule.keyword", "rule.field", "rule.weight", "rule.rule_order")
+    out = None
+    used = [r["field"] for r in rules.select("field").distinct().collect() if r["field"] in fields]  # one of ``fields`` each
+    for field in sorted(used) or list(fields)[:1]:
+        own = rules.filter(F.col("field") == field).select(F.lower("keyword").alias("__word"), F.struct(*RULE).alias("__rule"))
+        met = containment.matches(docs, field, own.select(F.col("__word").alias("keyword")))
+        found = met.join(own, F.col("matched") == F.col("__word")).select(*docs.columns, "__rule.*")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def token_hits(docs: DataFrame, rules: DataFrame, field: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from archivelens.functions import paths
+from archivelens.functions import names, paths
 from archivelens.functions.text import clamp, created_recency, recency
 
 #: Points of an extension as a deliverable (own choice).
@@ -70,10 +70,9 @@ def deliverable(docs: DataFrame, words: Words = Words()) -> DataFrame:  # noqa:
 
 
 def filename_signal(name: Column, words: Words = Words()) -> Column:  # noqa: B008
-    """Core +8, final +12, version +4 and major (10 at most), negative -18; within 25 either way."""
-    major = F.regexp_extract(F.lower(name), r"v(\d{1,2})", 1)
-    version = F.when(major != "", F.least(F.lit(10), F.lit(4) + F.nullif(major, F.lit("")).cast("int"))).otherwise(0)
-    score = F.when(has(F.lower(name), words.core), 8).otherwise(0) + F.when(has(F.lower(name), words.final), 12).otherwise(0) + version - F.when(has(F.lower(name), words.negative), 18).otherwise(0)
+    """Core +8, final +12, version 4 and its major number and 1 for a minor one (10 at most), negative -18;
+    within 25 either way."""
+    score = F.when(has(F.lower(name), words.core), 8).otherwise(0) + F.when(has(F.lower(name), words.final), 12).otherwise(0) + names.version_points(paths.stem(name), 4) - F.when(has(F.lower(name), words.negative), 18).otherwise(0)
     return clamp(score, -25, 25).cast("int")
 
 
@@ -84,8 +83,7 @@ def document_value(docs: DataFrame, as_of: Column, words: Words = Words()) -> Da
     name, folder = F.lower(paths.name(F.col("path"))), F.lower(paths.parent(F.col("path")))
     days = F.datediff(as_of, F.col("modified_at"))
     fresh = F.when(days <= 30, 15).when(days <= 90, 10).otherwise(0)
-    major = F.regexp_extract(name, r"v(\d{1,2})", 1)
-    marks = F.when(has(name, words.final), 8).when(major != "", F.least(F.lit(10), F.lit(5) + F.nullif(major, F.lit("")).cast("int"))).otherwise(0)
+    marks = F.greatest(F.when(has(name, words.final), 8).otherwise(0), names.version_points(paths.stem(F.col("path")), 5))
     place = clamp(F.when(has(folder, words.folder_good), 5).otherwise(0) - F.when(has(folder, words.folder_bad), 5).otherwise(0), -10, 10)
     noise = F.when(F.col("deliverable") <= -9999, 30).when(has(name, words.strong), 15).otherwise(0)
     normal = clamp(F.col("deliverable") * 2)
@@ -95,19 +93,37 @@ def document_value(docs: DataFrame, as_of: Column, words: Words = Words()) -> Da
 
 
 def representatives(families: DataFrame, keys: list[str], words: Words = Words(), top: int = 3, support: int = 5) -> DataFrame:  # noqa: B008
-    """role of each document (value, family, rank in its family, path, modified_at) in its group:
-    of the latest of each family, the first ``top`` with an adjusted value of 80 and no negative word
-    are representative, the next ``support`` with 50 support; the rest, and older members, reference."""
+    """role of each document (value, family, rank in its family, path, modified_at) in its group.
+
+    Candidates are the latest of each family and its first older member that has a version or final mark and no
+    negative word. Without a negative word, the first ``top`` candidates with an adjusted value of 80 are
+    representative, the next ``support`` with 50 support; all others are reference. They come in order of
+    adjusted value, day of change, deliverable points (if there are such), signal (all descending) and path.
+    """
+    stem = paths.stem(F.coalesce("path", F.lit("")))
     rows = families.withColumn("signal", filename_signal(paths.name(F.col("path")), words)).withColumn("adjusted", clamp(F.col("value") + F.col("signal")).cast("int"))
-    low = has(F.lower(paths.name(F.col("path"))), words.negative)
-    grade = F.when(F.col("rank") > 1, 3).when((F.col("adjusted") >= 80) & ~low, 1).when(F.col("adjusted") >= 50, 2).otherwise(3)
+    low = F.coalesce(has(F.lower(stem), words.negative), F.lit(False))
+    marked = names.version(stem).isNotNull() | has(F.lower(stem), words.final)
+    older = F.when((F.col("rank") > 1) & ~low & marked, F.col("rank"))
+    second = rows.groupBy(*keys, "family").agg(F.min(older).alias("second"))
+    same = F.lit(True)
+    for k in (*keys, "family"):
+        same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}"))
+    rows = rows.alias("r").join(second.alias("s"), same).select("r.*", "s.second")
+    candidate = (F.col("rank") == 1) | F.coalesce(F.col("rank") == F.col("second"), F.lit(False))
+    grade = F.when(~candidate | low, 3).when(F.col("adjusted") >= 80, 1).when(F.col("adjusted") >= 50, 2).otherwise(3)
     rows = rows.withColumn("grade", grade)
-    order = [F.desc("adjusted"), F.desc_nulls_last("modified_at"), F.desc("signal"), "path"]
+    more = [F.desc("deliverable")] if "deliverable" in families.columns else []
+    order = [F.desc("adjusted"), F.desc_nulls_last(F.to_date("modified_at")), *more, F.desc("signal"), F.col("path")]
     rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys, "grade").orderBy(*order)))
-    spare = F.greatest(F.count_if(F.col("grade") == 1).over(Window.partitionBy(*keys)) - top, F.lit(0))
-    at = F.when(F.col("grade") == 1, F.col("place") - top).otherwise(F.col("place") + spare)
+    first = rows.filter("grade = 1").groupBy(*keys).agg(F.count(F.lit(1)).alias("firsts"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"f.{k}"))
+    rows = rows.alias("r").join(first.alias("f"), same, "left").select("r.*", F.coalesce("f.firsts", F.lit(0)).alias("firsts"))
+    at = F.when(F.col("grade") == 1, F.col("place") - top).otherwise(F.col("place") + F.greatest(F.col("firsts") - top, F.lit(0)))
     role = F.when((F.col("grade") == 1) & (F.col("place") <= top), "representative").when((F.col("grade") <= 2) & (at <= support), "support").otherwise("reference")
-    return rows.withColumn("role", role).drop("grade", "place")
+    return rows.withColumn("role", role).drop("grade", "place", "second", "firsts")
 
 
 def project_cap(docs: DataFrame, project: Column, most: int = 30) -> DataFrame:

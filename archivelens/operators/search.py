@@ -14,10 +14,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from archivelens.functions import blocks, scratch, similarity, text
+from archivelens.functions import ranking, scratch, similarity, text
+from archivelens.operators import containment
 
 #: Least similarity of a vector hit, vector hits, and candidates of a query.
 FLOOR, NEAREST, MOST = 0.3, 12, 16
+#: Tasks over which the rows that meet one block of queries are dealt where there are many blocks.
+SALTS = 64
 
 
 def majority_size(chunks: DataFrame) -> DataFrame:
@@ -59,8 +62,8 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int, floor: float | None =
     if ask.count() <= sent:
         met = held.join(F.broadcast(ask), ["scope", "dim"])
     else:
-        lent = ask.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(blocks.SALTS - 1)).cast("array<bigint>")))
-        met = held.withColumn("salt", F.pmod("block", F.lit(blocks.SALTS))).join(lent, ["scope", "dim", "salt"])
+        lent = ask.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+        met = held.withColumn("salt", F.pmod("block", F.lit(SALTS))).join(lent, ["scope", "dim", "salt"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,19 +109,14 @@ def indexed_terms(terms: DataFrame, tokens: DataFrame) -> DataFrame:
     return terms.join(tokens.select(F.col("token").alias("term")).distinct(), "term", "left_semi")
 
 
-def term_hits(terms: DataFrame, chunks: DataFrame, target: str, name: str, block: int = 500) -> DataFrame:
-    """query_id, chunk_id, ``name``: how many terms of a query occur in a column (D10 containment).
+def term_hits(terms: DataFrame, chunks: DataFrame, target: str, name: str) -> DataFrame:
+    """query_id, chunk_id, ``name``: how many (lower-cased) terms of a query occur in a column.
 
-    Queries are dealt in blocks of a bounded size; each chunk meets every block and keeps the queries
-    that it holds a term of, so rows are only made for hits.
+    Terms are looked up by their rarest grams (``containment``), those of all queries at once.
     """
-    lists = terms.groupBy("query_id").agg(F.sort_array(F.collect_set("term")).alias("terms"))
-    n = max(1, -(-lists.count() // block))
-    held = lists.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("query_id", "terms")).alias("all"))
-    met = blocks.meet(chunks.select("chunk_id", F.lower(F.col(target)).alias("target")), held, n)
-    found = F.transform("all", lambda q: F.struct(q["query_id"].alias("query_id"), F.size(F.filter(q["terms"], lambda t: F.contains(F.col("target"), t))).alias("hits")))
-    flat = met.select("chunk_id", F.explode(F.filter(found, lambda q: q["hits"] > 0)).alias("q"))
-    return flat.select("q.query_id", "chunk_id", F.col("q.hits").alias(name))
+    found = containment.matches(chunks.select("chunk_id", target), target, terms.select(F.col("term").alias("keyword")))
+    asked = terms.select("query_id", F.col("term").alias("matched")).distinct()
+    return found.join(asked, "matched").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).cast("int").alias(name))
 
 
 def exact_name_hits(source_terms: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -240,15 +238,30 @@ def keyword_summary(hits: DataFrame, least: int = 10, most: int = 80) -> DataFra
 
 
 def date_ranking(query_text: Column, chunks: DataFrame, queries: DataFrame, default: int = 5) -> DataFrame:
-    """for date-ranking queries, the latest sources; n is the first number in the query, else 5."""
-    wanted = queries.select("query_id", F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(query_text, r"([0-9]+)", 1), F.lit("")), F.lit("999")).cast("int"), F.lit(default)).alias("n"), F.lit(0).alias("one"))
+    """for date-ranking queries, the latest sources; n is the first number in the query, else 5. A number of
+    any length counts; one beyond all sources gives them all. Many sources are ranked by many tasks."""
+    digits = F.nullif(F.regexp_extract(query_text, r"([0-9]+)", 1), F.lit(""))
+    all_ = F.lit((1 << 31) - 1)
+    number = F.when(digits.isNull(), default).otherwise(F.least(F.coalesce(digits.try_cast("long"), all_.cast("long")), all_)).cast("int")
+    wanted = queries.select("query_id", number.alias("n"), F.lit(0).alias("one"))
     latest = chunks.groupBy("source_path").agg(F.max("modified_at").alias("modified_at"))
-    most = wanted.agg(F.max("n")).head()[0] or 0
-    top = latest.orderBy(F.desc_nulls_last("modified_at"), "source_path").limit(most)  # as many as any query asks for
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("modified_at"), "source_path"))).withColumn("one", F.lit(0))
+    most = wanted.agg(F.max("n")).head()[0] or 0  # one number
+    top = latest.orderBy(F.desc_nulls_last("modified_at"), "source_path").limit(most).withColumn("one", F.lit(0))
+    ranked = ranking.placed(top, ["one"], [F.desc_nulls_last("modified_at"), F.col("source_path")])
     return wanted.join(ranked, "one").filter("rank <= n").select("query_id", "source_path", "modified_at", "rank")
 
 
+def best_name_match(rows: DataFrame, fillers: Sequence[str] = similarity.FILLERS) -> DataFrame:
+    """H7: query_id, name_match: the best match of a query (text) among the names (file_name) of its rows: 1 if
+    either key holds the other, else the greatest sequence ratio; 0 without a key. Each two keys are compared once."""
+    keyed = rows.select("query_id", similarity.name_key(F.col("text"), fillers).alias("q"), similarity.name_key(F.col("file_name"), fillers).alias("n"))
+    pairs = keyed.select("q", "n").filter("q <> '' and n <> ''").distinct()
+    inside = F.contains("q", F.col("n")) | F.contains("n", F.col("q"))
+    apart = pairs.filter(~inside)
+    scored = pairs.filter(inside).withColumn("ratio", F.lit(1.0)).unionByName(apart.withColumn("ratio", similarity.seq_ratio("q", "n")))
+    return keyed.join(scored, ["q", "n"], "left").groupBy("query_id").agg(F.coalesce(F.max("ratio"), F.lit(0.0)).alias("name_match"))
+
+
 def split_compound(queries: DataFrame, conjunctions: Sequence[str], endings: Sequence[str]) -> DataFrame:
     """H6: query_id, part_no, part: a query that has a conjunction and ends as a request, in parts."""
     low = F.lower("text")

@@ -171,16 +171,6 @@ def version_dedup(spark: SparkSession, d: str) -> DataFrame:
     return dedup.versions(files.withColumn("path", path)).select("path", "version_key", "rank", "winner")
 
 
-STEM = "lower(left(name, length(name) - length(ext)))"
-FAMILY = f"CASE WHEN regexp_replace({STEM}, '{dedup.VERSION_TAIL}', '') = '' THEN {STEM} ELSE regexp_replace({STEM}, '{dedup.VERSION_TAIL}', '') END"
-
-
-@query(f"""WITH {FILES}, own AS (SELECT *, {FAMILY} AS family, {STEM} AS stem FROM files)
-SELECT path, family, row_number() OVER (PARTITION BY family ORDER BY (doc_id % 3 + 1) DESC, modified_at::DATE DESC, (stem = family)::INT DESC, path)::INT AS rank FROM own""")
-def families(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.families(A.files(spark, d)).select("path", "family", "rank")
-
-
 @query("""WITH chunks AS (SELECT e.event_id, user_id % 3 AS package_index, TIMESTAMP '2024-02-01' + to_days((user_id % 3)::INT) AS package_created_at,
   CASE WHEN event_id % 11 = 0 THEN 'memo:' || (event_id % 5) WHEN event_id % 13 = 0 THEN NULL ELSE 'p/' || user_id END AS source_path, date_trunc('day', ts) AS modified_at FROM events e),
 best AS (SELECT source_path, max(row(modified_at, package_created_at, package_index)) AS b FROM chunks WHERE source_path NOT LIKE 'memo:%' GROUP BY source_path)

@@ -157,24 +157,32 @@ def looked_up(spark: SparkSession, d: str) -> DataFrame:
     return rules.look_up(rows, table, -1)
 
 
-def _deliveries(spark: SparkSession, d: str, again: bool = False) -> DataFrame:
-    """A stream of the events in several deliveries, times and keys mixed over them, so that rows come late;
-    with ``again`` some events are delivered twice."""
-    events = A.table(spark, d, "events")
-    if again:
-        events = events.unionByName(events.filter("event_id % 3 = 0"))
+def _stream(spark: SparkSession, parts: list[DataFrame], files: int = 2) -> DataFrame:
+    """A stream of rows in deliveries, one a batch, in order."""
     path = scratch.new_path(spark, "deliveries")
-    events.repartition(4, F.xxhash64("event_id", F.rand(5))).write.parquet(path)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    for k, part in enumerate(parts):
+        part.repartition(files, F.xxhash64("event_id")).write.parquet(f"{path}/{k}")  # files come in order of time
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", True).parquet(path)
+
+
+def _deliveries(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of the events in four deliveries, times and keys mixed over them, so that rows come late."""
+    events = A.table(spark, d, "events")
+    return _stream(spark, [events.filter(F.pmod(F.xxhash64("event_id"), F.lit(4)) == k) for k in range(4)])
 
 
-@query("""SELECT date_trunc('day', ts) AS day, event_type, count(*) AS events FROM events GROUP BY ALL""")
+@query("""WITH e AS (SELECT *, date_trunc('day', ts) AS day FROM events),
+marks AS (SELECT max(ts) FILTER (event_id % 5 < 3) - to_days(2) AS first, max(ts) - to_days(2) AS last FROM events),
+taken AS (SELECT e.*, last FROM e, marks WHERE event_id % 5 < 4 OR day + to_days(1) > first)
+SELECT day::TIMESTAMP AS day, event_type, count(*) AS events FROM taken WHERE day + to_days(1) <= last GROUP BY ALL""")
 def stream_activity(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch.new_path(spark, "activity")
-    days = streams.activity(_deliveries(spark, d).withColumn("ts", F.col("ts").cast("timestamp")), ["event_type"])
-    save = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/table/last")
-    days.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/table/last").select(F.col("day").cast("timestamp_ntz").alias("day"), "event_type", "events")
+    """Three deliveries over the same days: what the last brings for days that were closed by the first is too late
+    (a batch tells late rows by the watermark that the batch before it began with)."""
+    path, k = scratch.new_path(spark, "activity"), F.col("event_id") % 5
+    events = A.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = _stream(spark, [events.filter(k < 3), events.filter(k == 3), events.filter(k == 4)])
+    streams.append_activity(stream, ["event_type"], f"{path}/table", f"{path}/progress").awaitTermination()
+    return spark.read.schema("day timestamp, event_type string, events long").parquet(f"{path}/table").select(F.col("day").cast("timestamp_ntz").alias("day"), "event_type", "events")
 
 
 @query("""SELECT user_id AS source_path, event_id AS version, ts AS modified_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""")
@@ -187,8 +195,13 @@ def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, user_id FROM events")
 def stream_once(spark: SparkSession, d: str) -> DataFrame:
+    """Deliveries of six days each that repeat a third of the one before; state lasts for 13 days."""
     path = scratch.new_path(spark, "once")
-    rows = streams.once(_deliveries(spark, d, again=True).withColumn("ts", F.col("ts").cast("timestamp")), late="4000 days")
+    events = A.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    part = F.floor(F.dayofyear("ts") / 6)
+    bounds = events.agg(F.min(part).alias("a"), F.max(part).alias("b")).head()
+    parts = [events.filter(part == k).unionByName(events.filter((part == k - 1) & (F.col("event_id") % 3 == 0))) for k in range(bounds["a"], bounds["b"] + 2)]
+    rows = streams.once(_stream(spark, parts), late="13 days")
     rows.select("event_id", "user_id").writeStream.format("parquet").option("path", f"{path}/table").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("event_id long, user_id long").parquet(f"{path}/table")
 

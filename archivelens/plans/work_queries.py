@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivelens.functions import paths
+from archivelens.functions import names, paths
 from archivelens.operators import audit, cluster, comms, dedup, rules, scoring
 from archivelens.plans.catalog_queries import NOW
 from archivelens.plans.catalog_queries import query as _query
@@ -86,21 +86,45 @@ def _has(target: str, words: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"contains({target}, '{w}')" for w in words) + ")"
 
 
+#: Names as people give them: states, dates, versions of any length, copies, and look-alikes of versions.
+KINDS = (
+    "final_report {b}", "draft_plan {b}", "sample {b}", "contract {b}_v5", "meeting_note {b}", "old_review {b}", "design {b}_final", "data {b}",
+    "2026-06-01 plan {b}", "plan {b}_version3", "plan_{b}_v20251231235959", "serv3r {b}", "contract {b} v5.10", "contract {b} ver 5.9", "plan {b}-copy", "plan {b} final_kim",
+)
+
+
 def _named(spark: SparkSession, d: str) -> DataFrame:
-    """Files under telling names: kinds of documents by id."""
-    kinds = ("final_report", "draft_plan", "sample", "contract_v5", "meeting_note", "old_review", "design_final", "data")
-    kind = F.element_at(F.array(*map(F.lit, kinds)), (F.col("doc_id") % 8 + 1).cast("int"))
+    """Files under telling names (several of a family), each in a folder of its own."""
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("doc_id") % 16 + 1).cast("int"))
     folder = F.element_at(F.array(F.lit("project"), F.lit("backup"), F.lit("misc")), (F.col("doc_id") % 3 + 1).cast("int"))
     ext = F.element_at(F.array(F.lit(".docx"), F.lit(".pdf"), F.lit(".md"), F.lit(".xlsx"), F.lit(".tmp")), (F.col("doc_id") % 5 + 1).cast("int"))
-    name = F.concat(kind, F.lit("_"), F.col("doc_id"), ext)
+    name = F.concat(F.replace(kind, F.lit("{b}"), F.concat(F.lit("b"), F.expr("doc_id div 16 % 40"))), ext)
     files = A.files(spark, d, text=True)
-    return files.withColumn("name", name).withColumn("path", F.concat_ws("/", paths.top(F.col("path")), folder, name))
+    return files.withColumn("name", name).withColumn("path", F.concat_ws("/", paths.top(F.col("path")), folder, F.concat(F.lit("d"), "doc_id"), name))
+
+
+#: Version of a lower-cased stem as numbers, its points, and a stem's family, for names in ASCII.
+_VERSIONS = r"regexp_extract_all(low_stem, '(?:^|[^a-z0-9])v(?:er(?:sion)?)?\.?\s*([0-9]+(?:\.[0-9]+)*)\b', 1)"
+VERSION = f"list_sort(list_transform({_VERSIONS}, lambda v: list_transform(string_split(v, '.'), lambda n: n::HUGEINT)), 'DESC')[1]"
+
+
+def _points(base: int) -> str:
+    return f"CASE WHEN version IS NULL THEN 0 ELSE least(10, version[1] + {base} + (len(version) > 1)::INT) END"
+
 
+def _family(stem: str) -> str:
+    out = stem
+    word = r"(^|[_\-\s])(?:final|copy|old|backup|draft|sample)(?:[_\-\s]|$)"
+    for pattern, instead in ((r"(^|[^0-9])(?:19|20)[0-9]{2}[-_.]?[0-9]{2}[-_.]?[0-9]{2}($|[^0-9])", r"\1\2"), (r"(?:^|[_\-\s])v(?:er(?:sion)?)?\.?\s*[0-9]+(?:\.[0-9]+)*\b", " "), (word, " "), (word, " "), (r"[_\-\s]+(?:member|leader|manager|admin)$", ""), (r"[_\-\s]+", " ")):
+        out = f"regexp_replace({out}, '{pattern}', '{instead}', 'gi')"
+    return f"coalesce(nullif(trim({out}), ''), {stem})"
 
-NAMED = f"""{FILES}, named AS (SELECT doc_id, text, top, modified_at, created_at, size_bytes, name, top || '/' || folder || '/' || name AS path, lower(top || '/' || folder) AS low_folder, lower(name) AS low_name, ext FROM (
-  SELECT * REPLACE (kind || '_' || doc_id || ext2 AS name, ext2 AS ext) FROM (SELECT *, list_value('final_report', 'draft_plan', 'sample', 'contract_v5', 'meeting_note', 'old_review', 'design_final', 'data')[(doc_id % 8 + 1)::INT] AS kind,
-    list_value('project', 'backup', 'misc')[(doc_id % 3 + 1)::INT] AS folder, list_value('.docx', '.pdf', '.md', '.xlsx', '.tmp')[(doc_id % 5 + 1)::INT] AS ext2 FROM files))),
-days AS (SELECT *, date_diff('day', modified_at::DATE, {NOW}::DATE) AS m, date_diff('day', created_at::DATE, {NOW}::DATE) AS c FROM named),
+
+NAMED = f"""{FILES}, named AS (SELECT *, lower(top || '/' || folder || '/d' || doc_id) AS low_folder, lower(name) AS low_name, left(name, length(name) - length(ext)) AS stem, lower(left(name, length(name) - length(ext))) AS low_stem FROM (
+  SELECT doc_id, text, top, folder, modified_at, created_at, size_bytes, ext2 AS ext, name2 AS name, top || '/' || folder || '/d' || doc_id || '/' || name2 AS path FROM (SELECT *, replace(kind, '{{b}}', 'b' || (doc_id // 16 % 40)) || ext2 AS name2 FROM (
+    SELECT *, list_value({", ".join(f"'{k}'" for k in KINDS)})[(doc_id % 16 + 1)::INT] AS kind,
+      list_value('project', 'backup', 'misc')[(doc_id % 3 + 1)::INT] AS folder, list_value('.docx', '.pdf', '.md', '.xlsx', '.tmp')[(doc_id % 5 + 1)::INT] AS ext2 FROM files)))),
+days AS (SELECT *, {VERSION} AS version, date_diff('day', modified_at::DATE, {NOW}::DATE) AS m, date_diff('day', created_at::DATE, {NOW}::DATE) AS c FROM named),
 relevant AS (SELECT *, greatest(0, least(100, CASE WHEN {_has("low_name", W.exclude)} THEN 3 WHEN {_has("low_name", W.high)} THEN 90 WHEN {_has("low_name", W.medium)} THEN 60 ELSE 45 END
   + CASE WHEN {_has("low_folder", W.folder_bad)} THEN -15 WHEN {_has("low_folder", W.folder_good)} THEN 25 ELSE 0 END
   + least(10, 2 * ({" + ".join(f"contains(lower(text), '{w}')::INT" for w in W.content)}))))::INT AS relevance FROM days),
@@ -109,7 +133,7 @@ finals AS (SELECT *, greatest(0, least(100, trunc(relevance * 0.7::DOUBLE)::INT
 delivered AS (SELECT *, CASE WHEN ext = '.tmp' THEN -9999 ELSE CASE ext WHEN '.docx' THEN 30 WHEN '.pdf' THEN 32 WHEN '.md' THEN 12 WHEN '.xlsx' THEN 28 ELSE 0 END + CASE WHEN {_has("low_name", W.bonus)} THEN 20 ELSE 0 END
   - CASE WHEN {_has("low_name", W.strong)} THEN 30 WHEN {_has("low_name", W.weak)} THEN 15 ELSE 0 END END::INT AS deliverable FROM finals),
 valued AS (SELECT *, greatest(0, least(100, round_even(relevance * 0.45::DOUBLE, 0) + round_even(greatest(0, least(100, deliverable * 2)) * 0.2::DOUBLE, 0) + CASE WHEN m <= 30 THEN 15 WHEN m <= 90 THEN 10 ELSE 0 END
-  + CASE WHEN {_has("low_name", W.final)} THEN 8 WHEN regexp_extract(low_name, 'v([0-9]{{1,2}})', 1) <> '' THEN least(10, 5 + regexp_extract(low_name, 'v([0-9]{{1,2}})', 1)::INT) ELSE 0 END
+  + greatest(CASE WHEN {_has("low_name", W.final)} THEN 8 ELSE 0 END, {_points(5)})
   + CASE WHEN {_has("low_folder", W.folder_good)} THEN 5 ELSE 0 END - CASE WHEN {_has("low_folder", W.folder_bad)} THEN 5 ELSE 0 END
   - CASE WHEN deliverable <= -9999 THEN 30 WHEN {_has("low_name", W.strong)} THEN 15 ELSE 0 END))::INT AS value FROM delivered)"""
 
@@ -130,16 +154,32 @@ def document_value(spark: SparkSession, d: str) -> DataFrame:
 
 
 SIGNAL = f"""greatest(-25, least(25, CASE WHEN {_has("low_name", W.core)} THEN 8 ELSE 0 END + CASE WHEN {_has("low_name", W.final)} THEN 12 ELSE 0 END
-  + CASE WHEN regexp_extract(low_name, 'v([0-9]{{1,2}})', 1) <> '' THEN least(10, 4 + regexp_extract(low_name, 'v([0-9]{{1,2}})', 1)::INT) ELSE 0 END - CASE WHEN {_has("low_name", W.negative)} THEN 18 ELSE 0 END))"""
+  + {_points(4)} - CASE WHEN {_has("low_name", W.negative)} THEN 18 ELSE 0 END))"""
+
+
+#: Families ranked by final mark, version, day, value, base name, no mark of a copy, and path.
+RANKED = f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY contains(low_stem, 'final') DESC, version DESC NULLS LAST, modified_at::DATE DESC, value DESC,
+  (regexp_replace(low_stem, '[_\\-\\s]+', '', 'g') = lower(regexp_replace(family, '[_\\-\\s]+', '', 'g'))) DESC, {_has("low_stem", names.DERIVED)}, path)::INT AS rank FROM (SELECT *, {_family("stem")} AS family FROM valued))"""
+
+
+@query(f"WITH {NAMED}, {RANKED} SELECT path, family, rank FROM ranked")
+def families(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.families(scoring.document_value(_named(spark, d), A.as_of())).select("path", "family", "rank")
+
+
+@query(f"WITH {NAMED}, {RANKED} SELECT path, CASE WHEN rank <= 2 THEN 'primary' ELSE 'obsolete' END AS role FROM ranked")
+def version_cap(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.cap_versions(scoring.document_value(_named(spark, d), A.as_of())).select("path", "role")
 
 
-@query(f"""WITH {NAMED}, signals AS (SELECT *, {SIGNAL} AS signal, doc_id % 4 = 0 AS older FROM valued),
-graded AS (SELECT *, greatest(0, least(100, value + signal)) AS adjusted FROM signals),
-g AS (SELECT *, CASE WHEN older THEN 3 WHEN adjusted >= 80 AND NOT {_has("low_name", W.negative)} THEN 1 WHEN adjusted >= 50 THEN 2 ELSE 3 END AS grade FROM graded),
-p AS (SELECT *, row_number() OVER (PARTITION BY top, grade ORDER BY adjusted DESC, modified_at DESC, signal DESC, path) AS place, greatest(count(*) FILTER (grade = 1) OVER (PARTITION BY top) - 3, 0) AS spare FROM g)
+@query(f"""WITH {NAMED}, {RANKED}, signals AS (SELECT *, {SIGNAL} AS signal, {_has("low_stem", W.negative)} AS low FROM ranked),
+seconds AS (SELECT top, family, min(rank) AS second FROM signals WHERE rank > 1 AND NOT low AND (version IS NOT NULL OR {_has("low_stem", W.final)}) GROUP BY ALL),
+graded AS (SELECT s.*, greatest(0, least(100, value + signal)) AS adjusted, s.rank = 1 OR s.rank IS NOT DISTINCT FROM c.second AS candidate FROM signals s LEFT JOIN seconds c ON s.top = c.top AND s.family = c.family),
+g AS (SELECT *, CASE WHEN NOT candidate OR low THEN 3 WHEN adjusted >= 80 THEN 1 WHEN adjusted >= 50 THEN 2 ELSE 3 END AS grade FROM graded),
+p AS (SELECT *, row_number() OVER (PARTITION BY top, grade ORDER BY adjusted DESC, modified_at::DATE DESC, deliverable DESC, signal DESC, path) AS place, greatest(count(*) FILTER (grade = 1) OVER (PARTITION BY top) - 3, 0) AS spare FROM g)
 SELECT path, top, adjusted::INT AS adjusted, CASE WHEN grade = 1 AND place <= 3 THEN 'representative' WHEN grade = 1 AND place <= 8 THEN 'support' WHEN grade = 2 AND place + spare <= 5 THEN 'support' ELSE 'reference' END AS role FROM p""")
 def representatives(spark: SparkSession, d: str) -> DataFrame:
-    docs = scoring.document_value(_named(spark, d), A.as_of()).withColumn("top", paths.top(F.col("path"))).withColumn("rank", F.when(F.col("doc_id") % 4 == 0, 2).otherwise(1))
+    docs = dedup.families(scoring.document_value(_named(spark, d), A.as_of())).withColumn("top", paths.top(F.col("path")))
     return scoring.representatives(docs, ["top"]).select("path", "top", "adjusted", "role")
 
 
@@ -150,7 +190,7 @@ def project_cap(spark: SparkSession, d: str) -> DataFrame:
     return scoring.project_cap(docs, paths.top(F.col("path"))).select("path", "project", "rank", "reason")
 
 
-@query(f"""WITH {NAMED}, g AS (SELECT top AS project, count(*) AS docs, min(m) AS days, count(*) FILTER (deliverable >= 30) AS deliverables, count(DISTINCT ext) AS exts, 3 AS depth, count(*) FILTER (m <= 30) AS active FROM delivered GROUP BY top)
+@query(f"""WITH {NAMED}, g AS (SELECT top AS project, count(*) AS docs, min(m) AS days, count(*) FILTER (deliverable >= 30) AS deliverables, count(DISTINCT ext) AS exts, 4 AS depth, count(*) FILTER (m <= 30) AS active FROM delivered GROUP BY top)
 SELECT project, docs, deliverables, exts, depth::INT AS depth, active, least(100, CASE WHEN days <= 30 THEN 30 WHEN days <= 90 THEN 20 ELSE 0 END + CASE WHEN docs >= 20 THEN 20 WHEN docs >= 10 THEN 10 WHEN docs >= 3 THEN 5 ELSE 0 END
   + CASE WHEN deliverables >= 5 THEN 15 WHEN deliverables >= 3 THEN 10 WHEN deliverables >= 1 THEN 5 ELSE 0 END + least(15, exts * 3 + greatest(0, depth - 3) * 2) + CASE WHEN active > 0 THEN 20 ELSE 0 END)::INT AS importance FROM g""")
 def project_importance(spark: SparkSession, d: str) -> DataFrame:

@@ -75,13 +75,17 @@ def join_members(rows: DataFrame) -> DataFrame:
 def embed(chunks: DataFrame, embedder: Callable[[list[str]], list[list[float]]], batch: int = BATCH, chars: int = BATCH_CHARS) -> DataFrame:
     """Chunks with embedding, or error, batch_no and a preview.
 
-    Batches hold at most ``batch`` items and ``chars`` characters. A batch that fails is halved until
-    single items fail; those become rows with their error, never exceptions.
+    Batches hold at most ``batch`` items and ``chars`` characters. A batch that fails, or for which as many vectors
+    as texts don't come back, is halved until single items fail; those become rows with their error, never
+    exceptions.
     """
 
     def run(texts: list[str]) -> list[tuple[list[float] | None, str | None]]:
         try:
-            return [(list(map(float, v)), None) for v in embedder(texts)]
+            found = [(list(map(float, v)), None) for v in embedder(texts)]
+            if len(found) != len(texts):
+                raise ValueError(f"{len(found)} vectors for {len(texts)} texts")
+            return found
         except Exception as e:  # noqa: BLE001
             if len(texts) == 1:
                 return [(None, f"{type(e).__name__}: {e}")]

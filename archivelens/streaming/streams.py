@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 
 def resumable(stream: DataFrame, handle: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, signature: str) -> StreamingQuery:
@@ -21,63 +25,111 @@ def resumable(stream: DataFrame, handle: Callable[[DataFrame], DataFrame], targe
 
 
 def latest_versions(rows: DataFrame) -> DataFrame:
-    """The newest version of each source_path by (modified_at, version)."""
-    order = Window.partitionBy("source_path").orderBy(F.desc_nulls_last("modified_at"), F.desc("version"))
-    return rows.withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n")
+    """The newest version of each source_path by (modified_at, version), nulls last; one maximum a path, so a path
+    with many versions is combined early."""
+    row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    at = F.struct(F.coalesce(F.unix_micros(F.col("modified_at").cast("timestamp")), F.lit(NEVER)).alias("at"), F.coalesce("version", F.lit(NEVER)).alias("version"))
+    return rows.groupBy("source_path").agg(F.max_by(row, at).alias("row")).select("row.*")
 
 
-#: Parts of an upserted table; a batch rewrites only the parts that it touches.
-BUCKETS = 32
+#: The time of a version that names none: before all others.
+NEVER = -(1 << 62)
+ARRIVAL = "__arrival"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def read_latest(spark: SparkSession, target: str, before: int | None = None) -> DataFrame:
-    """The table that ``upsert_latest`` keeps in ``target`` (as it was before a batch): the newest state of
-    each bucket."""
-    rows = spark.read.parquet(target)
-    rows = rows if before is None else rows.filter(F.col("batch") < before)
-    newest = rows.groupBy("bucket").agg(F.max("batch").alias("batch"))
-    return rows.join(F.broadcast(newest), ["bucket", "batch"], "left_semi").drop("bucket", "batch")  # a row for each bucket
+class LatestVersion(StatefulProcessor):
+    """Keeps the (modified_at, version) of the newest version that a path has had, and passes newer rows on.
 
-
-def upsert_latest(stream: DataFrame, target: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
-    """K2: keep the latest version of each path in ``target``; older versions that come late lose.
-
-    Paths are dealt to buckets by hash. A batch merges the buckets that it touches with their state before
-    it into folders under its own number, so a batch that is run again gives the same result, and removes
-    states that two newer ones have followed. ``read_latest`` reads the table.
+    With ``idle`` (milliseconds) a path that gets nothing new for so long, by the time of arrival, is forgotten by a
+    timer; should an old version of it come after that, it is passed on once more, which readers of the log aren't
+    misled by.
     """
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64("source_path"), F.lit(buckets)).cast("int")
-        rows = batch.withColumn("bucket", bucket)
-        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # ``buckets`` at most
-        where = spark._jvm.org.apache.hadoop.fs.Path(target)
-        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-        there = sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(where) if s.getPath().getName().startswith("batch=")) if fs.exists(where) else []
-        if any(n < number for n in there):
-            old = read_latest(spark, target, number).withColumn("bucket", bucket).filter(F.col("bucket").isin(touched))
-            rows = rows.unionByName(old)
-        latest_versions(rows).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/batch={number}")
-        for b in touched:
-            held = [n for n in there if n < number and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/batch={n}/bucket={b}"))]
-            for n in held[:-1]:  # the newest before this batch stays, in case it is run again
-                fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/batch={n}/bucket={b}"), True)
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def __init__(self, idle: int | None = None) -> None:
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.best = handle.getValueState("best", "at long, version long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        best = tuple(self.best.get()) if self.best.exists() else None
+        newest = None
+        for part in rows:
+            at = part["modified_at"].astype("datetime64[us]").astype("int64").where(part["modified_at"].notna(), NEVER)
+            version = part["version"].fillna(NEVER).astype("int64")
+            k = np.lexsort((version.to_numpy(), at.to_numpy()))[-1]
+            own = int(at.iloc[k]), int(version.iloc[k])
+            if best is None or own > best:
+                best, newest = own, part.iloc[[k]]
+        if newest is not None:
+            self.best.update(best)
+            if self.idle is not None:
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(int(time.time() * 1000) + self.idle)
+            yield newest.drop(columns=ARRIVAL, errors="ignore")
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.best.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def newer_versions(stream: DataFrame, idle: int | None = None) -> DataFrame:
+    """K2: the rows of a stream (source_path, modified_at, version: a whole number, any others) that are newer than
+    all their path had before, at most one a path and batch; older versions that come late lose."""
+    rows = stream.withColumn("version", F.col("version").cast("long"))
+    # rows are never late by their arrival, which the watermark, and so the timers, follow
+    timed = rows.withColumn(ARRIVAL, F.current_timestamp()).withWatermark(ARRIVAL, "0 seconds")
+    return timed.groupBy("source_path").transformWithStateInPandas(LatestVersion(idle), rows.schema, "Append", "EventTime")
+
+
+def upsert_latest(stream: DataFrame, target: str, checkpoint: str, idle: int | None = None) -> StreamingQuery:
+    """K2: append what is newer than before to the log in ``target``; ``read_latest`` reads the table. Nothing is
+    rewritten, and state is one small row a path, kept by RocksDB on the executors and in the checkpoint."""
+    spark = stream.sparkSession
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKS)  # a query keeps the settings it starts under
+    try:
+        return newer_versions(stream, idle).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+
+
+def read_latest(spark: SparkSession, target: str) -> DataFrame:
+    """The latest version of each path in the log that ``upsert_latest`` keeps."""
+    return latest_versions(spark.read.parquet(target))
 
 
 def activity(stream: DataFrame, keys: list[str], late: str = "2 days", window: str = "1 day") -> DataFrame:
-    """K3: events of each key a day, closed once the watermark has passed."""
+    """K3: events of each key a day. In append mode a day comes once the watermark (``late`` behind the latest
+    event) has passed its end; what comes for it after that is dropped and counted as late, and its state goes."""
     return stream.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), *keys).agg(F.count(F.lit(1)).alias("events")).select(F.col("w.start").alias("day"), *keys, "events")
 
 
+def append_activity(stream: DataFrame, keys: list[str], target: str, checkpoint: str, late: str = "2 days") -> StreamingQuery:
+    """K3: closed days appended to ``target``; a restart goes on where it stopped."""
+    return activity(stream, keys, late).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def state_progress(query: StreamingQuery) -> dict[str, int]:
+    """Rows that a query's stateful operators dropped as late, removed from state, and keep now, by its progress."""
+    steps = [op for p in query.recentProgress for op in p["stateOperators"]]
+    kept = query.lastProgress["stateOperators"] if query.lastProgress else []
+    return {"late": sum(op["numRowsDroppedByWatermark"] for op in steps), "removed": sum(op["numRowsRemoved"] for op in steps), "kept": sum(op["numRowsTotal"] for op in kept)}
+
+
 def sliding(days: DataFrame, keys: list[str], lengths: tuple[int, ...], as_of: Column) -> DataFrame:
-    """E7, E8 downstream of ``activity``: events of the last days of each length."""
+    """E7, E8 downstream of ``activity``: events of the last closed days of each length."""
     age = F.datediff(as_of, F.col("day"))
     return days.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when((age >= 0) & (age < n), F.col("events"))), F.lit(0)).alias(f"last_{n}d") for n in lengths])
 
 
 def once(stream: DataFrame, key: str = "event_id", late: str = "1 hour") -> DataFrame:
-    """K4: each delivery once, as long as repeats come within the watermark."""
+    """K4: each delivery once, as long as repeats come within the watermark; a key's state goes when it has passed."""
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])

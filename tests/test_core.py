@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from archivelens.functions import paths, similarity, text
+from archivelens.functions import names, paths, similarity, text
 from archivelens.operators import audit, catalog, chunking, cluster, comms, dedup, filters, graph, rules, scoring, search
 from archivelens.sources import packages
 from archivelens.streaming import streams
@@ -21,7 +21,7 @@ def day(n):
 
 def files(spark, rows):
     """(path, size, age in days) as files."""
-    made = [(p, p.split("/")[-1], s, day(a), day(a), p.split("/")[-1].startswith(".")) for p, s, a in rows]
+    made = [(p, (p or "").split("/")[-1], s, day(a), day(a), (p or "").split("/")[-1].startswith(".")) for p, s, a in rows]
     return spark.createDataFrame(made, "path string, name string, size_bytes long, modified_at timestamp, created_at timestamp, is_hidden boolean")
 
 
@@ -29,6 +29,11 @@ def one(spark, expression, value, kind="string"):
     return spark.createDataFrame([(value,)], f"x {kind}").select(expression(F.col("x")).alias("y")).head()["y"]
 
 
+def many(spark, expression, values):
+    """The expression of each value, in one job."""
+    return {r["x"]: r["y"] for r in spark.createDataFrame([(v,) for v in values], "x string").select("x", expression(F.col("x")).alias("y")).collect()}
+
+
 def test_path_parts(spark):
     for path, wanted in {"a/b/c.tar.gz": ("c.tar.gz", "c.tar", ".gz", "a/b", "a"), ".bashrc": (".bashrc", ".bashrc", "", "", ""), "A\\B.TXT": ("B.TXT", "B", ".txt", "A", "A"), "x": ("x", "x", "", "", "")}.items():
         assert tuple(one(spark, f, path) for f in (paths.name, paths.stem, paths.suffix, paths.parent, paths.top)) == wanted
@@ -61,7 +66,33 @@ def test_exact_and_version_dedup(spark):
 
 
 def test_version_numbers_compare_as_numbers(spark):
-    assert one(spark, dedup.version_tuple, "plan_v1.10 (v1.9)") == [1, 10] and one(spark, dedup.version_tuple, "plan") is None
+    wanted = {"plan_v1.10 (v1.9)": "1.10", "plan": None, "serv3r": None, "v20251231235959001122": "20251231235959001122", "a v9 Ver. 10": "10", "version3": "3", "v2x": None, "v007": "7"}
+    got = many(spark, names.version, wanted)
+    assert {name: ".".join(n["number"] for n in v) if v else None for name, v in got.items()} == wanted
+
+
+def test_families_of_names(spark):
+    wanted = {
+        "plan": "plan", "plan_v2": "plan", "plan_version3": "plan", "old_plan": "plan", "plan_final": "plan", "plan_final_copy": "plan", "2026-06-01 plan": "plan", "plan20260601": "plan",
+        "plan_final_kim": "plan kim", "plan_manager": "plan", "plan-copy": "plan", "data_v20251231235959": "data", "serv3r": "serv3r", "rev2 plan": "rev2 plan", "v2": "v2", "final": "final", "": "",
+        "평가기획안_최종": "평가기획안", "가이드_팀장": "가이드", "finality report": "finality report",
+    }
+    assert many(spark, names.family, wanted) == wanted
+    rows = files(spark, [(f"f/{n}.md", 1, 5) for n in wanted] + [("f/plan.txt", 1, 1), (None, 1, 1)])
+    got = {r["path"]: (r["family"], r["rank"]) for r in dedup.families(rows).collect()}
+    assert len(got) == len(wanted) + 2 and got["f/plan_final.md"] == ("plan", 1) and got["f/plan_final_copy.md"] == ("plan", 2) and got["f/plan_version3.md"] == ("plan", 3)
+    order = dedup.families(rows).filter("family = 'plan'").orderBy("rank").select("path").collect()
+    for most in (3, 1):  # cut into ranges
+        assert dedup.families(rows, most=most).filter("family = 'plan'").orderBy("rank").select("path").collect() == order
+        assert {r["path"]: (r["family"], r["rank"]) for r in dedup.families(rows, most=most).collect()} == got
+    assert dedup.families(rows.limit(0)).count() == 0
+
+
+def test_an_older_member_is_promoted(spark):
+    rows = [("p/plan final v3.docx", 1, 90), ("p/plan_v2.docx", 2, 85), ("p/plan_v1.docx", 3, 99), ("p/old_plan.docx", 4, 99), ("p/note.md", 1, 60)]
+    docs = spark.createDataFrame([(*r, "p", "plan" if "plan" in r[0] else "note", None) for r in rows], "path string, rank int, value int, top string, family string, modified_at timestamp")
+    got = {r["path"].split("/")[1]: r["role"] for r in scoring.representatives(docs, ["top"]).collect()}
+    assert got == {"plan final v3.docx": "representative", "plan_v2.docx": "representative", "plan_v1.docx": "reference", "old_plan.docx": "reference", "note.md": "support"}
 
 
 def test_package_merge(spark):
@@ -354,28 +385,52 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame([("p", 2, day(1)), ("q", 0, day(9))], schema).coalesce(1).write.parquet(f"{source}/2")
     streams.upsert_latest(stream(), f"{tmp_path}/table", f"{tmp_path}/up").awaitTermination()
     assert {(r["source_path"], r["version"]) for r in streams.read_latest(spark, f"{tmp_path}/table").collect()} == {("p", 2), ("q", 1)}
-    for n in range(3, 6):  # only the touched bucket is written, older states of it go
-        spark.createDataFrame([("p", n, day(0))], schema).coalesce(1).write.parquet(f"{source}/{n}")
-        streams.upsert_latest(stream(), f"{tmp_path}/table", f"{tmp_path}/up").awaitTermination()
-    assert {(r["source_path"], r["version"]) for r in streams.read_latest(spark, f"{tmp_path}/table").collect()} == {("p", 5), ("q", 1)}
-    assert len(list(tmp_path.glob("table/batch=*/bucket=*/*.parquet"))) == 4
+    rows = [("p", n, day(0)) for n in (3, 5, 4)] + [("r", None, None), ("r", 1, None), (None, 1, day(3)), ("q", 9, day(9))]
+    for n, row in enumerate(rows):  # late and equal versions lose, also those without a time
+        spark.createDataFrame([row, row], schema).coalesce(1).write.parquet(f"{source}/{n + 3}")
+        if n % 3 == 2 or n == len(rows) - 1:  # several deliveries between restarts
+            streams.upsert_latest(stream(), f"{tmp_path}/table", f"{tmp_path}/up").awaitTermination()
+    whole = streams.latest_versions(spark.read.schema(schema).option("recursiveFileLookup", True).parquet(source))
+    got = sorted(map(str, streams.read_latest(spark, f"{tmp_path}/table").select("source_path", "version", "modified_at").collect()))
+    assert got == sorted(map(str, whole.select("source_path", "version", "modified_at").collect())) and len(got) == 4
+    assert spark.read.parquet(f"{tmp_path}/table").filter("source_path = 'q'").count() == 1  # what lost was never written
+    assert spark.conf.get(streams.PROVIDER) != streams.ROCKS
     streams.resumable(stream(), lambda df: df, f"{tmp_path}/out", f"{tmp_path}/state", "s1").awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 7
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 18
+
+
+def test_forgotten_paths_are_passed_on_once_more(spark, tmp_path):
+    """With a timer of no time at all, state is gone by the next batch; the log's readers don't mind."""
+    schema = "source_path string, version long, modified_at timestamp"
+    stream = lambda: spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    for n, row in enumerate([("p", 2, day(1)), ("q", 1, day(1)), ("p", 1, day(9))]):
+        spark.createDataFrame([row], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+        query = streams.upsert_latest(stream(), f"{tmp_path}/table", f"{tmp_path}/up", idle=1)
+        query.awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/table").filter("source_path = 'p'").count() == 2
+    assert {(r["source_path"], r["version"]) for r in streams.read_latest(spark, f"{tmp_path}/table").collect()} == {("p", 2), ("q", 1)}
 
 
 def test_stream_windows_and_delivery(spark, tmp_path):
-    rows = [(1, "a", day(10)), (1, "a", day(10)), (2, "a", day(9)), (3, "b", day(1)), (4, "b", day(0))]
-    spark.createDataFrame(rows, "event_id long, k string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("event_id long, k string, ts timestamp").parquet(f"{tmp_path}/in")
-    query = streams.once(stream).writeStream.format("memory").queryName("once").outputMode("append").start()
-    query.processAllAvailable()
-    query.stop()
-    assert spark.table("once").count() == 4
-    query = streams.activity(stream, ["k"]).writeStream.format("memory").queryName("days").outputMode("complete").start()
-    query.processAllAvailable()
-    query.stop()
-    got = {r["k"]: (r["last_5d"], r["last_30d"]) for r in streams.sliding(spark.table("days"), ["k"], (5, 30), now()).collect()}
-    assert got == {"a": (0, 3), "b": (2, 2)}
+    schema = "event_id long, k string, ts timestamp"
+    parts = [[(1, "a", day(40)), (1, "a", day(40)), (2, "a", day(39))], [(3, "b", day(20)), (2, "a", day(39))], [(4, "b", day(10)), (3, "b", day(20))], [(9, "a", day(40)), (5, "b", day(0))]]
+    for n, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    sink = lambda rows, name: rows.writeStream.format("parquet").option("path", f"{tmp_path}/{name}").option("checkpointLocation", f"{tmp_path}/{name}-progress").trigger(availableNow=True).start()
+    query = sink(streams.once(stream, late="19 days 12 hours"), "once")
+    query.awaitTermination()
+    assert sorted(r["event_id"] for r in spark.read.parquet(f"{tmp_path}/once").collect()) == [1, 2, 3, 4, 5]  # 9 was too late
+    told = streams.state_progress(query)
+    assert told["late"] == 1 and told["kept"] <= 4  # the key of the first day is gone
+    query = streams.append_activity(stream, ["k"], f"{tmp_path}/days", f"{tmp_path}/days-progress", late="5 days")
+    query.awaitTermination()
+    days = spark.read.parquet(f"{tmp_path}/days")
+    assert {(r["day"], r["k"], r["events"]) for r in days.collect()} == {(day(40), "a", 2), (day(39), "a", 2), (day(20), "b", 2), (day(10), "b", 1)}
+    told = streams.state_progress(query)
+    assert told["late"] >= 1 and told["removed"] == days.count() and told["kept"] >= 1  # day 0 is still open
+    got = {r["k"]: (r["last_25d"], r["last_60d"]) for r in streams.sliding(days, ["k"], (25, 60), now()).collect()}
+    assert got["a"][0] == 0 and got["b"] == (3, 3)
 
 
 def test_registry_is_consistent():
@@ -444,7 +499,7 @@ def test_document_profile(spark):
     rows = [(1, "Acme Systems/misc/onboarding-website build_v2.docx", "training course", day(3)), (2, None, None, None), (3, "a/123_v1.md", None, day(1))]
     own = spark.createDataFrame(rows, "doc_id long, path string, summary string, modified_at timestamp")
     got = {r["doc_id"]: r for r in cluster.profiles(own.withColumn("path", F.replace("path", F.lit("Acme Systems"), F.lit("AcmeSystems"))), summary=F.col("summary")).collect()}
-    assert got[1]["folders"] == ["AcmeSystems", "misc"] and got[1]["orgs"] == ["acmesystems"] and got[1]["family"] == "onboarding-website build"
+    assert got[1]["folders"] == ["AcmeSystems", "misc"] and got[1]["orgs"] == ["acmesystems"] and got[1]["family"] == "onboarding website build"
     assert got[1]["tokens"] == ["build", "onboarding", "v2", "website"] and got[1]["keywords"] == got[1]["tokens"]
     assert got[1]["category"] == "Education"  # three words against two
     assert (got[2]["family"], got[2]["tokens"], got[2]["folders"], got[2]["category"], got[2]["day"]) == ("", [], [], "General", None)
