@@ -8,9 +8,9 @@
 3. Full sets of the classes in those forests are made once. The forests' own pairs are verified first,
    each class against its root; links found make parts. A large group of near copies falls together
    here, at a cost that grows with its size.
-4. Components of the forests are units: every link lies inside one. In units of more than one part, sets
-   of different parts meet, and their remaining pairs are verified exactly; units above ``UNIT`` classes
-   meet in pairs of blocks, but for two blocks of one part.
+4. Components of what is left of the forests between parts are units: every other link lies inside one. In
+   units, sets of different parts meet, and their remaining pairs are verified exactly; units above ``UNIT``
+   classes meet in pairs of blocks, but for two blocks of one part.
 5. Components of the verified links are the groups of near-duplicates.
 """
 
@@ -349,13 +349,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80, text_hash: bool = False)
     edges = scratch.stored(candidates(classes, percent), "candidates")
     sets = scratch.stored(full_sets(docs, classes, edges), "sets")
     links = scratch.stored(verified_edges(edges, sets, percent), "links")
-    parts = scratch.stored(graph.connected_components(links), "linked")
-    units = graph.connected_components(edges).select(F.col("node").alias("print"), F.col("component").alias("unit"))
-    members = units.join(parts.select(F.col("node").alias("print"), F.col("component").alias("part")), "print", "left").withColumn("part", F.coalesce("part", "print"))
-    more = scratch.stored(verified(scratch.stored(members, "members"), sets, percent), "links")
-    groups = graph.connected_components(links.unionByName(more)) if more.head(1) else parts
+    parts = scratch.stored(graph.connected_components(links).toDF("print", "part"), "linked")
+    of = lambda k: parts.select(F.col("print").alias(k), F.col("part").alias(f"part_{k}"))
+    # what is left of the forests between parts; a class without links is a part of its own
+    between = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b"))
+    between = scratch.stored(between.filter("a <> b").distinct(), "between")
+    groups = parts.withColumn("component", F.col("part"))
+    if between.head(1):
+        units = scratch.stored(graph.connected_components(between).toDF("part", "unit"), "units")
+        grown = units.join(parts, "part", "left").select("unit", "part", F.coalesce("print", "part").alias("print"))
+        members = scratch.stored(grown, "members")
+        more = scratch.stored(verified(members, sets, percent), "links")
+        held = lambda k: members.select(F.col("print").alias(k), F.col("part").alias(f"part_{k}"))
+        joined = more.join(held("a"), "a").join(held("b"), "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))
+        merged = graph.connected_components(joined).toDF("part", "whole")
+        single = members.filter("part = print").join(parts.select("print"), "print", "left_anti").select("print", "part")
+        groups = parts.unionByName(single).join(scratch.stored(merged, "merged"), "part", "left").select("print", "part", F.coalesce("whole", "part").alias("component"))
     first = classes.select("print", "first_id")
-    linked_classes = groups.join(first, groups["node"] == first["print"]).select("print", "first_id", "component")
+    linked_classes = scratch.stored(groups.join(first, "print").select("print", "first_id", "component"), "groups")
     least = scratch.stored(linked_classes.groupBy("component").agg(F.min("first_id").alias("component_id")), "least")
     ids = linked_classes.join(least, "component").select("print", "component_id")
     # a class without links is a group of its own
