@@ -81,15 +81,16 @@ URLS = [
     ("https://WWW.Example.com/en/12?x=1", "www.example.com", "/en/12", "com/en/", "block"), ("http://a.example.com/en/70#t", "a.example.com", "/en/70", "example.com/en/7", "allow"),
     ("http://shop.net/de/1", "shop.net", "/de/1", "net/de/", "block"),
     ("ftp://example.org", "example.org", "", None, None),
-    ("no scheme/en/1", "", "", None, None), (None, "", "", None, None), ("http://notexample.com/en/7", "notexample.com", "/en/7", "com/en/", "block"),
-    ("http://h.org?q=://z/es/", "h.org", "", None, None), ("x://éÀA.org/es/ü", "éÀa.org", "/es/ü", "org/es/", "block"), ("://", "", "", None, None),
+    ("no scheme/en/1", "", "", None, "allow"), (None, "", "", None, "allow"), ("http://notexample.com/en/7", "notexample.com", "/en/7", "com/en/", "block"),
+    ("http://h.org?q=://z/es/", "h.org", "", None, None), ("x://éÀA.org/es/ü", "éÀa.org", "/es/ü", "org/es/", "block"), ("://", "", "", None, "allow"),
     ("http://cheappillsshop.info/buy", "cheappillsshop.info", "/buy", None, "block"), ("http://weathernews.info/sun", "weathernews.info", "/sun", None, "allow"),
     ("http://donaudampfschifffahrtsgesellschaft.info/sun", "donaudampfschifffahrtsgesellschaft.info", "/sun", None, "allow"), (f"http://{'y' * 5000}.info/", f"{'y' * 5000}.info", "/", None, None),
+    (f"http://{'weathernews' * 20}.info/", f"{'weathernews' * 20}.info", "/", None, None), ("http://Éxämplewetter.info/", "Éxämplewetter.info", "/", None, None),
 ]
 
 
 def urls_table(spark):
-    html = "<p>weather news shop sun cheap pills buy donaudampfschifffahrtsgesellschaft " * 30
+    html = f"<p>weather news shop sun cheap pills buy donaudampfschifffahrtsgesellschaft éxämple wetter {'z' * 300} " * 30
     junk = "<style>p{a:#%$&}</style><p>cheap *** ### pills %%% buy $$$</p>"
     rows = [(i, u[0], None if i % 5 == 4 else html) for i, u in enumerate(URLS)]
     rows += [(100 + 40 * k + i, f"http://{name}{tail}.info/sun/{i}", html) for k, name in enumerate(("weathernews", "newsweather")) for tail in ("", "sun", "shop") for i in range(13)]
@@ -109,6 +110,7 @@ def test_urls_are_judged(spark):
     assert by_id[10]["host_words"][:3] == ["cheap", "pills", "shop"]
     assert by_id[11]["host_words"][:2] == ["weather", "news"]
     assert by_id[12]["host_words"] == ["donaudampfschifffahrtsgesellschaft", "info"] and by_id[13]["host_words"] == ["y" * 5000, "info"]
+    assert by_id[14]["host_words"] == ["weather", "news"] * 20 + ["info"] and by_id[15]["host_words"] == ["éxämple", "wetter", "info"]
     # no list names these words and page 10 shows no junk: it is the words of other hosts that block it
     assert by_id[10]["odds"] > 0 > by_id[11]["odds"]
     assert urls.judge(pages(spark, [])).count() == 0
@@ -119,12 +121,11 @@ def test_naive_bayes_equals_counting(spark):
     rows = urls_table(spark)
     got = urls.judge(pages(spark, rows)).collect()
     html = {r[0]: r[2] or "" for r in rows}
-    named = {"com", "en", "example", "7", "net", "de", "8", "org", "es"}
     items = []
     folds = {r["host"]: r["k"] for r in spark.createDataFrame([(r["host"],) for r in got], "host string").select("host", F.pmod(F.xxhash64(F.lit(3), "host"), F.lit(urls.FOLDS)).alias("k")).collect()}
     for r in got:
-        tokens = [f"host {w}" for w in r["host_words"] if w not in named] + [f"path {t}" for t in re.split(r"[\W_]+", re.sub("[0-9]+", "0", r["path"].lower())) if t and t not in named]
-        blocked = r["verdict"] == "block" if r["rule"] else "***" in html[r["page_id"]]
+        tokens = [f"host {w}" for w in r["host_words"]] + [f"path {t}" for t in re.split(r"[\W_]+", re.sub("[0-9]+", "0", r["path"].lower())) if t]
+        blocked = "***" in html[r["page_id"]]
         items.append((folds[r["host"]], blocked, tokens, r["odds"]))
     for fold in range(urls.FOLDS):
         counts, sizes = {True: Counter(), False: Counter()}, Counter()
