@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters of a chunk and of the overlap with the chunk before.
 SIZE, OVERLAP = 700, 100
@@ -59,6 +60,79 @@ def cut_rows(text: str, size: int = SIZE) -> list[str]:
     return [*out, "\n".join([head, *held])] if held else out
 
 
+class RowPacker:
+    """H14 a line at a time: ``add`` gives the chunk that a line completes, ``rest`` what is left, so that a sheet of
+    any length needs the room of one chunk."""
+
+    def __init__(self, size: int = SIZE) -> None:
+        self.size, self.head, self.held, self.used, self.any = size, None, [], 0, False
+
+    def add(self, line: str | None) -> list[str]:
+        if not line or not line.strip():
+            return []
+        if self.head is None:
+            self.head = line
+            return []
+        self.any, out = True, []
+        room = max(1, self.size - len(self.head) - 1)
+        for part in (line[i : i + room] for i in range(0, len(line), room)):
+            if self.held and len(self.head) + 1 + self.used + len(self.held) + len(part) > self.size:
+                out.append("\n".join([self.head, *self.held]))
+                self.held, self.used = [], 0
+            self.held.append(part)
+            self.used += len(part)
+        return out
+
+    def rest(self) -> list[str]:
+        if self.held:
+            return ["\n".join([self.head, *self.held])]
+        return [self.head[i : i + self.size] for i in range(0, len(self.head), self.size)] if self.head and not self.any else []
+
+
+class ParagraphChunks:
+    """I4, H13 as a table function of a text: chunk_index, chunk_text."""
+
+    def eval(self, text: str | None) -> Iterator[tuple[int, str]]:
+        if text:
+            yield from enumerate(cut_paragraphs(text))
+
+
+class LineChunks:
+    """H13 for texts whose paragraphs end with their lines."""
+
+    def eval(self, text: str | None) -> Iterator[tuple[int, str]]:
+        if text:
+            yield from enumerate(cut_paragraphs(text, break_at="\n"))
+
+
+class SheetChunks:
+    """I4, H14 as a table function of a table (sheet, line) that is partitioned by sheet and ordered by row: sheet,
+    chunk_index, chunk_text. The first line is the sheet's header. Blank and null lines are left out."""
+
+    def __init__(self) -> None:
+        self.packer, self.sheet, self.n = RowPacker(), None, 0
+
+    def _numbered(self, chunks: list[str]) -> Iterator[tuple[str, int, str]]:
+        for text in chunks:
+            yield self.sheet, self.n, text
+            self.n += 1
+
+    def eval(self, row: Row) -> Iterator[tuple[str, int, str]]:
+        self.sheet = row["sheet"]
+        yield from self._numbered(self.packer.add(row["line"]))
+
+    def terminate(self) -> Iterator[tuple[str, int, str]]:
+        yield from self._numbered(self.packer.rest())
+
+
+def register(spark: SparkSession) -> None:
+    """``paragraph_chunks(text)``, ``line_chunks(text)`` and ``sheet_chunks(TABLE(...) PARTITION BY sheet ORDER BY ...)``
+    for SQL; the first two go beside a table by a lateral join."""
+    spark.udtf.register("paragraph_chunks", F.udtf(ParagraphChunks, returnType="chunk_index int, chunk_text string"))
+    spark.udtf.register("line_chunks", F.udtf(LineChunks, returnType="chunk_index int, chunk_text string"))
+    spark.udtf.register("sheet_chunks", F.udtf(SheetChunks, returnType="sheet string, chunk_index int, chunk_text string"))
+
+
 def chunk(docs: DataFrame, cut: Callable[[str], list[str]] = cut_paragraphs, key: str = "doc_id") -> DataFrame:
     """I4: key, chunk_index, chunk_text of each text; null and blank texts have no chunks."""
     kind = dict(docs.dtypes)[key]

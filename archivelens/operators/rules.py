@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from archivelens.functions import scratch
 from archivelens.functions.text import clamp
 from archivelens.operators import containment
 
@@ -160,6 +161,28 @@ def workflow(found: DataFrame, keys: list[str], least: int = 2, most: int = 7) -
     return ranked.filter((F.col("steps") >= least) & (F.col("step") <= most)).drop("steps")
 
 
+def longest_key(rows: DataFrame, column: str, table: DataFrame) -> DataFrame:
+    """The rows beside the entry of ``table`` (template, key, steps) whose key is the longest that occurs in a
+    column, whatever its case; of equally long ones the first. Keys are looked up by their rarest grams, so neither
+    rows nor keys are searched one by one. Rows without any have nulls."""
+    tagged = rows.withColumn("__row", F.monotonically_increasing_id())
+    tagged = scratch.stored(tagged, "rows")
+    met = containment.matches(tagged.select("__row", column), column, table.select(F.col("key").alias("keyword")))
+    best = met.groupBy("__row").agg(F.min_by("matched", F.struct(-F.length("matched"), "matched")).alias("matched"))
+    own = table.select(F.lower("key").alias("matched"), "template", "steps").groupBy("matched").agg(F.min(F.struct("template", "steps")).alias("t"))
+    found = best.join(own, "matched").select("__row", F.col("matched").alias("key"), "t.template", "t.steps")
+    return tagged.join(found, "__row", "left").drop("__row")
+
+
+def workflow_or_template(found: DataFrame, groups: DataFrame, name: str, table: DataFrame, least: int = 2, most: int = 7) -> DataFrame:
+    """Groups (name, any others) with steps (joined by " > ") and source: inferred ones (``workflow``), else those
+    of the template with the longest key in the group's name, else none."""
+    steps = workflow(found, [name], least, most).groupBy(name).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "label"))), lambda s: s["label"]), " > ").alias("inferred"))
+    rows = longest_key(groups, name, table).join(steps, name, "left")
+    source = F.when(F.col("inferred").isNotNull(), "inferred").when(F.col("template").isNotNull(), "template").otherwise("none")
+    return rows.select(*groups.columns, F.coalesce("inferred", "steps", F.lit("")).alias("steps"), source.alias("source"))
+
+
 def business_context(status: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """Objective (the label of the first objective rule), stage (from the status and stage rules)
     and confidence: 35 + 15 for an objective + 10 for a stage + min(15, 5 documents) + status // 10."""

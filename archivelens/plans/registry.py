@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from archivelens.plans import catalog_queries, more_queries, report_queries, search_queries, work_queries
+from archivelens.plans import catalog_queries, index_queries, more_queries, report_queries, search_queries, work_queries
 
-MODULES = (catalog_queries, search_queries, work_queries, more_queries, report_queries)
+MODULES = (catalog_queries, search_queries, work_queries, more_queries, index_queries, report_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

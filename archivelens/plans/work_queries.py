@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivelens.functions import names, paths
-from archivelens.operators import audit, cluster, comms, dedup, rules, scoring
+from archivelens.operators import audit, cluster, comms, dedup, phrases, rules, scoring
 from archivelens.plans.catalog_queries import NOW
 from archivelens.plans.catalog_queries import query as _query
 from archivelens.sources import adapters as A
@@ -364,5 +364,48 @@ def work_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def cluster_labels(spark: SparkSession, d: str) -> DataFrame:
-    files = A.files(spark, d)
-    return cluster.describe_clusters(cluster.work_clusters(files), cluster.profiles(files))
+    files = A.files(spark, d, text=True)
+    told = phrases.longest_phrase(files)
+    return cluster.describe_clusters(cluster.work_clusters(files), cluster.profiles(files, summary=F.col("text")), told)
+
+
+#: The longest phrase of two to four words in twenty documents or more, of each document.
+PHRASES_SQL = r"""texts AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM files),
+grams AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM texts, (VALUES (2), (3), (4)) AS t(k) WHERE len(w) >= k),
+often AS (SELECT phrase, k, count(*) AS docs FROM grams GROUP BY ALL HAVING count(*) >= 20),
+longest AS (SELECT doc_id, phrase FROM grams JOIN often USING (phrase, k) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, docs DESC, phrase) = 1)"""
+
+
+@query(f"WITH {FILES}, {PHRASES_SQL} SELECT doc_id, phrase FROM longest")
+def longest_phrases(spark: SparkSession, d: str) -> DataFrame:
+    return phrases.longest_phrase(A.files(spark, d, text=True))
+
+
+_CATEGORY = ", ".join(f"({k}, '{name}', [{', '.join(repr(w) for w in own)}])" for k, (name, own) in enumerate(cluster.CATEGORIES))
+
+
+@query(f"""WITH {NAMED}, {PHRASES_SQL}, f AS (SELECT doc_id, path, text, modified_at::DATE AS day, doc_id // 16 AS cluster FROM named),
+hits AS (SELECT doc_id, category, k, len(list_filter(words, lambda w: contains(lower(path || ' ' || text), w))) AS n FROM f, (VALUES {_CATEGORY}) AS c(k, category, words)),
+kinds AS (SELECT cluster, category FROM (SELECT doc_id, category FROM hits WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, k) = 1) JOIN f USING (doc_id)),
+major AS (SELECT cluster, category FROM (SELECT cluster, category, count(*) AS n FROM kinds GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, category) = 1),
+told AS (SELECT cluster, phrase FROM (SELECT cluster, phrase, count(*) AS n FROM f JOIN longest USING (doc_id) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, phrase) = 1)
+SELECT f.cluster, count(*) AS docs, max(day)::TIMESTAMP AS latest, coalesce(any_value(major.category), 'General') AS category, any_value(told.phrase) AS name
+FROM f LEFT JOIN major ON f.cluster = major.cluster JOIN told ON f.cluster = told.cluster GROUP BY f.cluster""")
+def cluster_names(spark: SparkSession, d: str) -> DataFrame:
+    """J7 of given groups: those whose documents have a phrase."""
+    files = _named(spark, d)
+    members = files.select("doc_id", F.expr("doc_id div 16").alias("cluster"))
+    told = phrases.longest_phrase(files)
+    own = cluster.describe_clusters(members, cluster.profiles(files, summary=F.col("text")), told)
+    return own.join(members.join(told, "doc_id").select("cluster").distinct(), "cluster", "left_semi").drop("top_keywords").withColumn("latest", F.col("latest").cast("timestamp_ntz"))
+
+
+@query(f"""WITH {NAMED}, f AS (SELECT doc_id, {_family("stem")} AS family, doc_id % 7 AS cluster FROM named),
+sizes AS (SELECT cluster, count(*) AS n FROM f GROUP BY cluster),
+shared AS (SELECT cluster, string_agg(token, ' ' ORDER BY token) AS common FROM (SELECT cluster, token, count(*) AS c FROM (SELECT DISTINCT doc_id, cluster, unnest(regexp_split_to_array(lower(family), '[^a-z0-9]+')) AS token FROM f) WHERE length(token) > 1 GROUP BY ALL) JOIN sizes USING (cluster) WHERE c = n GROUP BY cluster),
+often AS (SELECT cluster, family FROM (SELECT cluster, family, count(*) AS c FROM f GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY c DESC, family) = 1)
+SELECT cluster, n AS docs, coalesce(common, family) AS name FROM sizes LEFT JOIN shared USING (cluster) LEFT JOIN often USING (cluster)""")
+def cluster_common_names(spark: SparkSession, d: str) -> DataFrame:
+    """J7 of given groups without phrases: the words that all names share, else the commonest family."""
+    files = _named(spark, d)
+    return cluster.describe_clusters(files.select("doc_id", (F.col("doc_id") % 7).alias("cluster")), cluster.profiles(files)).select("cluster", "docs", "name")

@@ -163,6 +163,23 @@ def pending(files: DataFrame, done: DataFrame, signature: str) -> DataFrame:
     return own.join(done.filter(F.col("signature") == signature).select("print"), "print", "left_anti")
 
 
+def set_identity(rows: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """Keys, size and identity of each set of rows, whatever their order: two sums of 60 bits each of the rows'
+    fingerprints beside their number. Sums are combined before the shuffle, so a set of any size is one row a task.
+    Null fields count as empty, repeated rows count each."""
+    mark = text.fingerprint(*[F.col(c) for c in fields])
+    part = lambda at: F.sum(F.conv(F.substring(mark, at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), part(1).alias("__a"), part(16).alias("__b"))
+    return out.select(*keys, "size", F.concat_ws("-", "size", "__a", "__b").alias("identity"))
+
+
+def valid_entries(asked: DataFrame, cache: DataFrame, key: str, wanted: Sequence[str]) -> DataFrame:
+    """The rows of ``asked`` (key, hash) whose entry in ``cache`` (key, hash, values: a map) is valid: its hash is
+    equal and it has a value, not null, for each name ``wanted``. A null key or hash has no valid entry."""
+    held = cache.filter(F.forall(F.array(*map(F.lit, wanted)), lambda k: F.element_at("values", k).isNotNull()) if wanted else F.lit(True))
+    return asked.join(held.select(key, "hash", "values"), [key, "hash"])
+
+
 def option_signature(options: dict) -> str:
     """Hash of options in a fixed order."""
     import hashlib

@@ -500,10 +500,10 @@ def test_document_profile(spark):
     own = spark.createDataFrame(rows, "doc_id long, path string, summary string, modified_at timestamp")
     got = {r["doc_id"]: r for r in cluster.profiles(own.withColumn("path", F.replace("path", F.lit("Acme Systems"), F.lit("AcmeSystems"))), summary=F.col("summary")).collect()}
     assert got[1]["folders"] == ["AcmeSystems", "misc"] and got[1]["orgs"] == ["acmesystems"] and got[1]["family"] == "onboarding website build"
-    assert got[1]["tokens"] == ["build", "onboarding", "v2", "website"] and got[1]["keywords"] == got[1]["tokens"]
+    assert got[1]["tokens"] == ["build", "onboarding", "website"] and got[1]["keywords"] == got[1]["tokens"]
     assert got[1]["category"] == "Education"  # three words against two
     assert (got[2]["family"], got[2]["tokens"], got[2]["folders"], got[2]["category"], got[2]["day"]) == ("", [], [], "General", None)
-    assert (got[3]["family"], got[3]["tokens"]) == ("123", ["v1"])
+    assert (got[3]["family"], got[3]["tokens"]) == ("123", [])
     assert {r["doc_id"]: r["cluster"] for r in cluster.work_clusters(own.unionByName(own)).collect()} == {1: 1, 2: 2, 3: 3}
     assert cluster.work_clusters(own.limit(0)).count() == 0
 
