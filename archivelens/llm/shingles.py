@@ -22,7 +22,10 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     could be made of on purpose share one.
     """
     own = words.split(texts, words.SPACES)
-    return words.hashes(own.distinct)[own.code], own.counts
+    hashes, counts = words.hashes(own.distinct)[own.code], own.counts
+    del own
+    words.settle()
+    return hashes, counts
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -80,6 +80,11 @@ def hashes(values: pa.Array) -> np.ndarray:
     return pd.util.hash_array(np.array([*values.to_pylist(), None], dtype=object)[:-1], categorize=False)
 
 
+def settle() -> None:
+    """Give memory that Arrow keeps for later back to the system: a worker waits idle beside other stages."""
+    pa.default_memory_pool().release_unused()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit over all."""
     x = x ^ (x >> np.uint64(31))
