@@ -9,18 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values.
+# Words of state and of series.
 FINAL = ("final", "최종", "확정")
 DERIVED = ("copy", "복사본", "old", "backup", "draft", "sample")
 SERIES = ("팀원", "팀장", "부서장", "담당자", "관리자", "실무자", "임원", "리더", "member", "leader", "manager", "admin")
 
-#: yyyymmdd with or without separators; "v2", "ver 2", "version3.1" (the number is a group); a word of state.
+#: Fixed patterns: yyyymmdd with or without separators; "v2", "ver 2", "version3.1" (the number is a group); a word of state.
 DATE = r"(?<![0-9])(?:19|20)[0-9]{2}[-_.]?[0-9]{2}[-_.]?[0-9]{2}(?![0-9])"
 _NUMBER = r"v(?:er(?:sion)?)?\.?\s*([0-9]+(?:\.[0-9]+)*)(?![\p{L}\p{N}_])"
 VERSION = r"(?i)(?:^|[_\-\s])" + _NUMBER
 STATE = r"(?i)(?<![^_\-\s])(?:" + "|".join((*FINAL, *DERIVED)) + r")(?:[_\-\s]|$)"
 LAST = r"(?i)[_\-\s]+(?:" + "|".join(SERIES) + r")$"
-#: Marks by which copies in one folder are told (C2), wherever they stand; the numbers of a series aren't among them.
+#: Fixed pattern: marks by which copies in one folder are told (C2), wherever they stand; the numbers of a series aren't among them.
 COPY = r"(?i)_v[0-9]+|_ver\.?[0-9]+|_최종[0-9]*|_final[0-9]*|_수정[0-9]*|_revised[0-9]*|_draft[0-9]*|\([0-9]+\)|_copy[0-9]*|_[0-9]{8}|_[0-9]{6}"
 
 
