@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from archivelens.functions import scratch
 
-#: (verdict, host, path); the longest rule that fits wins.
+#: (verdict, host, path); the longest rule that fits wins. The operator's own example.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/"))
+#: The rules of the registered query's contract.
+CONTRACT = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: Hash buckets of naive Bayes (a fixed size, so the model can be sent to every task); added to each count;
 #: folds of hosts.
 BUCKETS, SMOOTH, FOLDS = 1 << 16, 0.5, 2

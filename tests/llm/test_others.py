@@ -147,6 +147,17 @@ def test_longest_rule_wins(spark):
     assert {r["page_id"]: (r["rule"], r["verdict"]) for r in got} == {1: ("example.net/de/8", "allow"), 2: ("net/de/", "block"), 3: ("net/de/", "block")}
 
 
+def test_url_query_follows_the_rules_of_its_contract(spark, tmp_path):
+    wanted = {
+        "http://b.com/en/1": ("com/en/", "block"), "http://example.com/en/71": ("example.com/en/7", "allow"), "http://b.net/de/8": ("net/de/", "allow"), "http://example.net/de/9": ("net/de/", "allow"),
+        "http://a.example.net/de/8x": ("example.net/de/8", "block"), "http://b.org/es/": ("org/es/", "block"),
+    }
+    rows = [(i, u, None) for i, u in enumerate(wanted)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {rows[r["page_id"]][1]: (r["rule"], r["verdict"]) for r in queries.op4_url_words(spark, str(tmp_path)).collect()}
+    assert got == wanted
+
+
 def test_viterbi_equals_all_splits():
     counts = {"the": 50.0, "rap": 3.0, "therapist": 2.0, "is": 40.0, "pis": 1.0, "t": 1.0, "a": 60.0, "at": 5.0}
     for label in ("therapist", "atthe", "xqz", "isatherapx"):
