@@ -35,15 +35,21 @@ def route(files: DataFrame, selected: Sequence[str], most: int | None = None, li
     return rows.withColumn("route", F.when(chosen & F.coalesce(fits, F.lit(False)), "content").otherwise("name_only")).drop("limit_ext", "limit_bytes", "limit_none")
 
 
-def noise_reason(path: Column) -> Column:
+def noise_reason(path: Column, above: bool = False) -> Column:
     """Why a path is noise, the first rule that holds; null if none does.
 
     Strict folders anywhere; bad extensions; whole stems; parts of a stem; folders such as backups
-    only if at least two other folders give the path a meaning.
+    only if at least two other folders give the path a meaning, with ``above`` two folders above them, of two
+    characters or more and no drives.
     """
     folders = F.transform(F.slice(F.split(paths.norm(path), "/"), F.lit(1), paths.depth(path) - 1), F.lower)
     strict = F.filter(folders, lambda f: f.isin(*STRICT_FOLDERS))
     context = F.filter(folders, lambda f: f.isin(*CONTEXT_FOLDERS))
+    enough = (F.size(context) > 0) & (F.size(folders) - F.size(context) >= 2)
+    if above:
+        told = F.transform(folders, lambda f: ((F.length(f) > 1) & ~F.regexp_like(f, F.lit("^.:.?$"))).cast("int"))
+        context = F.filter(folders, lambda f, i: f.isin(*CONTEXT_FOLDERS) & (F.aggregate(F.slice(told, F.lit(1), i), F.lit(0), lambda n, x: n + x) >= 2))
+        enough = F.size(context) > 0
     stem, ext = F.lower(paths.stem(path)), paths.suffix(path)
     inside = F.filter(F.array(*map(F.lit, NOISE_PARTS)), lambda p: F.contains(stem, p))
     return (
@@ -51,7 +57,7 @@ def noise_reason(path: Column) -> Column:
         .when(ext.isin(*NOISE_EXTENSIONS), F.concat(F.lit("extension:"), ext))
         .when(stem.isin(*NOISE_STEMS), F.concat(F.lit("stem:"), stem))
         .when(F.size(inside) > 0, F.concat(F.lit("part:"), F.get(inside, 0)))
-        .when((F.size(context) > 0) & (F.size(folders) - F.size(context) >= 2), F.concat(F.lit("folder:"), F.get(context, 0)))
+        .when(enough, F.concat(F.lit("folder:"), F.get(context, 0)))
     )
 
 

@@ -55,6 +55,22 @@ def test_noise(spark):
         assert one(spark, filters.noise_reason, path) == reason
 
 
+def test_noise_by_folders_above(spark):
+    above = lambda path: filters.noise_reason(path, above=True)
+    wanted = {"node_modules/a.md": "folder:node_modules", "top/in/backup/a.md": "folder:backup", "top/in/backup/d1/a.md": "folder:backup", "top/backup/d1/a.md": None, "backup/top/in/a.md": None, "C:/x/top/backup/a.md": None, "x/a.tmp": "extension:.tmp"}
+    for path, reason in wanted.items():
+        assert one(spark, above, path) == reason
+
+
+def test_category_audit_counts_noise_as_its_sql(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(i, f"src{i % 4}", "en", "words", 5) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    [got] = entry.queries()["category_audit"](spark, str(tmp_path)).collect()
+    assert got["files"] == 60 and got["noise_files"] == 12 and got["customers"] == 4 and got["projects"] == 60
+
+
 def test_exact_and_version_dedup(spark):
     rows = files(spark, [(f"f/r_v{i}.txt", 10, 20 - i) for i in range(12)]).withColumn("text", F.lit("same"))
     got = dedup.exact(rows).collect()
