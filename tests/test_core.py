@@ -1,6 +1,7 @@
 """Core operators on hand-made rows with answers worked out by hand, and brute-force twins."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -55,6 +56,30 @@ def test_noise(spark):
         assert one(spark, filters.noise_reason, path) == reason
 
 
+def test_sketches_bound_what_sets_differ_in(spark):
+    rng = random.Random(5)
+    base = [rng.getrandbits(63) for _ in range(400)]
+    own = [sorted(set(base[: 300 + rng.randrange(60)]) - set(rng.sample(base, rng.randrange(80))) | {rng.getrandbits(63) - (1 << 62) for _ in range(rng.randrange(60))}) for _ in range(60)]
+    table = spark.createDataFrame([(i, i, s) for i, s in enumerate([*own, []])], "set long, id long, hashes array<long>")
+    drawn = {r["set"]: r for r in dedup.sketches(table).collect()}
+    bits = lambda i, j: sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(drawn[i]["sketch"], drawn[j]["sketch"], strict=True))
+    assert all(bits(i, j) <= len(set(own[i]) ^ set(own[j])) for i in range(60) for j in range(60))
+    for percent in (50, 80, 100):
+        got = {tuple(sorted((r["i"], r["j"]))) for r in dedup.alike_sets(table, percent).collect()}
+        assert got == {(i, j) for i in range(60) for j in range(i + 1, 60) if 100 * len(set(own[i]) & set(own[j])) >= percent * len(set(own[i]) | set(own[j]))}
+
+
+def test_equal_questions_are_asked_once(spark):
+    terms = spark.createDataFrame([(q, t) for q in range(40) for t in (("doc", "en") if q % 2 else ("src1",))] + [(40, "doc"), (40, "doc"), (41, "none")], "query_id long, term string")
+    asked, members = search.questions(terms)
+    assert sorted(map(tuple, asked.collect())) == [(0, "src1"), (1, "doc"), (1, "en"), (40, "doc"), (41, "none")]
+    assert members.count() == 42
+    chunks = spark.createDataFrame([(i, f"doc {i}.md", f"src{i % 3}/{'en' if i % 2 else 'de'}/doc {i}.md") for i in range(30)], "chunk_id long, file_name string, source_path string")
+    got = sorted(map(tuple, search.best_token_match(terms, chunks).collect()))
+    wanted = [(q, c, 2 if q % 2 else 1) for q in range(40) for c in range(30) if (c % 2 if q % 2 else c % 3 == 1)] + [(40, c, 1) for c in range(30)]
+    assert got == sorted(wanted)
+
+
 def test_noise_by_folders_above(spark):
     above = lambda path: filters.noise_reason(path, above=True)
     wanted = {"node_modules/a.md": "folder:node_modules", "top/in/backup/a.md": "folder:backup", "top/in/backup/d1/a.md": "folder:backup", "top/backup/d1/a.md": None, "backup/top/in/a.md": None, "C:/x/top/backup/a.md": None, "x/a.tmp": "extension:.tmp"}
