@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from archivelens.functions import names, paths, similarity, text
+from archivelens.functions import names, paths, scratch, similarity, text
 from archivelens.operators import audit, catalog, chunking, cluster, comms, dedup, filters, graph, rules, scoring, search
 from archivelens.sources import packages
 from archivelens.streaming import streams
@@ -69,6 +69,16 @@ def test_sketches_bound_what_sets_differ_in(spark):
         assert got == {(i, j) for i in range(60) for j in range(i + 1, 60) if 100 * len(set(own[i]) & set(own[j])) >= percent * len(set(own[i]) | set(own[j]))}
 
 
+def test_alike_families_are_chained_not_paired(spark):
+    rows = [(i, f"src{i % 3}/en/doc_{i}.md", dt.datetime(2026, 1, 1) + dt.timedelta(days=i * 37 % 400)) for i in range(300)] + [(900, "q/zu/other thing.md", None), (901, "src1/en/zz.md", dt.datetime(2026, 1, 1))]
+    docs = spark.createDataFrame(rows, "doc_id long, path string, modified_at timestamp")
+    own = scratch.stored(cluster.kinds(cluster.profiles(docs)), "kinds")
+    days = spark.createDataFrame([(r["id"], 1) for r in own.select("id").collect()], "id long, day int")
+    assert cluster.pair_scores(own, days).count() < 300 * 20  # all pairs are alike in great part, 44,850 of them
+    got = {r["doc_id"]: r["cluster"] for r in cluster.work_clusters(docs).collect()}
+    assert all(got[i] == 0 for i in range(300)) and got[900] == 900 and len(got) == 302
+
+
 def test_equal_questions_are_asked_once(spark):
     terms = spark.createDataFrame([(q, t) for q in range(40) for t in (("doc", "en") if q % 2 else ("src1",))] + [(40, "doc"), (40, "doc"), (41, "none")], "query_id long, term string")
     asked, members = search.questions(terms)
