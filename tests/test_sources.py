@@ -90,6 +90,17 @@ def test_phrases_equal_counting(spark):
     assert phrases.longest_phrase(docs.limit(0)).count() == 0
 
 
+def test_phrases_are_counted_without_a_table_of_places(spark, monkeypatch):
+    """What is stored is a row a document and the frequent phrases; a set that lets everything pass changes nothing."""
+    random, kept, stored = np.random.default_rng(5), [], phrases.scratch.stored
+    docs = spark.createDataFrame([(i, " ".join(random.choice(list("abcdefgh"), 60))) for i in range(40)], "doc_id long, text string")
+    whole = sorted(map(tuple, phrases.occurrences(docs, 12, 3).collect()))
+    monkeypatch.setattr(phrases.scratch, "stored", lambda df, name, *a: kept.append(stored(df, name, *a)) or kept[-1])
+    monkeypatch.setattr(phrases, "_set", lambda found: b"\xff" * (1 << phrases.SLOTS >> 3))
+    assert sorted(map(tuple, phrases.occurrences(docs, 12, 3).collect())) == whole and len(whole) > 100
+    assert max(t.count() for t in kept) < 600  # 2,400 places
+
+
 def test_cluster_names(spark):
     rows = [(1, 1, "AcmeGroup/a/budget plan.md", "finance"), (2, 1, "AcmeGroup/a/plan of budget_v2.md", "invoice"), (3, 2, "b/unit one.md", ""), (4, 2, "b/unit two.md", ""), (5, 3, "misc/archive.md", ""), (6, 4, "x/Alpha.md", ""), (7, 5, "y/q 1.md", ""), (8, 5, "y/q 2.md", "")]
     files = spark.createDataFrame([(i, p, s, None) for i, _, p, s in rows], "doc_id long, path string, summary string, modified_at timestamp")
