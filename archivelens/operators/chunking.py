@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of a chunk and of the overlap with the chunk before.
 SIZE, OVERLAP = 700, 100
+#: Bytes of texts that a task cuts at once, one text at least (this has no influence on results).
+TEXTS = 1 << 20
 
 
 def cut_paragraphs(text: str, size: int = SIZE, overlap: int = OVERLAP, break_at: str = "\n\n") -> list[str]:
@@ -137,9 +141,31 @@ def chunk(docs: DataFrame, cut: Callable[[str], list[str]] = cut_paragraphs, key
     """I4: key, chunk_index, chunk_text of each text; null and blank texts have no chunks."""
     kind = dict(docs.dtypes)[key]
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = [(k, i, c) for k, text in zip(rows[key], rows["text"], strict=True) if text for i, c in enumerate(cut(text))]
-            yield pd.DataFrame(out, columns=[key, "chunk_index", "chunk_text"])
-
-    return docs.select(key, "text").mapInPandas(each, f"{key} {kind}, chunk_index int, chunk_text string")
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in in_parts(batches):
+            yield _cut(part, cut)
+        pa.default_memory_pool().release_unused()  # a worker waits idle beside other stages
+
+    return docs.select(F.col(key).alias("key"), "text").mapInArrow(each, f"key {kind}, chunk_index int, chunk_text string").withColumnRenamed("key", key)
+
+
+def in_parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (text, any others) cut where their texts pass a multiple of ``TEXTS``."""
+    for rows in batches:
+        sizes = pc.fill_null(pc.binary_length(rows.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // TEXTS, prepend=0)) + 1
+        start = 0
+        for stop in [*cuts.tolist(), rows.num_rows]:
+            if stop > start:
+                yield rows.slice(start, stop - start)
+                start = stop
+
+
+def _cut(rows: pa.RecordBatch, cut: Callable[[str], list[str]]) -> pa.RecordBatch:
+    at, number, chunks = [], [], []
+    for n, text in enumerate(rows.column("text")):
+        own = cut(t) if (t := text.as_py()) else []
+        at += [n] * len(own)
+        number += range(len(own))
+        chunks += own
+    return pa.record_batch([rows.column("key").take(pa.array(at, pa.int32())), pa.array(number, pa.int32()), pa.array(chunks, pa.string())], ["key", "chunk_index", "chunk_text"])
