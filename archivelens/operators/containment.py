@@ -23,7 +23,7 @@ SIZE = 3
 BASE = {3: 0, 2: 1 << 24, 1: (1 << 24) + (1 << 16)}
 CODES = (1 << 24) + (1 << 16) + (1 << 8)
 #: Bytes of text handled at once, and texts that tell which grams are rare (this has no influence on results).
-TEXTS, RARE = 4 << 20, 2000
+TEXTS, RARE = 1 << 19, 2000
 
 
 def codes(data: np.ndarray, size: int) -> np.ndarray:
@@ -78,7 +78,9 @@ class KeyGrams:
 def grams(text: Column, wanted: KeyGrams) -> Column:
     @F.arrow_udf(ArrayType(IntegerType()))
     def own(texts: pa.Array) -> pa.Array:
-        return wanted.of(texts)
+        found = wanted.of(texts)
+        pa.default_memory_pool().release_unused()  # a worker waits idle beside other stages
+        return found
 
     return own(text)
 
@@ -116,6 +118,7 @@ def matches(rows: DataFrame, column: str, keywords: DataFrame, rare: int = RARE)
     texts = rows.select(F.lower(F.col(column)).alias("text"))
     keys = scratch.stored(keyed(asked, texts, rare), "keys")
     named = keys.select(F.col("keyword").alias("matched"), F.col("gram").alias("__gram"))
-    met = rows.drop("matched").withColumn("__grams", grams(F.lower(F.col(column)), _set(keys.select("gram").distinct())))
+    # in lower case once a row, not once more for each of its grams
+    met = rows.drop("matched").withColumn("__text", F.lower(F.col(column))).withColumn("__grams", grams(F.col("__text"), _set(keys.select("gram").distinct())))
     met = met.filter(F.size("__grams") > 0).withColumn("__gram", F.explode("__grams")).drop("__grams").join(named, "__gram")
-    return met.filter(F.contains(F.lower(F.col(column)), F.col("matched"))).drop("__gram")
+    return met.filter(F.contains("__text", F.col("matched"))).drop("__gram", "__text")

@@ -3,11 +3,12 @@
 from difflib import SequenceMatcher
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from archivelens.functions import similarity
-from archivelens.operators import alike, audit, containment, rules, search
+from archivelens.operators import alike, audit, chunking, containment, rules, search
 
 
 def test_keywords_are_found_wherever_they_stand(spark):
@@ -103,3 +104,17 @@ def test_best_name_match(spark):
     got = {r["query_id"]: r["name_match"] for r in search.best_name_match(spark.createDataFrame(rows, "query_id int, text string, file_name string")).collect()}
     assert got == {1: pytest.approx(SequenceMatcher(None, "showbudgetplan", "budgetplan2024").ratio()), 2: 1.0, 3: 0.0, 4: 0.0, 5: 1.0}
     assert spark.range(1).select(similarity.name_key(F.lit("보고서 파일 알려줘.PDF"))).head()[0] == "보고서"
+
+
+def test_texts_are_cut_and_searched_a_part_at_a_time(spark):
+    """A task holds the chunks of a bounded part of a batch, and a row is put in lower case once, not for each gram."""
+    rows = [(n, "word " * size if size else None) for n, size in enumerate((0, 3, 150_000, 2, 150_000, 150_000, 1))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = chunking.chunk(docs)
+    assert sorted(map(tuple, found.collect())) == [(n, i, c) for n, t in rows if t for i, c in enumerate(chunking.cut_paragraphs(t))]
+    table = pa.record_batch([pa.array([n for n, _ in rows]), pa.array([t for _, t in rows])], ["key", "text"])
+    assert [b.num_rows for b in chunking.in_parts([table])] == [5, 1, 1]
+    words = spark.createDataFrame([("Word",)], "keyword string")
+    plan = containment.matches(docs, "text", words)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Filter" in x and "lower(text" in x.split("Contains")[-1] and "Contains" in x]
+    assert containment.matches(docs, "text", words).count() == 6
