@@ -30,9 +30,9 @@ from archivelens.llm import words
 LEAST, TOP = 10, 2000
 #: One of so many documents is in the sample; occurrences there that propose a phrase.
 SAMPLE, PROPOSED = 8, 2
-#: Bits of a filter (8 MiB), bits set for a phrase, bytes of text that a task handles at once, and bytes of
-#: text of all documents for each part of the border.
-BITS, PROBES, TEXTS, PART = 1 << 26, 2, 16 << 20, 32 << 20
+#: Bits of a filter (8 MiB), bits set for a phrase, bytes of text that a task handles at once, hashes that it
+#: sums up before it packs them, and bytes of text of all documents for each part of the border.
+BITS, PROBES, TEXTS, HELD, PART = 1 << 26, 2, 4 << 20, 1 << 19, 8 << 20
 #: The language of documents that name none.
 NO_LANG = "und"
 KINDS = words.kinds(b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d")
@@ -132,16 +132,31 @@ def _row_batch(lang: pa.Array, phrase: pa.Array, level: int, counts: np.ndarray)
     return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "words", "n", "part", "hashes", "counts"])
 
 
-def _blocks(hashed: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Hashes and counts packed for each part that they belong to."""
-    part = (hashed >> _U(40)) % _U(parts)
-    order = np.argsort(part, kind="stable")
-    hashed, counts = hashed[order], counts[order].astype(np.uint32)
-    some, begins = np.unique(part[order], return_index=True)
-    ends = np.append(begins, len(order))[1:]
-    n = len(some)
+def _short(counts: np.ndarray) -> np.ndarray:
+    """Counts of 32 bits; one beyond that stays the largest, which is frequent in any case."""
+    return np.minimum(counts, 0xFFFF_FFFF).astype(np.uint32)
+
+
+def _summed(hashed: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes in order, one at least, and the sums of their counts."""
+    order = np.argsort(hashed)
+    hashed = hashed[order]
+    first = np.flatnonzero(np.concatenate([[True], hashed[1:] != hashed[:-1]]))
+    return hashed[first], np.add.reduceat(counts[order], first, dtype=np.int64)
+
+
+def _blocks(held: list[tuple[np.ndarray, np.ndarray]], parts: int) -> pa.RecordBatch:
+    """Hashes and their counts, summed and packed for each part that they belong to: a range of hashes. Empties ``held``."""
+    hashed, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+    held.clear()
+    hashed, counts = _summed(hashed, counts)
+    counts = _short(counts)
+    part = (hashed >> _U(32)) * _U(parts) >> _U(32)
+    begins = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    ends = np.append(begins, len(part))[1:]
+    n = len(begins)
     packed = [[x[a:b].tobytes() for a, b in zip(begins, ends, strict=True)] for x in (hashed, counts)]
-    columns = [pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(some.astype(np.int32)), pa.array(packed[0], pa.binary()), pa.array(packed[1], pa.binary())]
+    columns = [pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(part[begins].astype(np.int32)), pa.array(packed[0], pa.binary()), pa.array(packed[1], pa.binary())]
     return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "words", "n", "part", "hashes", "counts"])
 
 
@@ -168,14 +183,23 @@ def _pieces(texts: pa.Array) -> Iterator[pa.Array]:
 
 
 def _passed(docs: DataFrame, each: object, parts: int) -> DataFrame:
-    """The rows that ``each(grams)`` gives of all slices of texts."""
+    """The rows that ``each(grams)`` gives of all slices of texts; hashes of several slices are packed together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for part in words.bounded(batch, "text", TEXTS):
                 for texts in _pieces(part.column("text")):
-                    for exact in each(_Grams(texts, part.column("lang"))):
-                        yield exact if isinstance(exact, pa.RecordBatch) else _blocks(*exact, parts)
+                    for found in each(_Grams(texts, part.column("lang"))):
+                        if isinstance(found, pa.RecordBatch):
+                            yield found
+                        elif len(found[0]):
+                            held.append((found[0], _short(found[1])))
+                    if sum(len(hashed) for hashed, _ in held) >= HELD:
+                        yield _blocks(held, parts)
+        if held:
+            yield _blocks(held, parts)
+        words.settle()
 
     return docs.mapInArrow(run, _ROW)
 
@@ -186,11 +210,8 @@ def _frequent(rows: DataFrame, least: int) -> DataFrame:
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         hashed = np.frombuffer(b"".join(x.as_buffer() for c in table.column("hashes").chunks for x in c), np.uint64)
         counts = np.frombuffer(b"".join(x.as_buffer() for c in table.column("counts").chunks for x in c), np.uint32)
-        order = np.argsort(hashed)
-        hashed, counts = hashed[order], counts[order].astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], hashed[1:] != hashed[:-1]]))
-        total = np.add.reduceat(counts, first)
-        return pa.table({"hash": hashed[first][total >= least].view(np.int64)})
+        hashed, total = _summed(hashed, counts)
+        return pa.table({"hash": hashed[total >= least].view(np.int64)})
 
     return rows.filter("part is not null").select("part", "hashes", "counts").groupBy("part").applyInArrow(merge, "hash long")
 

@@ -2,11 +2,13 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +151,65 @@ def test_long_texts_are_cut_behind_marks(monkeypatch):
     assert [p.to_pylist() for p in phrases._pieces(pa.array([None], pa.string()))] == [[None]]
 
 
+class OneTask:
+    """Stands for a table of one partition: its batches go through a function here, in this process."""
+
+    def __init__(self, *batches):
+        self.batches = batches
+
+    def mapInArrow(self, run, schema):
+        return run(iter(self.batches))
+
+
+@pytest.mark.parametrize("vocabulary", [3_000, 300_000])
+def test_memory_of_a_phrase_task_is_bounded(vocabulary):
+    """24 MB of text in one batch: what a task allocates beside it stays under 100 MB."""
+    random = np.random.default_rng(5)
+    texts = pa.array([" ".join(map("w{:06d}".format, (vocabulary * random.random(260) ** 3).astype(int))) + "." for _ in range(12_000)])
+    batch = pa.RecordBatch.from_arrays([texts, pa.array(["en"] * len(texts))], ["text", "lang"])
+    n = sum(len(t) for t in texts.to_pylist())
+    assert n > 24e6
+
+    def each(g):
+        yield g.rows(1, g.word_lang, g.counts, np.arange(len(g.counts)))
+        _, two, counts, hashed, place = g.pairs()
+        yield hashed, counts
+        _, _, counts, hashed = g.triples(place, counts > 1, hashed, two)
+        yield hashed, counts
+
+    total = Counter()
+    tracemalloc.start()
+    try:
+        before, arrow = tracemalloc.get_traced_memory()[0], pa.total_allocated_bytes()
+        for out in phrases._passed(OneTask(batch), each, 8):
+            total["words"] += pc.sum(out.column("n")).as_py() or 0
+            total["others"] += sum(int(np.frombuffer(c, np.uint32).sum()) for c in out.column("counts").to_pylist() if c)
+            assert pa.total_allocated_bytes() - arrow < 50e6
+            del out
+        most = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    assert total["words"] == 260 * len(texts) and total["others"] >= 259 * len(texts)
+    assert most < 100e6, f"{most / 1e6:.0f} MB"
+
+
+def test_packed_hashes_are_summed_over_slices():
+    """Each hash once in its part, whatever slices it came from; parts are all of the hashes in a range."""
+    random = np.random.default_rng(6)
+    hashed = random.integers(0, 1 << 64, 500, np.uint64)
+    held = [(h := random.choice(hashed, 900), np.arange(900) % 5 + 1) for _ in range(3)] + [(hashed[:1], np.array([1 << 40]))]
+    wanted = Counter()
+    for own, counts in held:
+        for h, c in zip(own.tolist(), counts.tolist(), strict=True):
+            wanted[h] += c
+    out, got = phrases._blocks(held, 7), []
+    for part, h, c in zip(*(out.column(k).to_pylist() for k in ("part", "hashes", "counts")), strict=True):
+        own = np.frombuffer(h, np.uint64).tolist()
+        assert {x * 7 >> 64 for x in own} == {part}
+        got += zip(own, np.frombuffer(c, np.uint32).tolist(), strict=True)
+    assert sorted(got) == sorted((h, min(c, (1 << 32) - 1)) for h, c in wanted.items())
+
+
 def test_filters_hold_what_was_put_in(spark):
     put = spark.range(5000).select(F.xxhash64("id").alias("hash"))
     own = phrases.gathered(put)
