@@ -98,7 +98,8 @@ def upsert_latest(stream: DataFrame, target: str, checkpoint: str, idle: int | N
     spark = stream.sparkSession
     before = {k: spark.conf.get(k, None) for k in (PROVIDER, PARTITIONS)}
     spark.conf.set(PROVIDER, ROCKS)  # a query keeps the settings it starts under
-    spark.conf.set(PARTITIONS, str(min(int(before[PARTITIONS]), max(1, spark.sparkContext.defaultParallelism))))
+    # a setting that nobody has set has no value of its own, but a default
+    spark.conf.set(PARTITIONS, str(min(int(spark.conf.get(PARTITIONS)), max(1, spark.sparkContext.defaultParallelism))))
     try:
         return newer_versions(stream, idle).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     finally:

@@ -461,6 +461,18 @@ def test_state_has_no_more_parts_than_cores(spark, tmp_path):
     assert {op["numShufflePartitions"] for p in query.recentProgress for op in p["stateOperators"]} == {spark.sparkContext.defaultParallelism}
 
 
+def test_upsert_in_a_session_that_sets_no_partitions(spark, tmp_path):
+    schema, before = "source_path string, version long, modified_at timestamp", spark.conf.get(streams.PARTITIONS)
+    spark.createDataFrame([("p", 2, day(1)), ("p", 1, day(1))], schema).coalesce(1).write.parquet(f"{tmp_path}/in/1")
+    spark.conf.unset(streams.PARTITIONS)
+    try:
+        streams.upsert_latest(spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in"), f"{tmp_path}/table", f"{tmp_path}/up").awaitTermination()
+        assert spark.conf.get(streams.PARTITIONS, None) is None
+    finally:
+        spark.conf.set(streams.PARTITIONS, before)
+    assert [(r["source_path"], r["version"]) for r in streams.read_latest(spark, f"{tmp_path}/table").collect()] == [("p", 2)]
+
+
 def test_forgotten_paths_are_passed_on_once_more(spark, tmp_path):
     """With a timer of no time at all, state is gone by the next batch; the log's readers don't mind."""
     schema = "source_path string, version long, modified_at timestamp"
