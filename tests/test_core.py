@@ -582,6 +582,32 @@ def test_document_profile(spark):
     assert cluster.work_clusters(own.limit(0)).count() == 0
 
 
+def test_chains_join_short_names(spark):
+    """Among many long names short ones are in different heaps, where none is near their length."""
+    own = spark.range(6010).select("id", F.concat(F.lit("doc "), F.when(F.col("id") < 10, F.col("id")).otherwise(F.col("id") + 1000000)).alias("family"), F.lit(0).alias("shape"))
+    rest = spark.createDataFrame([(0, 0, cluster.LINKED - cluster.ALIKE)], "a int, b int, score int")
+    links = cluster._chains(rest, own, held=512).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    found = cluster.graph.connected_components(links).filter("node < 10")
+    assert {(r["node"], r["component"]) for r in found.collect()} == {(k, 0) for k in range(10)}
+
+
+def test_texts_of_a_profile_are_read_once(spark):
+    own = spark.createDataFrame([(1, "a/b.md", "Sales budget invoice", day(1))], "doc_id long, path string, summary string, modified_at timestamp")
+    profile = cluster.profiles(own, summary=F.col("summary"))
+    assert profile.head()["category"] == "Finance"
+    plan = profile._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(concat_ws( , coalesce(path") + plan.count("lower(concat_ws( , __path") == 1
+
+
+def test_kinds_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "BLOCK", 3)
+    own = spark.createDataFrame([(i, f"f{i}", i % 3 if i < 20 else 3) for i in range(21)], "id long, family string, shape int")
+    rest = spark.createDataFrame([(0, 0, 31), (0, 1, 32), (2, 3, 33)], "a int, b int, score int")
+    got = [(r["id_a"], r["id_b"], r["family_b"], r["score"]) for r in cluster._met(rest, own).collect()]
+    ids = {k: [i for i in range(21) if (i % 3 if i < 20 else 3) == k] for k in range(4)}
+    assert sorted(got) == sorted((i, j, f"f{j}", s) for a, b, s in ((0, 0, 31), (0, 1, 32), (2, 3, 33)) for i in ids[a] for j in ids[b])
+
+
 def test_clusters_equal_all_pairs(spark, monkeypatch):
     from difflib import SequenceMatcher
 
