@@ -599,6 +599,13 @@ def test_texts_of_a_profile_are_read_once(spark):
     assert plan.count("lower(concat_ws( , coalesce(path") + plan.count("lower(concat_ws( , __path") == 1
 
 
+def test_clusters_are_described_from_profiles_made_once(spark):
+    own = spark.createDataFrame([(1, "a/b.md", "Sales budget invoice", day(1)), (2, "a/c.md", "budget", day(2))], "doc_id long, path string, summary string, modified_at timestamp")
+    out = cluster.describe_clusters(own.select("doc_id", F.lit(7).alias("cluster")), cluster.profiles(own, summary=F.col("summary")))
+    assert [(r["cluster"], r["docs"], r["category"]) for r in out.collect()] == [(7, 2, "Finance")]
+    assert "lower(concat_ws" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_kinds_meet_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(cluster, "BLOCK", 3)
     own = spark.createDataFrame([(i, f"f{i}", i % 3 if i < 20 else 3) for i in range(21)], "id long, family string, shape int")
