@@ -599,6 +599,27 @@ def test_texts_of_a_profile_are_read_once(spark):
     assert plan.count("lower(concat_ws( , coalesce(path") + plan.count("lower(concat_ws( , __path") == 1
 
 
+def test_alike_sets_meet_in_cells(spark, monkeypatch):
+    """Near copies that all pair: sets go to cells, not along with each pair."""
+    random = np.random.default_rng(3)
+    rows = [(g, f"w{g}x{k}") for g in range(6) for k in range(30)]
+    words = {g: [w for h, w in rows if h == g] for g in range(6)}
+    texts = [(n, " ".join(words[n % 6][: 30 - int(random.integers(0, 4))]) + f" own{n}" + " plus" * int(random.integers(0, 2))) for n in range(150)]
+    docs = spark.createDataFrame([*texts, (900, texts[0][1]), (5, texts[1][1]), (901, "lone"), (902, None)], "doc_id long, text string")
+    held = [(i, frozenset(t.split())) for i, t in [*texts, (5, texts[1][1])]]
+    first = {}
+    for i, own in held:
+        first[own] = min(i, first.get(own, i))
+    classes = [(i, own) for own, i in first.items()]
+    wanted = {(min(i, j), max(i, j), len(x & y), len(x | y)) for i, x in classes for j, y in classes if i != j and 100 * len(x & y) >= 80 * len(x | y)}
+    for load in (1 << 21, 2048 * 7, 1):
+        monkeypatch.setattr(dedup, "LOAD", load)
+        found = dedup.jaccard_pairs(docs)
+        got = [tuple(r) for r in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == wanted and len(wanted) > 1000
+        assert "hashes_i" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_clusters_are_described_from_profiles_made_once(spark):
     own = spark.createDataFrame([(1, "a/b.md", "Sales budget invoice", day(1)), (2, "a/c.md", "budget", day(2))], "doc_id long, path string, summary string, modified_at timestamp")
     out = cluster.describe_clusters(own.select("doc_id", F.lit(7).alias("cluster")), cluster.profiles(own, summary=F.col("summary")))
