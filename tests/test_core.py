@@ -620,6 +620,17 @@ def test_alike_sets_meet_in_cells(spark, monkeypatch):
         assert "hashes_i" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_the_walk_reads_pairs_that_are_stored(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(dedup, "remove_similar", lambda docs, pairs: seen.append(pairs) or docs)
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, text, day(1)), (2, f"{text} more", day(2))], "doc_id long, text string, modified_at timestamp")
+    dedup.near_dup_removed(docs)
+    assert [sorted(r) for r in seen[0].collect()] == [[1, 2]]
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "InArrow" not in plan and "hashes" not in plan
+
+
 def test_clusters_are_described_from_profiles_made_once(spark):
     own = spark.createDataFrame([(1, "a/b.md", "Sales budget invoice", day(1)), (2, "a/c.md", "budget", day(2))], "doc_id long, path string, summary string, modified_at timestamp")
     out = cluster.describe_clusters(own.select("doc_id", F.lit(7).alias("cluster")), cluster.profiles(own, summary=F.col("summary")))
